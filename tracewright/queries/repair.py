@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.lanes import valid_readings
+from tracewright.operators import drift, nested
 from tracewright.operators.intervals import merge_intervals
-from tracewright.plans.durable import load
+from tracewright.plans.durable import cut, load
 
 #: The SQL forms of a lane, an op and a valid reading, redelivered rows once.
 READINGS_SQL = r"""
@@ -44,5 +45,70 @@ SELECT trace_id, tid, 'gap', s, e FROM (
   SELECT trace_id, tid, e AS s, lead(s) OVER (PARTITION BY trace_id, tid ORDER BY s) AS e FROM busy) WHERE e IS NOT NULL
 """
 
-QUERIES = {"p4_found": p4_found}
-ORACLE = {"p4_found": P4_SQL}
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiler documents, redelivered rows once."""
+    docs = load(spark, sf_dir, "trace_json").select("record_id", "stream_id", "file_no", "payload")
+    return docs.dropDuplicates(["record_id"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.objects(_records(spark, sf_dir), "payload", ["record_id"])
+
+
+P2_SQL = """
+WITH RECURSIVE docs AS (SELECT DISTINCT record_id, payload::JSON AS doc FROM trace_json WHERE json_valid(payload)),
+node(record_id, path, item, parent, is_item, doc) AS (
+  SELECT record_id, '', '$', '', false, doc FROM docs
+  UNION ALL
+  SELECT record_id, path2, CASE WHEN in_array AND json_type(child) = 'OBJECT' THEN path2 ELSE item END,
+         CASE WHEN in_array AND json_type(child) = 'OBJECT' THEN item ELSE parent END,
+         in_array AND json_type(child) = 'OBJECT', child FROM (
+    SELECT record_id, item, parent, false AS in_array, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS path2,
+           json_extract(doc, '$."' || k || '"') AS child
+    FROM (SELECT *, unnest(json_keys(doc)) AS k FROM node WHERE json_type(doc) = 'OBJECT')
+    UNION ALL
+    SELECT record_id, item, parent, true, path || '[' || i || ']', json_extract(doc, '$[' || i || ']')
+    FROM (SELECT *, unnest(range(CAST(json_array_length(doc) AS BIGINT))) AS i FROM node WHERE json_type(doc) = 'ARRAY'))
+  WHERE json_type(child) IN ('OBJECT', 'ARRAY'))
+SELECT record_id, parent AS parent_path, path AS child_path FROM node WHERE is_item
+"""
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat table of distributedInfo.groups: one row per group, linked to its record."""
+    all_triples = nested.triples(_records(spark, sf_dir), "payload", ["record_id"])
+    return nested.table(all_triples, "distributedInfo.groups", ["gname", "ranks", "size"], ["record_id"])
+
+
+def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.file_schemas(load(spark, sf_dir, "trace_json"), "payload", "stream_id", "file_no")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drift.changes(_schemas(spark, sf_dir))
+    return found.select(F.col("stream").alias("stream_id"), F.col("file").alias("file_no"), "change_kind", "old_path", "new_path")
+
+
+def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file's schema version within its stream."""
+    found = drift.versions(_schemas(spark, sf_dir))
+    return found.select(F.col("stream").alias("stream_id"), F.col("file").alias("file_no"), "version", "fingerprint")
+
+
+def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All traceEvents of all files in one table with steady columns and types."""
+    schemas = cut(_schemas(spark, sf_dir))
+    rules = drift.migration_rules(schemas, drift.changes(schemas))
+    return drift.steady_table(_records(spark, sf_dir), "payload", ["record_id", "stream_id", "file_no"], rules, "traceEvents")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
+    "p4_found": p4_found,
+    "p6_found": p6_found,
+    "p6_versions": p6_versions,
+    "p6_events": p6_events,
+}
+ORACLE = {"p2_found": P2_SQL, "p4_found": P4_SQL}
