@@ -179,7 +179,7 @@ def _by_cell(keys: list[str], bits: int, schema: pa.Schema):
         cell = np.int64(table["__cell"][0].as_py()) << bits
         _, s, e = _coalesce(np.zeros(table.num_rows, np.int64), table["__start"].to_numpy() - cell, table["__end"].to_numpy() - cell, bits)
         one = table.select(cols).take(pa.array(np.zeros(len(s), np.int64)))
-        return one.append_column("__start", pa.array(s + cell)).append_column("__end", pa.array(e + cell))
+        return pa.Table.from_arrays([*one.columns, pa.array(s + cell), pa.array(e + cell)], schema=table.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
