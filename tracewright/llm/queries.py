@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.lanes import valid_readings
+from tracewright.llm.mixing import mix
 from tracewright.llm.percentiles import percentiles, summarize
+from tracewright.llm.spans import shared_share, shared_spans
+from tracewright.llm.tokens import encode_column
 from tracewright.llm.topn import top_n_per_group
-from tracewright.plans.durable import load
+from tracewright.plans.durable import cut, load
 from tracewright.queries.repair import READINGS_SQL
 
 LANE_OP = ["trace_id", "tid", "op"]
@@ -63,5 +66,49 @@ SELECT trace_id, tid, op, CAST(q AS DOUBLE) AS q, CAST(n AS BIGINT) AS n_reading
 FROM ranked, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95), (0.99)) t(q) WHERE r = ceil(q * n)
 """
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles}
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_column(load(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = cut(encode_column(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"], counts_only=True))
+    return mix(sized, load(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1].where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeats."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared elsewhere."""
+    docs = load(spark, sf_dir, "documents")
+    return shared_share(docs, "doc_id", "text", shared_spans(docs, "doc_id", "text"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_percentiles": p5_percentiles,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
+}
 ORACLE = {"p3_found": P3_SQL, "p5_found": P5_SQL, "p5_percentiles": P5_ALL_SQL}
