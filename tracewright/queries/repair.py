@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.lanes import valid_readings
+from tracewright.functions.lanes import valid_readings, with_lane
 from tracewright.operators import drift, nested
 from tracewright.operators.intervals import merge_intervals
+from tracewright.operators.spikes import implausible
 from tracewright.plans.durable import cut, load
 
 #: The SQL forms of a lane, an op and a valid reading, redelivered rows once.
@@ -23,6 +24,11 @@ readings AS (
 """
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = with_lane(load(spark, sf_dir, "trace_events"))
+    return implausible(events, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = valid_readings(load(spark, sf_dir, "trace_events"))
     ns = readings.select(
@@ -104,6 +110,7 @@ def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p4_found": p4_found,
