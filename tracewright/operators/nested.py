@@ -10,7 +10,8 @@ Defined cases: a null, empty, cut-off or otherwise invalid text gives no
 rows; JSON nulls give null columns, missing and null fields look alike; an empty object in an
 array is a row without values; scalars in an array become one
 text of the array's values in order; of equal names in one object the last holds;
-extra columns are ignored unless named in ``carry``.
+extra columns are ignored unless
+named in ``carry``, where a clashing name gets an underscore.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tracewright.plans.names import carried
 from tracewright.sources.jsonstream import scan
 
 _INDEX = re.compile(r"\[[0-9]+\]")
@@ -48,7 +50,8 @@ def triples(df: DataFrame, text: str, carry: list[str], leaves: bool = True) ->
 
     One triple of kind ``object`` and empty field stands for each owner itself.
     """
-    source = df.select(*carry, F.col(text).alias("__text"))
+    names = carried(carry, [f.name for f in _TRIPLE])
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("__text"))
     schema = T.StructType([*source.schema.fields[: len(carry)], *_TRIPLE])
     arrow = to_arrow_schema(schema)
 
@@ -60,7 +63,7 @@ def triples(df: DataFrame, text: str, carry: list[str], leaves: bool = True) ->
 
             def flush(batch=batch, rows=rows, cols=cols) -> pa.RecordBatch:
                 at = pa.array(rows, pa.int64())
-                arrays = [batch[c].take(at) for c in carry]
+                arrays = [batch[c].take(at) for c in names]
                 arrays += [pa.array(c, arrow.field(len(carry) + i).type) for i, c in enumerate(cols)]
                 rows.clear()
                 for c in cols:
@@ -92,7 +95,8 @@ def triples(df: DataFrame, text: str, carry: list[str], leaves: bool = True) ->
 
 def objects(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
     """(carry..., parent_path, child_path): every object that is an array element, with its parent."""
-    return triples(df, text, carry, leaves=False).select(*carry, "parent_path", "child_path")
+    found = triples(df, text, carry, leaves=False)
+    return found.select(*found.columns[: len(carry)], "parent_path", "child_path")
 
 
 def fields_of(all_triples: DataFrame) -> dict[str, list[str]]:

@@ -21,7 +21,8 @@ Defined cases: null readings are no case; NaN, infinite, non-positive values and
 ``MAX_VALID_DUR`` are impossible; readings without a time are compared with the levels but are in no run;
 rows without a source are ignored; a null kind is compared with all levels of its source; equal
 times follow the id; repeated rows of one id count once; a source with too few
-readings shows impossible values only; an empty input gives an empty result.
+readings shows impossible values only; an empty input gives an empty result;
+columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -233,10 +234,16 @@ def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
 
 def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value: str, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(item): ids of the readings that cannot be right for their source."""
-    rows = df.where(F.col(value).isNotNull()).select(*source, item, time, F.col(value).cast("double").alias(value), kind)
-    rows = time_blocks(rows, source, time, item, block_rows)
-    keys = [*source, "__block"]
-    out = T.StructType([rows.schema[item]])
+    own = [f"s{i}" for i in range(len(source))]
+    rows = df.select(
+        *[F.col(c).alias(o) for c, o in zip(source, own, strict=True)],
+        F.col(item).alias("item"), F.col(time).alias("time"), F.col(value).cast("double").alias("value"), F.col(kind).cast("string").alias("kind"),
+    )
+    for o in own:
+        rows = rows.where(F.col(o).isNotNull())
+    rows = time_blocks(rows.where(F.col("value").isNotNull() & F.col("item").isNotNull()), own, "time", "item", block_rows)
+    keys = [*own, "__block"]
+    out = T.StructType([T.StructField(item, rows.schema["item"].dataType)])
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         head = table.select(keys).to_pandas()
@@ -247,12 +254,12 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         change[0] = True
         starts = np.flatnonzero(change)
         ends = np.append(starts[1:], len(head))
-        ids = table[item].combine_chunks()
+        ids = table["item"].combine_chunks()
         id_codes = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        dur = table[value].to_numpy()
-        codes = table[kind].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(float)
+        dur = table["value"].to_numpy()
+        codes = table["kind"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(float)
         codes = np.where(np.isnan(codes), -1, codes).astype(int)
-        timed = ~table[time].is_null().to_numpy()
+        timed = ~table["time"].is_null().to_numpy()
         hit: list[np.ndarray] = []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             at = np.arange(a, b)
@@ -283,4 +290,4 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, time, item).mapInArrow(run, out)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "time", "item").mapInArrow(run, out)
