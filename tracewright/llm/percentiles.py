@@ -1,6 +1,6 @@
 """Exact percentiles per group by bisection over mergeable summaries.
 
-A *summary* is (group keys, value, n): how often each value occurs in a group.
+A *summary* tells how often each value occurs in a group.
 Summaries of separate partitions, days or slices are combined by adding
 their counts, so percentiles of the whole need no second look at raw rows.
 
@@ -20,12 +20,14 @@ a group of its own; a group without readings does not appear; repeated rows of o
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.plans.durable import broadcast_if_small, cut
+from tracewright.plans.names import carried
 
 #: Bisection steps fused into one counting pass.
 BITS = 8
@@ -33,19 +35,35 @@ BITS = 8
 LOG_STEPS = 8
 
 
-def summarize(df: DataFrame, keys: list[str], value: str, item: str | None = None) -> DataFrame:
-    """(keys, v, n): counts per distinct value.  Mergeable with :func:`combine`."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("v"), *([F.col(item).alias("__item")] if item else [])).where(
+@dataclass(frozen=True)
+class Summary:
+    """Counts per group and value: a frame (k0, k1, ..., v, n) and the names of its group keys."""
+
+    frame: DataFrame
+    keys: list[str]
+
+    @property
+    def own(self) -> list[str]:
+        return [f"k{i}" for i in range(len(self.keys))]
+
+
+def summarize(df: DataFrame, keys: list[str], value: str, item: str | None = None) -> Summary:
+    """How often each value occurs in each group.  Mergeable with :func:`combine`."""
+    own = [f"k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
+    rows = df.select(*named, F.col(value).cast("double").alias("v"), *([F.col(item).alias("item")] if item else [])).where(
         F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
     )
     if item:
         rows = rows.dropDuplicates()  # spread by item, so a hot value is no hot task
-    return rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    return Summary(rows.groupBy(*own, "v").agg(F.count(F.lit(1)).alias("n")), list(keys))
 
 
-def combine(keys: list[str], *summaries: DataFrame) -> DataFrame:
+def combine(*summaries: Summary) -> Summary:
     """The summary of the union of what the given summaries describe."""
-    return reduce(DataFrame.unionByName, summaries).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    first = summaries[0]
+    both = reduce(DataFrame.unionByName, [s.frame for s in summaries])
+    return Summary(both.groupBy(*first.own, "v").agg(F.sum("n").alias("n")), first.keys)
 
 
 def _log_cell(v: Column) -> Column:
@@ -67,9 +85,12 @@ def _pick(cells: DataFrame, group: list[str], cell: str) -> DataFrame:
     )
 
 
-def percentiles(summary: DataFrame, keys: list[str], qs: list[float], max_passes: int = 64) -> DataFrame:
-    """(keys, q, n_readings, value): the reading at rank ceil(q*n) of each group, exactly."""
-    rows = cut(summary)
+def percentiles(summary: Summary, qs: list[float], max_passes: int = 64) -> DataFrame:
+    """(keys, q, n_readings, value): the reading at rank ceil(q*n) of each group, exactly.
+
+    A group key of one of these names gets an underscore.
+    """
+    rows, keys = cut(summary.frame), summary.own
     cells = rows.withColumn("cell", _log_cell(F.col("v"))).groupBy(*keys, "cell").agg(
         F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
@@ -110,4 +131,5 @@ def percentiles(summary: DataFrame, keys: list[str], qs: list[float], max_passes
         state = cut(_pick(counted, group, "cell").select(*keys, "q", "n_readings", "target", "below", "lo", "hi"))
     else:
         raise RuntimeError("bisection did not settle")
-    return reduce(DataFrame.unionByName, done)
+    names = carried(summary.keys, ["q", "n_readings", "value"])
+    return reduce(DataFrame.unionByName, done).withColumnsRenamed(dict(zip(keys, names, strict=True)))

@@ -33,7 +33,7 @@ SELECT trace_id, tid, op, CAST(place AS INT) AS place, event_id FROM (
 
 def _p5(spark: SparkSession, sf_dir: str, qs: list[float]) -> DataFrame:
     readings = valid_readings(load(spark, sf_dir, "trace_events")).where(F.col("op").isNotNull())
-    return percentiles(summarize(readings, LANE_OP, "dur", "event_id"), LANE_OP, qs)
+    return percentiles(summarize(readings, LANE_OP, "dur", "event_id"), qs)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.plans.names import carried
+
 #: Folder of the public vocabulary files; never copied into this repository.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Splitting pattern of the byte-level vocabularies (fixed value).
@@ -138,7 +140,8 @@ def decode(enc, ids: list[int]) -> str:
 def encode_column(df: DataFrame, text: str, carry: list[str], *, ids: str = "ids", vocabulary: str = "byte_bpe_50k", leaf_size: int = LEAF, counts_only: bool = False) -> DataFrame:
     """(carry..., ids): ids of each text; with ``counts_only`` their number instead, as ``n_tokens``."""
     path = f"{TOKENIZER_DIR}/{vocabulary}.tiktoken"
-    source = df.select(*carry, F.col(text).alias("__text"))
+    kept = carried(carry, ["n_tokens" if counts_only else ids])
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, kept, strict=True)], F.col(text).alias("__text"))
     out = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField(ids, T.ArrayType(T.IntegerType()))
     schema = T.StructType([*source.schema.fields[: len(carry)], out])
 
@@ -152,6 +155,6 @@ def encode_column(df: DataFrame, text: str, carry: list[str], *, ids: str = "ids
             else:
                 flat = np.fromiter((i for g in got for i in g), np.int32, int(sizes.sum()))
                 col = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in carry], col], names=[*carry, out.name])
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], col], names=[*kept, out.name])
 
     return source.mapInArrow(run, schema)

@@ -8,9 +8,10 @@ final sort.  All other groups take one ordinary window.  Both branches end in th
 same total order, so the union is exact.
 
 Defined cases: a null group key is a group of its own; rows with a null score
-rank last; with ``item`` given, repeated rows of one item count once (repeats
-must agree in the order columns); ties follow the later order columns; an empty
-input gives an empty result; extra columns are carried along.
+rank last; rows equal in all order columns are repeats of one item and come out
+once; ties follow the later order columns; an empty input gives an empty
+result; extra columns are carried along, one named like the place gets an
+underscore.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.plans.durable import broadcast_if_small, cut
+from tracewright.plans.names import carried
 
 #: A group with more rows than this never meets in one task before it is reduced.
 HEAVY_ROWS = 50_000
@@ -53,6 +55,10 @@ def top_n_per_group(
     ``order`` must end in a column that tells items apart; rows equal in all of
     it are repeats of one item and come out once.  The first order column must be numeric.
     """
+    fixed = [*keys, *[c for c, _ in order]]
+    free = [c for c in df.columns if c not in fixed]
+    own = carried(free, [*fixed, place])
+    df = df.withColumnsRenamed(dict(zip(free, own, strict=True)))
     score = order[0][0]
     cols = _order(order)
     flags = ["__range", "__salt"]
