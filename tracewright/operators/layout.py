@@ -20,7 +20,7 @@ def summary(trace: DataFrame) -> DataFrame:
     The scale is null where an event has no name or takes no time; such a trace cannot be drawn.
     """
     chunk = F.coalesce(F.col("chunk_id"), F.lit(0))
-    per_name = F.when(F.length("name") > 0, F.col("dur") / (F.length("name") * FONT * 0.3))
+    per_name = F.when(F.length("name") > 0, F.col("dur") / (F.length("name") * FONT * 0.3)).otherwise(0.0)
     x = trace.groupBy("trace_id").agg(
         F.countDistinct("dev_id").alias("n_rows"),
         F.min("ts").cast("double").alias("first_time"),
