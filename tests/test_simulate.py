@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tracewright.operators import graph, metrics, trace
 from tracewright.operators.graph import PipelineGraph, merge_graphs
-from tracewright.operators.simulate import run_schedule, simulate, simulate_waves, unreached
+from tracewright.operators.simulate import run_schedule, simulate, simulate_configs, simulate_waves, unreached
 
 COST = {"fwd_time": 5478, "bwd_time": 5806, "wgt_time": 3534}
 
@@ -70,6 +70,22 @@ def test_waves_agree_with_the_kernel(spark):
     assert rows(simulate_waves(g.nodes, g.edges)) == rows(simulate(g.nodes, g.edges))
 
 
+def test_sweeps_agree_with_single_scenarios(spark):
+    from tracewright.operators.schedules import config_frame, graph_edges, graph_nodes
+
+    shapes = [("gpipe", 3, 4, 1, False), ("pipedream", 3, 5, 1, True), ("interleaved", 2, 5, 2, False), ("zb", 2, 3, 2, False), ("zbv", 3, 2, 4, False)]
+    rows = [
+        {"graph_id": f"{i}-{k}", "schedule": s, "nstages": n, "nmicrobatches": m, "nchunks": c, "eager": e, "fwd_time": 3 + k, "bwd_time": 9 - k, "wgt_time": k * k}
+        for i, (s, n, m, c, e) in enumerate(shapes)
+        for k in range(4)
+    ]
+    configs = config_frame(spark, rows)
+    want = sorted(tuple(r) for r in simulate(graph_nodes(configs), graph_edges(configs)).collect())
+    for bound in (10**6, 10):
+        assert sorted(tuple(r) for r in simulate_configs(configs, bound).collect()) == want
+    assert simulate_configs(configs.limit(0)).count() == 0
+
+
 def test_cycles_stay_out_and_dirty_rows_count_once(spark):
     g = PipelineGraph.build(spark, "g", "gpipe", 2, 2, fwd_time=3, bwd_time=4)
     back = g.add_edges([(("BWD", 0, 1, 0), ("BWD", 0, 0, 0))])

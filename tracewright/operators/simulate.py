@@ -6,6 +6,9 @@ starts at the later of its predecessors' ends and the end of what its stage took
 
 * :func:`simulate` runs one scenario per group in a pandas kernel, linear in nodes and edges; scenarios spread
   over the cluster by ``graph_id``.
+* :func:`simulate_configs` serves sweeps: the order in which the queue yields nodes does not depend on
+  durations, so it is found once per shape (schedule, sizes) and applied to all scenarios of that shape
+  at once, in numpy, without a shuffle.
 * :func:`simulate_waves` states the same as relations (hop depth, rank within a wave,
   longest path) for a single graph too large for one task.
 
@@ -16,13 +19,19 @@ from the trace (:func:`unreached` lists them); a null duration counts as 0; repe
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tracewright.model import TRACE_COLS
 from tracewright.operators.graph import clean_edges, clean_nodes, numbered_edges
+from tracewright.operators.schedules import graph_edges, graph_nodes
 from tracewright.plans.durable import cut
 
 _TRACE = (
@@ -85,6 +94,103 @@ def simulate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("graph_id").cogroup(pairs.groupBy("of_graph")).applyInPandas(kernel, _TRACE)
 
 
+_SHAPE = ["schedule", "nstages", "nmicrobatches", "nchunks", "eager"]
+#: Nodes of all shapes of a sweep that the driver may hold; with more, every scenario is simulated by itself.
+MAX_SHAPE_NODES = 500_000
+#: Trace rows made at once.
+_ROWS = 1_000_000
+
+
+def _shapes(configs: DataFrame) -> DataFrame:
+    """The take order of every distinct shape: position, node, positions of predecessors."""
+    shapes = configs.select(*_SHAPE).distinct()
+    as_config = shapes.withColumns({"graph_id": F.to_json(F.struct(*_SHAPE)), **{f"{k}_time": F.lit(0).cast("long") for k in ("fwd", "bwd", "wgt")}})
+    nodes = graph_nodes(as_config)
+    pairs = numbered_edges(nodes, clean_edges(graph_edges(as_config))).select(F.col("graph_id").alias("of_graph"), "src_num", "dst_num")
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.set_index("event_num").sort_index()
+        before: dict[int, list[int]] = {n: [] for n in left.index}
+        after: dict[int, list[int]] = {n: [] for n in left.index}
+        for a, b in right[["src_num", "dst_num"]].sort_values(["src_num", "dst_num"]).itertuples(index=False):
+            before[b].append(a)
+            after[a].append(b)
+        order = _take_order(list(left.index), after, {n: len(p) for n, p in before.items()})
+        place = {n: i for i, n in enumerate(order)}
+        out = left.loc[order].reset_index()
+        return out.assign(place=range(len(order)), before=[[place[p] for p in before[n]] for n in order])[
+            ["graph_id", "place", "event_num", "event_type", "stage_id", "microbatch_id", "chunk_id", "name", "before"]
+        ]
+
+    schema = "graph_id string, place int, event_num bigint, event_type string, stage_id int, microbatch_id int, chunk_id int, name string, before array<int>"
+    return nodes.groupBy("graph_id").cogroup(pairs.groupBy("of_graph")).applyInPandas(kernel, schema)
+
+
+def _timed(shape: list, cost: np.ndarray) -> np.ndarray:
+    """Ends of all nodes (rows, in take order) in all scenarios (columns); ``cost`` has a row per event type."""
+    end = np.zeros((len(shape), cost.shape[1]), np.int64)
+    last: dict[int, int] = {}
+    for i, (kind, stage, before) in enumerate(shape):
+        if before:
+            start = end[before].max(axis=0)
+            if stage in last:
+                start = np.maximum(start, end[last[stage]])
+            end[i] = start + cost[kind]
+        else:
+            end[i] = cost[kind]
+        last[stage] = i
+    return end
+
+
+def simulate_configs(configs: DataFrame, max_shape_nodes: int = MAX_SHAPE_NODES) -> DataFrame:
+    """The timed traces of configurations, equal to simulating their nodes and edges."""
+    found = _shapes(configs).limit(max_shape_nodes + 1).collect()
+    if len(found) > max_shape_nodes:
+        return simulate(graph_nodes(configs), graph_edges(configs))
+    shapes: dict[str, list] = {}
+    for r in sorted(found, key=lambda r: (r["graph_id"], r["place"])):
+        shapes.setdefault(r["graph_id"], []).append(tuple(r)[2:])
+    known = configs.sparkSession.sparkContext.broadcast(shapes)
+    times = [F.coalesce(f"{k}_time", F.lit(0)).cast("long").alias(k) for k in ("fwd", "bwd", "wgt")]
+    rows = configs.select("graph_id", F.to_json(F.struct(*_SHAPE)).alias("shape"), *times)
+    schema = StructType.fromDDL(_TRACE)
+    arrow = to_arrow_schema(schema)
+    kinds = {"FWD": 0, "BWD": 1, "WGT": 2}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_shape: dict[str, list[int]] = {}
+            for i, s in enumerate(batch["shape"].to_pylist()):
+                by_shape.setdefault(s, []).append(i)
+            for s, every in by_shape.items():
+                shape = known.value.get(s)
+                if not shape:
+                    continue
+                n = len(shape)
+                seen: dict[int, int] = {}
+                seq = []
+                for x in shape:
+                    seq.append(seen.setdefault(x[2], 0))
+                    seen[x[2]] += 1
+                for k in range(0, len(every), max(1, _ROWS // n)):
+                    at = pa.array(every[k : k + max(1, _ROWS // n)])
+                    cost = np.array([batch[c].take(at).to_numpy() for c in ("fwd", "bwd", "wgt")])
+                    m = cost.shape[1]
+                    end = _timed([(kinds[x[1]], x[2], x[6]) for x in shape], cost)
+                    dur = cost[[kinds[x[1]] for x in shape]]
+                    column = lambda v, kind, m=m: pa.array(np.tile(np.array(v, kind), m))
+                    word = lambda j, m=m: pa.DictionaryArray.from_arrays(pa.array(np.tile(np.arange(n, dtype=np.int32), m)), pa.array([x[j] for x in shape])).cast(pa.string())
+                    stage = column([x[2] for x in shape], np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["graph_id"].take(at).take(pa.array(np.repeat(np.arange(m), n))), stage, column(seq, np.int64), column([x[0] for x in shape], np.int64),
+                         word(1), word(5), pa.array((end - dur).T.ravel()), pa.array(dur.T.ravel()), stage,
+                         column([x[3] for x in shape], np.int32), column([x[4] for x in shape], np.int32)],
+                        schema=arrow,
+                    )
+
+    return rows.mapInArrow(run, schema)
+
+
 def unreached(nodes: DataFrame, trace: DataFrame) -> DataFrame:
     """Nodes that the simulation never took (on or behind a cycle)."""
     return clean_nodes(nodes).join(trace.select(F.col("trace_id").alias("graph_id"), "event_num"), ["graph_id", "event_num"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, cost_is_valid, partition_is_valid
 from tracewright.operators import graph, layout, metrics, trace
 from tracewright.operators.schedules import config_is_sound, graph_edges, graph_nodes
-from tracewright.operators.simulate import simulate, simulate_waves
+from tracewright.operators.simulate import simulate, simulate_configs, simulate_waves
 from tracewright.plans.durable import load
 from tracewright.plans.flow import FlowGraph, FlowNode
 from tracewright.queries import pipeline_sql as sql
@@ -265,7 +265,13 @@ def _sweep_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sim_scenario_sweep(spark, sf):
     """One scenario per supplier, all simulated in one job."""
-    return metrics.makespan(_sim(_sweep_configs(spark, sf), "gpipe"))
+    return metrics.makespan(simulate_configs(_sweep_configs(spark, sf)))
+
+
+@query("sim_configs", f"{sql.simulated('zbv')} SELECT * FROM tr")
+def sim_configs(spark, sf):
+    """Traces of a sweep, by shape."""
+    return simulate_configs(_sound(spark, sf, "zbv"))
 
 
 # ---------------------------------------------------------------- metrics and traces

@@ -10,6 +10,7 @@ from tracewright.operators import drift, nested
 from tracewright.operators.intervals import merge_intervals
 from tracewright.operators.spikes import implausible
 from tracewright.plans.durable import cut, load
+from tracewright.plans.once import once
 
 #: The SQL forms of a lane, an op and a valid reading, redelivered rows once.
 READINGS_SQL = r"""
@@ -55,7 +56,7 @@ SELECT trace_id, tid, 'gap', s, e FROM (
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiler documents, redelivered rows once."""
     docs = load(spark, sf_dir, "trace_json").select("record_id", "stream_id", "file_no", "payload")
-    return docs.dropDuplicates(["record_id"])
+    return once(docs, "record_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
