@@ -25,7 +25,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.durable import cut
@@ -104,8 +104,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     docs = docs.select("doc_id", name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     per_source = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.when(F.col("n_tokens") > 0, 1)).alias("usable"))
     plan = goals.join(per_source, "source", "left").fillna(0, ["tokens", "usable"])
-    plan = plan.crossJoin(F.broadcast(docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))))  # one row
-    want = F.col("target_share") * F.col("all_tokens")
+    all_tokens = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    want = F.col("target_share") * F.lit(all_tokens)
     plan = (
         plan.withColumn("target_tokens", want)
         .withColumn("short", F.col("tokens") * F.col("max_repeats") < want)
@@ -143,16 +143,14 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
         chosen = chosen.unionByName(d)
     chosen = cut(chosen.where(F.col("repeats") > 0))
     used = chosen.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("reached_tokens"), F.count(F.lit(1)).alias("documents"))
-    total = Window.partitionBy()
+    total = chosen.agg(F.coalesce(F.sum(F.col("repeats") * F.col("n_tokens")), F.lit(0))).first()[0]
+    share = F.col("reached_tokens") / F.lit(total) if total else F.lit(0.0)
     report = (
         plan.join(used, "source", "left")
         .fillna(0, ["reached_tokens", "documents"])
-        # one row per named source meets in this window
-        .withColumn("__sum", F.sum("reached_tokens").over(total))
         .select(
             "source", "target_share", "target_tokens", "reached_tokens",
-            F.when(F.col("__sum") > 0, F.col("reached_tokens") / F.col("__sum")).otherwise(0.0).alias("reached_share"),
-            "documents",
+            share.alias("reached_share"), "documents",
             # short: everything is used as often as allowed, and it is not enough
             (F.col("short") & (F.col("reached_tokens") < F.col("target_tokens"))).alias("short"),
         )

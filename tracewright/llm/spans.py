@@ -38,8 +38,8 @@ MIN_LEN = 150
 CHUNK = 1 << 19
 #: A survivor hash with more distinct contexts is compared across the cluster.
 HOT = 20_000
-#: Documents with survivors up to which their marks are broadcast; beyond, the join shuffles.
-MARKED_ROWS = 50_000
+#: Survivors up to which they are broadcast to the texts; beyond, the join shuffles.
+MARKS = 500_000
 _POS_BITS = 31
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -276,9 +276,9 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_len: int = MIN_
     n_repeated = repeated.count()
     alive = sampled.join(broadcast_if_small(repeated, n_repeated), "h", "left_semi")
     marks = cut(alive.groupBy("doc_id").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("marks")))  # bounded by one text
-    n_marked = marks.count()
+    n_marks = marks.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
     # level 2: windows of twice the length, around the survivors only
-    around = cut(_context_rows(texts.join(broadcast_if_small(marks, n_marked, MARKED_ROWS), "doc_id"), min_len))
+    around = cut(_context_rows(texts.join(broadcast_if_small(marks, n_marks, MARKS), "doc_id"), min_len))
     contexts = cut(
         around.groupBy("h", "ctx").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx"), F.min("text").alias("text"))
     )
