@@ -8,7 +8,7 @@ from tracewright.operators.graph import PipelineGraph
 from tracewright.operators.simulate import simulate
 from tracewright.plans.flow import FlowGraph, FlowNode
 from tracewright.sources import svg
-from tracewright.sources.profiler import ProfilerJson, ProfilerTable
+from tracewright.sources.profiler import ProfilerJson, ProfilerJsonLines, ProfilerTable
 from tracewright.streaming.utilisation import device_load
 
 DOC = {
@@ -39,6 +39,14 @@ def test_profiler_tables(spark, tmp_path):
     assert ProfilerTable(str(tmp_path / "t.csv")).read(spark, ["FWD"]).count() == 1
 
 
+def test_documents_are_written_and_read_again(spark, tmp_path):
+    t = _trace(spark)
+    ProfilerJsonLines(str(tmp_path / "out")).write(t)
+    back = ProfilerJson(str(tmp_path / "out"), lines=True).read(spark, ["FWD", "BWD"])
+    key = lambda d: sorted((r["dev_id"], r["event_type"], float(r["ts"]), float(r["dur"])) for r in d.collect())
+    assert key(back) == key(t)
+
+
 def _trace(spark):
     g = PipelineGraph.build(spark, "g", "gpipe", 2, 2, fwd_time=3, bwd_time=4)
     return simulate(g.nodes, g.edges)
@@ -99,6 +107,33 @@ def test_workflow(spark):
         bad.run()
 
 
+def test_steps(spark, tmp_path):
+    from tracewright.operators import steps
+
+    g = PipelineGraph.build(spark, "g", "gpipe", 2, 2, fwd_time=3, bwd_time=4)
+    flow = FlowGraph()
+    flow.add_node(FlowNode("whole", 0, lambda _: g))
+    for n in (steps.filter_step(1, [0]), steps.filter_step(2, [1])):
+        flow.add_node(n)
+    cut = [(("FWD", 0, m, 0), ("FWD", 1, m, 0)) for m in (0, 1)] + [(("BWD", 1, m, 0), ("BWD", 0, m, 0)) for m in (0, 1)]
+    flow.add_node(steps.merge_step(3, "m", cut))
+    flow.add_node(steps.simulate_step(4))
+    flow.add_node(steps.draw_step(5, str(tmp_path / "t.svg")))
+    for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 5)):
+        flow.add_edge(a, b)
+    out = flow.run()
+    assert out[5] == [8] and metrics.makespan(out[4][0]).first()["makespan"] == 21
+    s = steps.simulator("pp")
+    with pytest.raises(RuntimeError):
+        s.perf()
+    s.run(g)
+    assert s.perf()["makespan"] == 21
+    with pytest.raises(NotImplementedError):
+        steps.simulator("dp")
+    with pytest.raises(ValueError):
+        steps.simulator("other")
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     rows = [("t", "1", i % 7, 2.0, f"2025-01-01 0{i % 3}:10:00") for i in range(12)]
     df = spark.createDataFrame(rows, "trace_id string, tid string, event_id long, dur double, at string").withColumn("captured_at", F.to_timestamp("at")).drop("at")

@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 from tracewright.model import TRACE_COLS
 from tracewright.operators.graph import clean_edges, clean_nodes, numbered_edges
 from tracewright.operators.schedules import graph_edges, graph_nodes
-from tracewright.plans.durable import cut
+from tracewright.plans.durable import cut, cut_counted
 
 _TRACE = (
     "trace_id string, dev_id int, seq bigint, event_num bigint, event_type string, name string, ts bigint, dur bigint, "
@@ -196,63 +196,55 @@ def unreached(nodes: DataFrame, trace: DataFrame) -> DataFrame:
     return clean_nodes(nodes).join(trace.select(F.col("trace_id").alias("graph_id"), "event_num"), ["graph_id", "event_num"], "left_anti")
 
 
-def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 100_000) -> DataFrame:
-    """The same trace by relational waves: one bounded-lineage step per hop of the longest path."""
-    nodes = cut(clean_nodes(nodes))
-    key = ["graph_id", "event_num"]
+def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_000) -> DataFrame:
+    """The same trace by relational waves: one bounded-lineage step per hop of the longest path.
+
+    A wave holds the nodes whose last predecessor was in the wave before; within it they are taken by the rank of that
+    predecessor and their number.  Ends follow from window sums: on one stage the i-th node of a wave ends at
+    S_i + max over j <= i of (ready_j - S_(j-1)), with S the running sum of durations.
+    """
+    key, lane = ["graph_id", "event_num"], ["graph_id", "stage_id"]
+    nodes = cut(clean_nodes(nodes).drop("ts").withColumn("dur", F.coalesce("dur", F.lit(0))))
     pairs = cut(numbered_edges(nodes, clean_edges(edges)))
-    head = nodes.select(*key).join(pairs.select("graph_id", F.col("dst_num").alias("event_num")).distinct(), key, "left_anti")
-    # ready waves: a node joins the wave after its last predecessor
-    left = cut(pairs.groupBy("graph_id", F.col("dst_num").alias("event_num")).agg(F.count(F.lit(1)).alias("need")))
-    order = Window.partitionBy("graph_id").orderBy("last", "event_num")
-    wave = cut(head.select(*key, F.lit(0).cast("long").alias("last"), F.lit(0).alias("depth")).withColumn("rank", F.row_number().over(order).cast("long")))
+    need = pairs.groupBy("graph_id", F.col("dst_num").alias("event_num")).agg(F.count(F.lit(1)).alias("need"))
+    facts = nodes.select(*key, "stage_id", "dur")
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy("last", "event_num")).cast("long")
+    on_stage = Window.partitionBy(*lane).orderBy("rank")
+    zero = F.lit(0).cast("long")
+    head = facts.join(need, key, "left_anti").select(*key, "stage_id", "dur", zero.alias("last")).withColumn("rank", rank)
+    wave, n = cut_counted(head.select(*key, "stage_id", "rank", F.col("dur").alias("end"), F.lit(0).alias("depth")))
+    state = cut(need.join(facts, key).select(*key, "stage_id", "dur", "need", zero.alias("ready")))
+    clocks = None
     waves = [wave]
-    for depth in range(1, max_waves):
+    while n and len(waves) < max_waves:
+        now = wave.groupBy(*lane).agg(F.max_by("end", "rank").alias("new"))
+        if clocks is not None:
+            now = clocks.join(now, lane, "full").select(*lane, F.coalesce("new", "clock").alias("clock"))
+        else:
+            now = now.withColumnRenamed("new", "clock")
+        clocks = cut(now)
         hit = (
-            wave.select("graph_id", F.col("event_num").alias("src_num"), "rank")
+            wave.select("graph_id", F.col("event_num").alias("src_num"), "rank", "end")
             .join(pairs, ["graph_id", "src_num"])
             .groupBy("graph_id", F.col("dst_num").alias("event_num"))
-            .agg(F.count(F.lit(1)).alias("met"), F.max("rank").alias("last"))
+            .agg(F.count(F.lit(1)).alias("met"), F.max("rank").alias("last"), F.max("end").alias("from"))
         )
-        state = cut(left.join(hit, key, "left").withColumn("need", F.col("need") - F.coalesce("met", F.lit(0))))
-        # a node is ready in the wave that brings its count to zero
-        wave = cut(
-            state.where((F.col("need") == 0) & F.col("last").isNotNull())
-            .select(*key, "last", F.lit(depth).alias("depth"))
-            .withColumn("rank", F.row_number().over(order).cast("long"))
+        state = cut(
+            state.where("need > 0").join(hit, key, "left").select(
+                *key, "stage_id", "dur", (F.col("need") - F.coalesce("met", zero)).alias("need"), F.greatest("ready", F.coalesce("from", zero)).alias("ready"), "last"
+            )
         )
-        if not wave.limit(1).count():
-            break
+        due = state.where("need = 0").withColumn("rank", rank).join(clocks, lane, "left")
+        ready = F.greatest("ready", F.coalesce("clock", zero))
+        due = due.withColumn("sum", F.sum("dur").over(on_stage)).withColumn("free", F.max(ready - F.col("sum") + F.col("dur")).over(on_stage))
+        wave, n = cut_counted(due.select(*key, "stage_id", "rank", (F.col("sum") + F.col("free")).alias("end"), F.lit(len(waves)).alias("depth")))
+        state = state.drop("last")
         waves.append(wave)
-        left = cut(state.where("need > 0").select(*key, "need"))
     taken = waves[0]
     for w in waves[1:]:
         taken = taken.unionByName(w)
-    pop = F.row_number().over(Window.partitionBy("graph_id").orderBy("depth", "rank"))
-    by_stage = Window.partitionBy("graph_id", "stage_id").orderBy("pop")
-    taken = cut(
-        nodes.drop("ts").join(taken, key).withColumn("pop", pop).withColumn("dur", F.coalesce("dur", F.lit(0)))
-        .withColumn("before", F.lag("event_num").over(by_stage)).withColumn("seq", (F.row_number().over(by_stage) - 1).cast("long"))
-    )
-    chain = taken.where((F.col("depth") > 0) & F.col("before").isNotNull()).select("graph_id", F.col("before").alias("src_num"), F.col("event_num").alias("dst_num"))
-    links = cut(pairs.unionByName(chain).distinct())
-    durs = taken.select(*key, "dur")
-    # longest path: every step raises ends that a predecessor pushes later
-    ends = cut(taken.select(*key, F.col("dur").alias("end")))
-    for _ in range(max_waves):
-        pushed = (
-            ends.select("graph_id", F.col("event_num").alias("src_num"), F.col("end").alias("from"))
-            .join(links, ["graph_id", "src_num"])
-            .groupBy("graph_id", F.col("dst_num").alias("event_num"))
-            .agg(F.max("from").alias("from"))
-            .join(durs, key)
-            .select(*key, (F.col("from") + F.col("dur")).alias("new"))
-        )
-        step = cut(ends.join(pushed, key, "left").select(*key, F.greatest("end", F.coalesce("new", "end")).alias("end"), (F.col("new") > F.col("end")).alias("moved")))
-        ends = step.drop("moved")
-        if not step.where("moved").limit(1).count():
-            break
-    return taken.join(ends, key).select(
+    seq = (F.row_number().over(Window.partitionBy(*lane).orderBy("depth", "rank")) - 1).cast("long")
+    return nodes.join(taken.drop("stage_id"), key).withColumn("seq", seq).select(
         F.col("graph_id").alias("trace_id"), F.col("stage_id").alias("dev_id"), "seq", "event_num", "event_type", "name",
         (F.col("end") - F.col("dur")).alias("ts"), "dur", "stage_id", "microbatch_id", "chunk_id",
     )

@@ -54,3 +54,10 @@ def empty_trace(spark: SparkSession) -> DataFrame:
     from tracewright.operators.simulate import _TRACE
 
     return spark.createDataFrame([], _TRACE)
+
+
+def comm_events(transfers: DataFrame) -> DataFrame:
+    """Communication events on the sending device, from (trace_id, seq, event_num, name, ts, dur, src_dev_id, dst_dev_id)."""
+    return transfers.select(
+        "trace_id", F.col("src_dev_id").alias("dev_id"), "seq", "event_num", F.lit("COMM").alias("event_type"), "name", "ts", "dur", "src_dev_id", "dst_dev_id"
+    )

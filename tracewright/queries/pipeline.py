@@ -238,10 +238,10 @@ def sim_tables(spark, sf):
     return simulate(load(spark, sf, "nodes"), load(spark, sf, "edges"))
 
 
-@query("sim_waves", f"{sql.simulated('gpipe', 'graph_id < ' + repr('g010'))} SELECT * FROM tr")
+@query("sim_waves", f"{sql.simulated('gpipe')} SELECT * FROM tr")
 def sim_waves(spark, sf):
     """The relational simulator for graphs beyond one task."""
-    c = _sound(spark, sf, "gpipe").where("graph_id < 'g010'")
+    c = _sound(spark, sf, "gpipe")
     return simulate_waves(graph_nodes(c), graph_edges(c, ["gpipe"]))
 
 
@@ -314,6 +314,39 @@ def metrics_phase_times(spark, sf):
     return metrics.phase_times(_sim(_sound(spark, sf, "zb"), "zb"))
 
 
+@query(
+    "metrics_critical_path",
+    f"""{sql.simulated('gpipe')},
+    tt AS (SELECT tr.*, ts + dur AS e FROM tr),
+    lk AS (SELECT x.graph_id AS g, x.event_num AS a, y.event_num AS b FROM ee JOIN nn x ON x.k = ee.a JOIN nn y ON y.k = ee.b
+      UNION SELECT trace_id, lag(event_num) OVER (PARTITION BY trace_id, dev_id ORDER BY seq), event_num FROM tt),
+    st AS (SELECT lk.g, lk.b, min(lk.a) AS a FROM lk JOIN tt p ON p.trace_id = lk.g AND p.event_num = lk.a JOIN tt q ON q.trace_id = lk.g AND q.event_num = lk.b
+      WHERE q.ts > 0 AND p.e = q.ts GROUP BY 1, 2),
+    cp(g, n, back) AS (
+      SELECT trace_id, arg_min(event_num, (-e, event_num)), 0 FROM tt GROUP BY 1
+      UNION ALL SELECT cp.g, st.a, back + 1 FROM cp JOIN st ON st.g = cp.g AND st.b = cp.n)
+    SELECT g AS trace_id, CAST(max(back) OVER (PARTITION BY g) - back AS BIGINT) AS step, event_num, ts, dur FROM cp JOIN tt ON trace_id = g AND event_num = n""",
+)
+def metrics_critical_path(spark, sf):
+    c = _sound(spark, sf, "gpipe")
+    nodes, edges = graph_nodes(c), graph_edges(c, ["gpipe"])
+    return metrics.critical_path(simulate(nodes, edges), graph.numbered_edges(nodes, edges))
+
+
+@query(
+    "trace_comm_events",
+    """SELECT trace_id, dev_id, seq, event_num, 'COMM' AS event_type, name, ts, dur, dev_id AS src_dev_id, dst_dev_id FROM (
+    SELECT DISTINCT trace_id, TRY_CAST(regexp_extract(tid, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS INT) AS dev_id, seq, event_id AS event_num, name, ts, dur,
+      TRY_CAST(regexp_extract(tid, '^\\s*([+-]?[0-9]+)\\s*$', 1) AS INT) + 1 AS dst_dev_id FROM trace_events WHERE event_type = 'COMM') WHERE dev_id IS NOT NULL""",
+)
+def trace_comm_events(spark, sf):
+    """Transfers to the next device."""
+    from tracewright.functions.lanes import lane_tid
+
+    e = load(spark, sf, "trace_events").where("event_type = 'COMM'").select("trace_id", "seq", F.col("event_id").alias("event_num"), "name", "ts", "dur", lane_tid(F.col("tid")).alias("src_dev_id"))
+    return trace.comm_events(e.where("src_dev_id IS NOT NULL").distinct().withColumn("dst_dev_id", F.col("src_dev_id") + 1))
+
+
 @query("trace_device_events", f"{sql.simulated('gpipe')} SELECT * FROM tr WHERE dev_id = 1")
 def trace_device_events(spark, sf):
     return trace.device_events(_sim(_sound(spark, sf, "gpipe"), "gpipe"), 1)
@@ -362,13 +395,12 @@ def trace_meta_derived(spark, sf):
 
 @query(
     "event_equality",
-    f"""WITH {_CLEAN}, a AS (SELECT * FROM n WHERE graph_id = 'g003'), b AS (SELECT DISTINCT * FROM nodes WHERE graph_id = 'g003')
+    f"""WITH {_CLEAN}, a AS (SELECT * FROM n), b AS (SELECT DISTINCT * FROM nodes)
     SELECT a.event_num AS a_num, b.event_num AS b_num FROM a JOIN b ON a.event_num IS NOT DISTINCT FROM b.event_num AND a.event_type IS NOT DISTINCT FROM b.event_type
     AND a.name IS NOT DISTINCT FROM b.name AND a.ts IS NOT DISTINCT FROM b.ts AND a.dur IS NOT DISTINCT FROM b.dur""",
 )
 def event_equality(spark, sf):
-    n = _tables(spark, sf)[0]
-    return trace.equal_events(n.where("graph_id = 'g003'"), load(spark, sf, "nodes").where("graph_id = 'g003'").distinct())
+    return trace.equal_events(_tables(spark, sf)[0], load(spark, sf, "nodes").distinct())
 
 
 # ---------------------------------------------------------------- layout

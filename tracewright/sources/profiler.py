@@ -55,10 +55,17 @@ class TraceSource(ABC):
 
 
 class ProfilerJson(TraceSource):
-    """One JSON document per file; files are the traces."""
+    """One JSON document per file, the file being the trace; or with ``lines`` one per line, with a ``trace_id`` in it."""
+
+    def __init__(self, path: str, lines: bool = False) -> None:
+        super().__init__(path)
+        self.lines = lines
 
     def read(self, spark: SparkSession, event_types: Sequence[str]) -> DataFrame:
-        docs = spark.read.schema(DOC_SCHEMA).option("multiLine", True).json(self.path).withColumn("trace_id", F.input_file_name())
+        if self.lines:
+            docs = spark.read.schema("trace_id string, " + DOC_SCHEMA).json(self.path)
+        else:
+            docs = spark.read.schema(DOC_SCHEMA).option("multiLine", True).json(self.path).withColumn("trace_id", F.input_file_name())
         out = events_of(docs, event_types, ["trace_id"])
         self.outputs.append(out)
         return out
@@ -78,3 +85,27 @@ class ProfilerTable(TraceSource):
         )
         self.outputs.append(out)
         return out
+
+
+class TraceSink(ABC):
+    """Writes traces; a subclass names its format."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    @abstractmethod
+    def write(self, trace: DataFrame) -> None: ...
+
+
+class ProfilerJsonLines(TraceSink):
+    """One document per trace and line.  A document holds its whole trace, so traces must fit in a task one by one."""
+
+    def write(self, trace: DataFrame) -> None:
+        prefix = F.col("event_type")
+        for t, p in PREFIXES.items():
+            prefix = F.when(F.col("event_type") == t, F.lit(p)).otherwise(prefix)
+        name = F.when(F.startswith(F.col("name"), prefix), F.col("name")).otherwise(F.concat_ws("-", prefix, "name"))
+        event = F.struct("seq", "dev_id", name.alias("name"), F.col("dev_id").cast("string").alias("tid"), F.col("ts").cast("double").alias("ts"), F.col("dur").cast("double").alias("dur"))
+        listed = F.transform(F.array_sort(F.collect_list(event)), lambda e: F.struct(e["name"].alias("name"), e["tid"].alias("tid"), e["ts"].alias("ts"), e["dur"].alias("dur")))
+        docs = trace.groupBy("trace_id").agg(F.struct((F.max("dev_id") + 1).alias("world_size")).alias("distributedInfo"), listed.alias("traceEvents"))
+        docs.write.mode("errorifexists").json(self.path)
