@@ -79,7 +79,24 @@ def test_hot_source_is_split(spark):
     df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
     got = implausible(df, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op", block_rows=1000)
     assert {r[0] for r in got.collect()} == spikes
-    blocks = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 1000).groupBy("trace_id", "__block").count().collect()
-    assert max(r["count"] for r in blocks) < 2000 and len(blocks) >= 6
-    deep = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 10).groupBy("trace_id", "__block").count().collect()
-    assert max(r["count"] for r in deep) < 60
+    blocks = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 1000)
+    assert blocks.where("NOT __halo").count() == df.count()
+    sizes = blocks.groupBy("trace_id", "__block").count().collect()
+    assert max(r["count"] for r in sizes) < 2500 and len(sizes) >= 6
+    deep = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 40)
+    assert deep.where("NOT __halo").count() == df.count() and deep.where("NOT __halo").select("event_id").distinct().count() == df.count()
+    assert max(r["count"] for r in deep.groupBy("trace_id", "__block").count().collect()) < 400
+
+
+def test_runs_across_block_borders_are_seen_whole(spark):
+    d = _lane(8000, 7)
+    runs = set()
+    for a in range(50, 7900, 83):
+        d[a : a + 9] = d[a]
+        runs |= set(range(a, a + 9))
+    rows = [("t", 1, i, float(i), float(v), "op") for i, v in enumerate(d)]
+    df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
+    for block_rows in (10**6, 1500, 700):
+        got = implausible(df, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op", block_rows=block_rows)
+        found = [r[0] for r in got.collect()]
+        assert set(found) == runs and len(found) == len(runs)

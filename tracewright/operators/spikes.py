@@ -15,7 +15,8 @@ is always constant (its runs are as long as its variation lets them be).
 
 A source with many rows is cut into blocks by its own time quantiles; each block is
 large enough to be its own normal behaviour, so no source is held by one task.
-A stuck run across a block border is found in each part that is long enough.
+Neighbouring blocks share their border rows, so a stuck run across a border is seen whole;
+each reading is judged in its own block.
 
 Defined cases: null readings are no case; NaN, infinite, non-positive values and those above
 ``MAX_VALID_DUR`` are impossible; readings without a time are compared with the levels but are in no run;
@@ -260,13 +261,14 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         codes = table["kind"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(float)
         codes = np.where(np.isnan(codes), -1, codes).astype(int)
         timed = ~table["time"].is_null().to_numpy()
+        inner = ~table["__halo"].to_numpy()
         hit: list[np.ndarray] = []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             at = np.arange(a, b)
             _, first = np.unique(id_codes[a:b], return_index=True)  # repeated rows once
             at = at[np.sort(first)]
             at = np.concatenate([at[timed[at]], at[~timed[at]]])
-            hit.append(at[judge(dur[at], codes[at], timed[at])])
+            hit.append(at[judge(dur[at], codes[at], timed[at]) & inner[at]])
         return pa.RecordBatch.from_arrays([ids.take(pa.array(np.sort(np.concatenate(hit))))], names=[item])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
