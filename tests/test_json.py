@@ -56,15 +56,16 @@ def test_very_deep_and_repeated_names():
 
 
 def test_tables(spark):
-    doc = {"g": [{"n": "x", "r": [1, 2], "k": {"z": None}}, {"n": None, "kids": [{"v": 1.5}, {}]}], "m": "q"}
+    doc = {"g": [{"n": "x", "r": [1, 2], "k": {"z": None}}, {"n": None, "r": ['a"b', None], "kids": [{"v": 1.5}, {}]}, {"r": [3]}], "m": "q"}
     rows = [(1, json.dumps(doc), "f"), (2, None, "f"), (3, "{", "f"), (4, '{"g":[]}', "f")]
     df = spark.createDataFrame(rows, "id long, text string, field string")
     t = nested.triples(df, "text", ["id", "field"])
     assert "field_" in t.columns
     t = nested.triples(df, "text", ["id"])
-    assert nested.fields_of(t) == {"$": ["m"], "g": ["k.z", "n", "r"], "g.kids": ["v"]}
+    assert nested.fields_of(t) == {"$": ["g", "m"], "g": ["k.z", "n", "r"], "g.kids": ["v"]}
     g = [tuple(r) for r in nested.table(t, "g", ["n", "r", "k.z"], ["id"]).orderBy("child_path").collect()]
-    assert g == [(1, "g[0]", "$", "x", "[1,2]", None), (1, "g[1]", "$", None, None, None)]
+    assert g == [(1, "g[0]", "$", "x", "[1,2]", None), (1, "g[1]", "$", None, '["a\\"b",null]', None), (1, "g[2]", "$", None, "[3]", None)]
+    assert [tuple(r) for r in nested.table(t, "$", ["g", "m"], ["id"]).orderBy("id").collect()] == [(1, "$", None, None, "q"), (4, "$", None, "[]", None)]
     kids = [tuple(r) for r in nested.table(t, "g.kids", ["v"], ["id"]).orderBy("child_path").collect()]
     assert kids == [(1, "g[1].kids[0]", "g[1]", "1.5"), (1, "g[1].kids[1]", "g[1]", None)]
     assert nested.objects(df.limit(0), "text", ["id"]).count() == 0

@@ -8,8 +8,8 @@ the owner's path and the path of its parent as the link.
 
 Defined cases: a null, empty, cut-off or otherwise invalid text gives no
 rows; JSON nulls give null columns, missing and null fields look alike; an empty object in an
-array is a row without values; scalars in an array become one
-text of the array's values in order; of equal names in one object the last holds;
+array is a row without values; scalars in an array become one JSON text of the array, nested
+arrays flattened, and an empty array ``[]``; of equal names in one object the last holds;
 extra columns are ignored unless
 named in ``carry``, where a clashing name gets an underscore.
 """
@@ -42,13 +42,15 @@ _TRIPLE = [
     T.StructField("ordinal", T.LongType()),
     T.StructField("kind", T.StringType()),
     T.StructField("value", T.StringType()),
+    T.StructField("element", T.BooleanType()),
 ]
 
 
 def triples(df: DataFrame, text: str, carry: list[str], leaves: bool = True) -> DataFrame:
-    """(carry..., table_path, parent_path, child_path, field, ordinal, kind, value) of each record.
+    """(carry..., table_path, parent_path, child_path, field, ordinal, kind, value, element) of each record.
 
-    One triple of kind ``object`` and empty field stands for each owner itself.
+    One triple of kind ``object`` and empty field stands for each owner itself; ``element`` marks values
+    of an array.
     """
     names = carried(carry, [f.name for f in _TRIPLE])
     source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("__text"))
@@ -72,18 +74,23 @@ def triples(df: DataFrame, text: str, carry: list[str], leaves: bool = True) ->
 
             for i in range(batch.num_rows):
                 tables: dict[str, tuple[str, int]] = {"$": ("$", 0)}
-                for n, (kind, path, plain, owner, up, value, element) in enumerate(scan(texts[i].as_py(), leaves) or ()):
+                found = scan(texts[i].as_py(), leaves) or ()
+                for n, (kind, path, plain, owner, up, value, element) in enumerate(found):
                     if owner not in tables:
                         tables[owner] = (plain, len(plain) + 1 if plain else 0)
                     name, skip = tables[owner]
                     if kind == "object" and path == owner:
                         field = ""
-                    elif kind in ("object", "array") or not leaves:
+                    elif not leaves or kind == "object":
                         continue
+                    elif kind == "array":
+                        if element or (n + 1 < len(found) and found[n + 1][1].startswith(path + "[")):
+                            continue
+                        field, value = plain[skip:] if owner != "$" else plain, "[]"
                     else:
                         field = plain[skip:] if owner != "$" else plain
                     rows.append(i)
-                    for c, v in zip(cols, (name, up or None, owner, field, n, kind, value), strict=True):
+                    for c, v in zip(cols, (name, up or None, owner, field, n, kind, value, element), strict=True):
                         c.append(v)
                 if len(rows) >= FLUSH:
                     yield flush()
@@ -113,12 +120,14 @@ def fields_of(all_triples: DataFrame) -> dict[str, list[str]]:
 def table(all_triples: DataFrame, path: str, fields: list[str], keys: list[str]) -> DataFrame:
     """One flat table: (keys..., child_path, parent_path, fields...), values as text."""
     own = all_triples.where(F.col("table_path") == path)
-    cells = own.groupBy(*keys, "child_path", "field").agg(
+    quoted = F.concat(F.lit('"'), F.regexp_replace("value", r'(["\\])', r"\\$1"), F.lit('"'))
+    shown = F.when((F.col("kind") == "string") & F.col("element"), quoted).otherwise(F.col("value"))
+    cells = own.withColumn("__shown", shown).groupBy(*keys, "child_path", "field").agg(
         F.max("parent_path").alias("parent_path"),
-        F.count(F.lit(1)).alias("n"),
+        F.max("element").alias("listed"),
         F.max(F.when(F.col("kind") != "null", F.col("value"))).alias("one"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda t: t["value"]).alias("many"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "__shown"))), lambda t: t["__shown"]).alias("many"),
     )
-    value = F.when(F.col("n") > 1, F.concat(F.lit("["), F.array_join("many", ",", "null"), F.lit("]"))).otherwise(F.col("one"))
+    value = F.when(F.col("listed"), F.concat(F.lit("["), F.array_join("many", ",", "null"), F.lit("]"))).otherwise(F.col("one"))
     picked = [F.max(F.when(F.col("field") == f, F.col("__v"))).alias(f) for f in fields]
     return cells.withColumn("__v", value).groupBy(*keys, "child_path").agg(F.max("parent_path").alias("parent_path"), *picked)

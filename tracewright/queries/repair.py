@@ -88,6 +88,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.table(all_triples, "distributedInfo.groups", ["gname", "ranks", "size"], ["record_id"])
 
 
+P2_GROUPS_SQL = """
+WITH docs AS (SELECT DISTINCT record_id, payload::JSON AS doc FROM trace_json WHERE json_valid(payload)),
+g AS (SELECT record_id, i, json_extract(doc, '$.distributedInfo.groups[' || i || ']') AS g
+  FROM (SELECT *, unnest(range(CAST(json_array_length(doc, '$.distributedInfo.groups') AS BIGINT))) AS i FROM docs))
+SELECT record_id, 'distributedInfo.groups[' || i || ']' AS child_path, '$' AS parent_path, json_extract_string(g, '$.gname') AS gname,
+  CASE WHEN json_type(g, '$.ranks') = 'ARRAY' THEN CAST(json_extract(g, '$.ranks') AS VARCHAR) END AS ranks, json_extract_string(g, '$.size') AS "size"
+FROM g WHERE json_type(g) = 'OBJECT'
+"""
+
+
 def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.file_schemas(load(spark, sf_dir, "trace_json"), "payload", "stream_id", "file_no")
 
@@ -119,4 +129,4 @@ QUERIES = {
     "p6_versions": p6_versions,
     "p6_events": p6_events,
 }
-ORACLE = {"p2_found": P2_SQL, "p4_found": P4_SQL}
+ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p4_found": P4_SQL}
