@@ -94,6 +94,22 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+_SHARED = """
+WITH w AS (SELECT DISTINCT doc_id, i, substr(text, i + 1, 150) AS piece FROM (
+  SELECT doc_id, text, unnest(range(CAST(length(text) - 149 AS BIGINT))) AS i FROM documents WHERE length(text) >= 150)),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w
+  WHERE piece IN (SELECT piece FROM w GROUP BY piece HAVING min(doc_id) < max(doc_id))),
+runs AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 150 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit),
+spans AS (SELECT doc_id, CAST(min(i) AS INT) AS span_start, CAST(max(i) + 150 AS INT) AS span_end FROM runs GROUP BY doc_id, k)
+"""
+P9_SQL = f"{_SHARED} SELECT * FROM spans"
+P9_SHARES_SQL = f"""{_SHARED}
+SELECT d.doc_id, CAST(coalesce(length(text), 0) AS INT) AS n_chars, CAST(coalesce(s, 0) AS BIGINT) AS shared_chars,
+  CASE WHEN length(text) > 0 THEN coalesce(s, 0)::DOUBLE / length(text) ELSE 0.0::DOUBLE END AS shared_share
+FROM documents d LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS s FROM spans GROUP BY 1) c ON c.doc_id = d.doc_id
+"""
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document is shared elsewhere."""
     docs = load(spark, sf_dir, "documents")
@@ -111,4 +127,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
-ORACLE = {"p3_found": P3_SQL, "p5_found": P5_SQL, "p5_percentiles": P5_ALL_SQL}
+ORACLE = {"p9_found": P9_SQL, "p9_shares": P9_SHARES_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_percentiles": P5_ALL_SQL}
