@@ -51,7 +51,7 @@ def scan(text: str | None, leaves: bool = True) -> list[Triple] | None:
         return None
     try:
         return _scan(text, leaves)
-    except (Invalid, ValueError, IndexError):
+    except (Invalid, ValueError, IndexError):  # IndexError: the text ended where a character must follow
         return None
 
 
@@ -76,10 +76,13 @@ def _scan(text: str, leaves: bool) -> list[Triple]:
             if state in ("first", "name"):
                 if mark == '"':
                     top.key, pos = scanstring(text, pos, True)
-                    c = match(text, pos)
-                    if c is None or c.group(1) != ":":
-                        raise Invalid
-                    pos = c.end()
+                    if text[pos] == ":":
+                        pos += 1
+                    else:
+                        c = match(text, pos)
+                        if c is None or c.group(1) != ":":
+                            raise Invalid
+                        pos = c.end()
                     keys = top.keys
                     if top.key in keys:
                         _forget(out, top, keys[top.key])
@@ -132,31 +135,36 @@ def _scan(text: str, leaves: bool) -> list[Triple]:
                 path = f"{top.path}.{key}" if top.path else key
                 plain = f"{top.plain}.{key}" if top.plain else key
             top.state = "more"
-        if mark == "{":
+        if mark is None:
+            if number is not None:
+                if leaves:
+                    add(("number", path, plain, owner, up, number, element))
+            elif leaves:
+                add(("null" if word == "null" else "boolean", path, plain, owner, up, word, element))
+        elif mark == '"':
+            value, pos = scanstring(text, pos, True)
+            if leaves:
+                add(("string", path, plain, owner, up, value, element))
+        elif mark == "{":
             if element:
                 owner, up = path, owner
             top = Node(False, path, plain, owner, up)
             stack.append(top)
             add(("object", path, plain, owner, up, None, element))
+            continue
         elif mark == "[":
             top = Node(True, path, plain, owner, up)
             stack.append(top)
             add(("array", path, plain, owner, up, None, element))
-        elif mark == '"':
-            value, pos = scanstring(text, pos, True)
-            if leaves:
-                add(("string", path, plain, owner, up, value, element))
-            done = top is None
-        elif number is not None:
-            if leaves:
-                add(("number", path, plain, owner, up, number, element))
-            done = top is None
-        elif word is not None:
-            if leaves:
-                add(("null" if word == "null" else "boolean", path, plain, owner, up, word, element))
-            done = top is None
+            continue
         else:
             raise Invalid
+        # a scalar has ended; a comma right behind it saves a token
+        if top is None:
+            done = True
+        elif text[pos] == ",":
+            pos += 1
+            top.state = "value" if top.array else "name"
 
 
 def _forget(out: list[Triple], at: Node, since: int) -> None:
