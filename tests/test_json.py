@@ -68,6 +68,8 @@ def test_tables(spark):
     assert [tuple(r) for r in nested.table(t, "$", ["g", "m"], ["id"]).orderBy("id").collect()] == [(1, "$", None, None, "q"), (4, "$", None, "[]", None)]
     kids = [tuple(r) for r in nested.table(t, "g.kids", ["v"], ["id"]).orderBy("child_path").collect()]
     assert kids == [(1, "g[1].kids[0]", "g[1]", "1.5"), (1, "g[1].kids[1]", "g[1]", None)]
+    every = nested.tables(t, ["id"])
+    assert sorted(every) == ["$", "g", "g.kids"] and every["g.kids"].count() == 2
     assert nested.objects(df.limit(0), "text", ["id"]).count() == 0
 
 

@@ -131,3 +131,12 @@ def table(all_triples: DataFrame, path: str, fields: list[str], keys: list[str])
     value = F.when(F.col("listed"), F.concat(F.lit("["), F.array_join("many", ",", "null"), F.lit("]"))).otherwise(F.col("one"))
     picked = [F.max(F.when(F.col("field") == f, F.col("__v"))).alias(f) for f in fields]
     return cells.withColumn("__v", value).groupBy(*keys, "child_path").agg(F.max("parent_path").alias("parent_path"), *picked)
+
+
+def tables(all_triples: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Every flat table of the records, by its path; each row links to its parent by ``parent_path``."""
+    found = fields_of(all_triples)
+    paths = all_triples.select("table_path").distinct().limit(MAX_FIELDS + 1).collect()
+    if len(paths) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} tables")
+    return {r["table_path"]: table(all_triples, r["table_path"], found.get(r["table_path"], []), keys) for r in sorted(paths)}

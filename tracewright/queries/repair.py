@@ -88,6 +88,25 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.table(all_triples, "distributedInfo.groups", ["gname", "ranks", "size"], ["record_id"])
 
 
+def p2_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest flat table: frames of calls of events, linked to their call."""
+    all_triples = nested.triples(_records(spark, sf_dir), "payload", ["record_id"])
+    return nested.table(all_triples, "traceEvents.args.calls.frames", ["f", "line"], ["record_id"])
+
+
+P2_FRAMES_SQL = """
+WITH docs AS (SELECT DISTINCT record_id, payload::JSON AS doc FROM trace_json WHERE json_valid(payload)),
+e AS (SELECT record_id, i, json_extract(doc, '$.traceEvents[' || i || ']') AS e
+  FROM (SELECT *, unnest(range(CAST(json_array_length(doc, '$.traceEvents') AS BIGINT))) AS i FROM docs)),
+c AS (SELECT record_id, i, j, json_extract(e, '$.args.calls[' || j || ']') AS c
+  FROM (SELECT *, unnest(range(CAST(json_array_length(e, '$.args.calls') AS BIGINT))) AS j FROM e)),
+f AS (SELECT record_id, i, j, k, json_extract(c, '$.frames[' || k || ']') AS f
+  FROM (SELECT *, unnest(range(CAST(json_array_length(c, '$.frames') AS BIGINT))) AS k FROM c))
+SELECT record_id, 'traceEvents[' || i || '].args.calls[' || j || '].frames[' || k || ']' AS child_path,
+  'traceEvents[' || i || '].args.calls[' || j || ']' AS parent_path, json_extract_string(f, '$.f') AS f, json_extract_string(f, '$.line') AS line
+FROM f WHERE json_type(f) = 'OBJECT'
+"""
+
 P2_GROUPS_SQL = """
 WITH docs AS (SELECT DISTINCT record_id, payload::JSON AS doc FROM trace_json WHERE json_valid(payload)),
 g AS (SELECT record_id, i, json_extract(doc, '$.distributedInfo.groups[' || i || ']') AS g
@@ -124,9 +143,10 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p2_frames": p2_frames,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_versions": p6_versions,
     "p6_events": p6_events,
 }
-ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p4_found": P4_SQL}
+ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p2_frames": P2_FRAMES_SQL, "p4_found": P4_SQL}
