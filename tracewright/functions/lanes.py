@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,10 @@ def with_lane(events: DataFrame) -> DataFrame:
     )
 
 
-def valid_readings(events: DataFrame) -> DataFrame:
-    """(trace_id, tid, op, event_id, ts, dur) of the valid readings, redelivered rows still in."""
+def valid_readings(events: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(trace_id, tid, op, event_id, ts, dur, more...) of the valid readings, redelivered rows still in."""
     return (
         with_lane(events)
         .where(is_valid(F.col("ts"), F.col("dur")))
-        .select("trace_id", "tid", "op", "event_id", "ts", "dur")
+        .select("trace_id", "tid", "op", "event_id", "ts", "dur", *more)
     )

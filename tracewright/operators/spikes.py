@@ -193,48 +193,57 @@ def clock_step(x: np.ndarray) -> float:
     return step if (np.abs(often / step - np.round(often / step)) < 0.07).all() else 0.0
 
 
+IMPOSSIBLE, STUCK, FAR_OFF = 1, 2, 3
+REASONS = {IMPOSSIBLE: "impossible", STUCK: "stuck", FAR_OFF: "far off"}
+
+
 def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
-    """Flags of one block: readings in order of time (untimed last), ``kind`` a code or -1."""
+    """Reasons (0: none) for one block: readings in order of time (untimed last), ``kind`` a code or -1."""
+    why = np.zeros(len(dur), np.int8)
     bad = impossible(dur)
-    flags = bad.copy()
     run = np.flatnonzero(~bad & timed)
     held = np.zeros(len(dur), bool)
     held[run] = stuck(dur[run])
-    flags |= held
+    why[bad], why[held] = IMPOSSIBLE, STUCK
     use = ~bad & ~held
-    if use.sum() < MIN_RUN:
-        return flags
-    y = np.full(len(dur), np.nan)
-    y[~bad] = np.log(dur[~bad])
-    step = clock_step(dur[use])
+    if use.sum() >= MIN_RUN:
+        y = np.full(len(dur), np.nan)
+        y[~bad] = np.log(dur[~bad])
+        why[_far_off(y, clock_step(dur[use]), kind, use)] = FAR_OFF
+    return why
+
+
+def _far_off(y: np.ndarray, step: float, kind: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Places of readings outside of what their kind, or failing that their source, normally shows."""
+    out = np.zeros(len(y), bool)
     kinds = [k for k in np.unique(kind[use]) if k >= 0]
     large = [k for k in kinds if (use & (kind == k)).sum() >= 8]
-    resid = [np.abs(y[s] - np.median(y[s])) for k in large if (s := use & (kind == k)).any()]
-    pooled = 1.4826 * float(np.median(np.concatenate(resid))) if resid else -1.0
     if not large:  # no kind has readings enough: the source is one kind
         lv = Level(y[use], step, -1.0)
-        flags[use] |= ~lv.near(y[use]) & (np.abs(y[use] - lv.level) > FAR)
-        return flags
+        out[use] = ~lv.near(y[use]) & (np.abs(y[use] - lv.level) > FAR)
+        return np.flatnonzero(out)
+    resid = [np.abs(y[s] - np.median(y[s])) for k in large for s in [use & (kind == k)]]
+    pooled = 1.4826 * float(np.median(np.concatenate(resid)))
     levels = {k: Level(y[use & (kind == k)], step, pooled) for k in large}
     low = min(lv.level - lv.threshold() * lv.noise for lv in levels.values())
     high = max(lv.level + lv.threshold() * lv.noise for lv in levels.values())
     for k in kinds:
         at = np.flatnonzero(use & (kind == k))
         if k in levels:
-            flags[at] |= kalman_flags(y[at], levels[k])
+            out[at] = kalman_flags(y[at], levels[k])
             continue
         v = y[at]
         off = np.abs(v - np.median(v)) if len(v) >= 3 else np.full(len(v), np.inf)
         wide = 0.0 if len(v) >= 3 else WIDE  # kinds of one source differ by so much
-        flags[at] |= ((v < low - wide) | (v > high + wide)) & (off > max(FAR, THRESHOLD * pooled))
+        out[at] = ((v < low - wide) | (v > high + wide)) & (off > max(FAR, THRESHOLD * pooled))
     none = np.flatnonzero(use & (kind < 0))
     v = y[none]
-    flags[none] |= ~((v >= low) & (v <= high) | np.any([lv.near(v) for lv in levels.values()], axis=0))
-    return flags
+    out[none] = ~((v >= low) & (v <= high) | np.any([lv.near(v) for lv in levels.values()], axis=0))
+    return np.flatnonzero(out)
 
 
 def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value: str, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(item): ids of the readings that cannot be right for their source."""
+    """(item, reason): the readings that cannot be right for their source, with ``impossible``, ``stuck`` or ``far off``."""
     own = [f"s{i}" for i in range(len(source))]
     rows = df.select(
         *[F.col(c).alias(o) for c, o in zip(source, own, strict=True)],
@@ -244,7 +253,8 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         rows = rows.where(F.col(o).isNotNull())
     rows = time_blocks(rows.where(F.col("value").isNotNull() & F.col("item").isNotNull()), own, "time", "item", block_rows)
     keys = [*own, "__block"]
-    out = T.StructType([T.StructField(item, rows.schema["item"].dataType)])
+    reason = "reason" if item != "reason" else "reason_"
+    out = T.StructType([T.StructField(item, rows.schema["item"].dataType), T.StructField(reason, T.StringType())])
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         head = table.select(keys).to_pandas()
@@ -262,14 +272,16 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         codes = np.where(np.isnan(codes), -1, codes).astype(int)
         timed = ~table["time"].is_null().to_numpy()
         inner = ~table["__halo"].to_numpy()
-        hit: list[np.ndarray] = []
+        why = np.zeros(len(head), np.int8)
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             at = np.arange(a, b)
             _, first = np.unique(id_codes[a:b], return_index=True)  # repeated rows once
             at = at[np.sort(first)]
             at = np.concatenate([at[timed[at]], at[~timed[at]]])
-            hit.append(at[judge(dur[at], codes[at], timed[at]) & inner[at]])
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.sort(np.concatenate(hit))))], names=[item])
+            why[at] = judge(dur[at], codes[at], timed[at])
+        hit = np.flatnonzero((why > 0) & inner)
+        words = pa.array([REASONS[w] for w in why[hit].tolist()], pa.string())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), words], names=[item, reason])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

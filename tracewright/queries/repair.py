@@ -26,6 +26,15 @@ readings AS (
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _implausible(spark, sf_dir).select("event_id")
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each of the events is implausible."""
+    return _implausible(spark, sf_dir)
+
+
+def _implausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = with_lane(load(spark, sf_dir, "trace_events"))
     return implausible(events, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op")
 
@@ -141,6 +150,7 @@ def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p2_frames": p2_frames,
