@@ -46,6 +46,13 @@ def test_parts_combine(spark):
     assert _got(P.combine(*parts)) == _got(P.combine(P.combine(parts[2], parts[0]), parts[1])) == _brute(rows)
 
 
+def test_days_roll_up(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.lognormvariate(3, 1), i, i % 5, 0) for i in range(600)]
+    by_day = P.summarize(_frame(spark, rows), ["v", "q"], "x", "id")
+    assert _got(P.roll_up(by_day, ["q"])) == _brute(rows)
+
+
 def test_empty(spark):
     assert _got(P.summarize(_frame(spark, []), ["q"], "x")) == []
 

@@ -17,7 +17,7 @@ def test_tree_is_exact(text, leaf):
     enc = K.encoder(PATH)
     whole = enc.encode_ordinary(text)
     assert K.encode(enc, text, leaf) == whole
-    assert K.decode(enc, whole) == text
+    assert K.decode(enc, whole, leaf) == text
 
 
 @settings(max_examples=100, deadline=None)
@@ -53,3 +53,5 @@ def test_column(spark):
     assert [(r["doc_id"], r["ids_"], r["ids"]) for r in rows] == [(1, "a", []), (2, "b", []), (3, None, want), (3, None, want)]
     assert [r["n_tokens"] for r in K.encode_column(df, "text", ["doc_id"], counts_only=True).orderBy("doc_id").collect()] == [0, 0, len(want), len(want)]
     assert K.encode_column(df.limit(0), "text", ["doc_id"]).count() == 0
+    back = K.decode_column(K.encode_column(df, "text", ["doc_id"]), "ids", ["doc_id"]).orderBy("doc_id").collect()
+    assert [r["text"] for r in back] == ["", "", "a <|endoftext|> b", "a <|endoftext|> b"]

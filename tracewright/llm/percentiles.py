@@ -66,6 +66,13 @@ def combine(*summaries: Summary) -> Summary:
     return Summary(both.groupBy(*first.own, "v").agg(F.sum("n").alias("n")), first.keys)
 
 
+def roll_up(summary: Summary, keys: list[str]) -> Summary:
+    """The summary by fewer keys: days, slices or whatever else is left out are combined."""
+    kept = [F.col(o).alias(f"k{keys.index(k)}") for k, o in zip(summary.keys, summary.own, strict=True) if k in keys]
+    rows = summary.frame.select(*kept, "v", "n")
+    return Summary(rows.groupBy(*[f"k{i}" for i in range(len(keys))], "v").agg(F.sum("n").alias("n")), list(keys))
+
+
 def _log_cell(v: Column) -> Column:
     """A coarse cell number that never falls as the value rises."""
     size = lambda x: F.floor(F.log2(x) * LOG_STEPS) + F.lit(10_000)

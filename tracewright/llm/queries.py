@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.lanes import valid_readings
 from tracewright.llm.mixing import mix
-from tracewright.llm.percentiles import percentiles, summarize
+from tracewright.llm.percentiles import percentiles, roll_up, summarize
 from tracewright.llm.spans import shared_share, shared_spans
-from tracewright.llm.tokens import encode_column
+from tracewright.llm.tokens import decode_column, encode_column
 from tracewright.llm.topn import top_n_per_group
 from tracewright.plans.durable import cut, load
 from tracewright.queries.repair import READINGS_SQL
@@ -52,6 +52,14 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p5(spark, sf_dir, [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
 
 
+def p5_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from summaries of separate days, combined."""
+    events = valid_readings(load(spark, sf_dir, "trace_events"), ["captured_at"]).where(F.col("op").isNotNull())
+    days = events.withColumn("day", F.to_date("captured_at"))
+    by_day = summarize(days, [*LANE_OP, "day"], "dur", "event_id")
+    return percentiles(roll_up(by_day, LANE_OP), [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+
+
 _RANKED = f"""
 WITH {READINGS_SQL},
 ranked AS (SELECT trace_id, tid, op, dur, row_number() OVER (PARTITION BY trace_id, tid, op ORDER BY dur) AS r,
@@ -71,6 +79,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(load(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+def p7_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, encoded and decoded again."""
+    return decode_column(p7_ids(spark, sf_dir), "ids", ["doc_id"])
+
+
+P7_ROUNDTRIP_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = cut(encode_column(load(spark, sf_dir, "documents"), "text", ["doc_id", "source"], counts_only=True))
     return mix(sized, load(spark, sf_dir, "mix_targets"))
@@ -120,11 +136,13 @@ QUERIES = {
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_percentiles": p5_percentiles,
+    "p5_days": p5_days,
     "p7_ids": p7_ids,
+    "p7_roundtrip": p7_roundtrip,
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
-ORACLE = {"p9_found": P9_SQL, "p9_shares": P9_SHARES_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_percentiles": P5_ALL_SQL}
+ORACLE = {"p9_found": P9_SQL, "p9_shares": P9_SHARES_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p5_percentiles": P5_ALL_SQL, "p5_days": P5_ALL_SQL, "p7_roundtrip": P7_ROUNDTRIP_SQL}

@@ -132,9 +132,16 @@ def encode(enc, text: str | None, leaf_size: int = LEAF) -> list[int]:
     return enc.encode_ordinary(text) if node.ids is None else node.ids
 
 
-def decode(enc, ids: list[int]) -> str:
-    """The text of ids: the concatenation of what their halves stand for."""
-    return enc.decode_bytes(ids).decode("utf-8", errors="replace")
+def _bytes(enc, ids: list[int], leaf_size: int) -> bytes:
+    if len(ids) <= leaf_size:
+        return enc.decode_bytes(ids)
+    half = len(ids) // 2
+    return _bytes(enc, ids[:half], leaf_size) + _bytes(enc, ids[half:], leaf_size)
+
+
+def decode(enc, ids: list[int], leaf_size: int = LEAF) -> str:
+    """The text of ids: bytes of the halves are concatenated up the tree (a character may lie in both)."""
+    return _bytes(enc, ids, leaf_size).decode("utf-8", errors="replace")
 
 
 def encode_column(df: DataFrame, text: str, carry: list[str], *, ids: str = "ids", vocabulary: str = "byte_bpe_50k", leaf_size: int = LEAF, counts_only: bool = False) -> DataFrame:
@@ -158,3 +165,19 @@ def encode_column(df: DataFrame, text: str, carry: list[str], *, ids: str = "ids
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], col], names=[*kept, out.name])
 
     return source.mapInArrow(run, schema)
+
+
+def decode_column(df: DataFrame, ids: str, carry: list[str], *, text: str = "text", vocabulary: str = "byte_bpe_50k") -> DataFrame:
+    """(carry..., text): the text of each list of ids; null lists give null."""
+    path = f"{TOKENIZER_DIR}/{vocabulary}.tiktoken"
+    kept = carried(carry, [text])
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, kept, strict=True)], F.col(ids).alias("__ids"))
+    schema = T.StructType([*source.schema.fields[: len(carry)], T.StructField(text, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            texts = [None if x is None else decode(enc, x) for x in batch["__ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(texts, pa.string())], names=[*kept, text])
+
+    return source.mapInArrow(run, schema)
