@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracewright.model import TRACE_COLS
+from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, TRACE_COLS
 from tracewright.operators.graph import clean_edges, clean_nodes, numbered_edges
 from tracewright.operators.schedules import graph_edges, graph_nodes
 from tracewright.plans.durable import cut, cut_counted
@@ -82,16 +82,37 @@ def run_schedule(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _unique(nodes: pd.DataFrame) -> pd.DataFrame:
+    """One node per key: the last added, a known duration before a null one (as :func:`clean_nodes`)."""
+    return nodes.sort_values(["event_num", "dur"], kind="stable", na_position="first").drop_duplicates(KEY_COLS, keep="last")
+
+
+def _numbered(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Edges between existing nodes, by number (as :func:`numbered_edges`)."""
+    number = dict(zip(zip(*(nodes[c].tolist() for c in KEY_COLS), strict=True), nodes["event_num"].tolist(), strict=True))
+    ends = [zip(*(edges[c].tolist() for c in EDGE_COLS[i : i + 4]), strict=True) for i in (1, 5)]
+    pairs = [(number[a], number[b]) for a, b in zip(*ends, strict=True) if a in number and b in number]
+    return pd.DataFrame(pairs, columns=["src_num", "dst_num"])
+
+
 def simulate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The timed trace of every graph; device = stage, ``seq`` = order of execution on it."""
-    nodes, edges = clean_nodes(nodes), clean_edges(edges)
-    pairs = numbered_edges(nodes, edges).select(F.col("graph_id").alias("of_graph"), "src_num", "dst_num")
+    """The timed trace of every graph; device = stage, ``seq`` = order of execution on it.
+
+    Nodes and edges are shuffled once, by graph; repeated rows and keys are settled where the graph is simulated.
+    """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = run_schedule(left, right)
+        left = _unique(left)
+        out = run_schedule(left, _numbered(left, right))
         return out.assign(trace_id=out["graph_id"], dev_id=out["stage_id"])[TRACE_COLS]
 
-    return nodes.groupBy("graph_id").cogroup(pairs.groupBy("of_graph")).applyInPandas(kernel, _TRACE)
+    by_graph = edges.select(F.col("graph_id").alias("of_graph"), *EDGE_COLS[1:])
+    return nodes.select(*NODE_COLS).groupBy("graph_id").cogroup(by_graph.groupBy("of_graph")).applyInPandas(kernel, _TRACE)
+
+
+def unreached(nodes: DataFrame, trace: DataFrame) -> DataFrame:
+    """Nodes that the simulation never took (on or behind a cycle)."""
+    return clean_nodes(nodes).join(trace.select(F.col("trace_id").alias("graph_id"), "event_num"), ["graph_id", "event_num"], "left_anti")
 
 
 _SHAPE = ["schedule", "nstages", "nmicrobatches", "nchunks", "eager"]
@@ -191,11 +212,6 @@ def simulate_configs(configs: DataFrame, max_shape_nodes: int = MAX_SHAPE_NODES)
     return rows.mapInArrow(run, schema)
 
 
-def unreached(nodes: DataFrame, trace: DataFrame) -> DataFrame:
-    """Nodes that the simulation never took (on or behind a cycle)."""
-    return clean_nodes(nodes).join(trace.select(F.col("trace_id").alias("graph_id"), "event_num"), ["graph_id", "event_num"], "left_anti")
-
-
 def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_000) -> DataFrame:
     """The same trace by relational waves: one bounded-lineage step per hop of the longest path.
 
