@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, TRACE_COLS
 from tracewright.operators.graph import clean_edges, clean_nodes, numbered_edges
 from tracewright.operators.schedules import graph_edges, graph_nodes
-from tracewright.plans.durable import cut, cut_counted
+from tracewright.plans.durable import cut, cut_counted, discard
 
 _TRACE = (
     "trace_id string, dev_id int, seq bigint, event_num bigint, event_type string, name string, ts bigint, dur bigint, "
@@ -238,15 +238,15 @@ def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_00
             now = clocks.join(now, lane, "full").select(*lane, F.coalesce("new", "clock").alias("clock"))
         else:
             now = now.withColumnRenamed("new", "clock")
-        clocks = cut(now)
+        old_clocks, clocks = clocks, cut(now)
         hit = (
             wave.select("graph_id", F.col("event_num").alias("src_num"), "rank", "end")
             .join(pairs, ["graph_id", "src_num"])
             .groupBy("graph_id", F.col("dst_num").alias("event_num"))
             .agg(F.count(F.lit(1)).alias("met"), F.max("rank").alias("last"), F.max("end").alias("from"))
         )
-        state = cut(
-            state.where("need > 0").join(hit, key, "left").select(
+        old_state, state = state, cut(
+            state.where("need > 0").drop("last").join(hit, key, "left").select(
                 *key, "stage_id", "dur", (F.col("need") - F.coalesce("met", zero)).alias("need"), F.greatest("ready", F.coalesce("from", zero)).alias("ready"), "last"
             )
         )
@@ -254,8 +254,10 @@ def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_00
         ready = F.greatest("ready", F.coalesce("clock", zero))
         due = due.withColumn("sum", F.sum("dur").over(on_stage)).withColumn("free", F.max(ready - F.col("sum") + F.col("dur")).over(on_stage))
         wave, n = cut_counted(due.select(*key, "stage_id", "rank", (F.col("sum") + F.col("free")).alias("end"), F.lit(len(waves)).alias("depth")))
-        state = state.drop("last")
         waves.append(wave)
+        for gone in (old_clocks, old_state):
+            if gone is not None:
+                discard(gone)
     taken = waves[0]
     for w in waves[1:]:
         taken = taken.unionByName(w)

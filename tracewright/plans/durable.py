@@ -48,7 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
@@ -60,8 +62,8 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut`, once nothing reads it any more."""
-    files = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for entry in [w for w in _written if any(f.endswith(w[1].split(":")[-1]) for f in files)]:
+    path = getattr(df, "_cut_path", None)
+    for entry in [w for w in _written if w[1] == path]:
         _remove(*entry)
         _written.remove(entry)
 

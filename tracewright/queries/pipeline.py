@@ -11,7 +11,7 @@ from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, cost_is_valid, par
 from tracewright.operators import graph, layout, metrics, trace
 from tracewright.operators.schedules import config_is_sound, graph_edges, graph_nodes
 from tracewright.operators.simulate import simulate, simulate_configs, simulate_waves
-from tracewright.plans.durable import load
+from tracewright.plans.durable import cut, load
 from tracewright.plans.flow import FlowGraph, FlowNode
 from tracewright.queries import pipeline_sql as sql
 from tracewright.sources.profiler import DOC_SCHEMA, classify, events_of
@@ -381,7 +381,7 @@ def trace_info_str(spark, sf):
     SELECT * FROM tr UNION ALL SELECT tr.* REPLACE (l + 1 + tr.seq AS seq) FROM tr JOIN m USING (trace_id, dev_id)""",
 )
 def trace_append(spark, sf):
-    t = _sim(_sound(spark, sf, "gpipe"), "gpipe")
+    t = cut(_sim(_sound(spark, sf, "gpipe"), "gpipe"))  # read three times
     return trace.add_events(t, t)
 
 
@@ -443,7 +443,7 @@ def _mixed(c: str, chunk: str) -> str:
     '#' || {_mixed('r', 'chunk_id')} || {_mixed('g', 'chunk_id')} || {_mixed('b', 'chunk_id')} AS color FROM br JOIN {_BASE} ON ty = event_type""",
 )
 def layout_bars(spark, sf):
-    return layout.bars(_sim(_drawable(spark, sf, "zbv"), "zbv"))
+    return layout.bars(cut(_sim(_drawable(spark, sf, "zbv"), "zbv")))  # read three times
 
 
 @query(
@@ -465,7 +465,7 @@ def layout_colors(spark, sf):
     '#' || lpad(lower(to_hex(r)), 2, '0') || lpad(lower(to_hex(g)), 2, '0') || lpad(lower(to_hex(b)), 2, '0') AS color FROM po JOIN ls USING (trace_id) JOIN {_BASE} ON ty = event_type""",
 )
 def layout_legend(spark, sf):
-    return layout.legend(_sim(_drawable(spark, sf, "zbv"), "zbv"))
+    return layout.legend(cut(_sim(_drawable(spark, sf, "zbv"), "zbv")))  # read twice
 
 
 @query(
