@@ -34,6 +34,8 @@ from tracewright.plans.durable import cut
 BLOCK = 8192
 #: Open documents a block can leave behind: one per constraint.
 OPEN = 2
+#: Sources that targets may name; the table of targets is held by the driver and broadcast.
+MAX_SOURCES = 100_000
 
 
 def fly(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -98,7 +100,9 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     """
     name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     goals = targets.select(name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    listed = goals.collect()  # one row per named source, given by the user
+    listed = goals.limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} target sources")
     if len({r["source"] for r in listed}) < len(listed):
         raise ValueError("a source is named twice in the targets")
     docs = docs.select("doc_id", name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
