@@ -94,6 +94,12 @@ def test_changes(spark):
     ]
     v = drift.versions(drift.file_schemas(_files(spark, [base, base, renamed]), "p", "s", "f"))
     assert [r["version"] for r in v.orderBy("file").collect()] == [1, 1, 2]
+    schemas = drift.file_schemas(_files(spark, [base, base, renamed, gone]), "p", "s", "f")
+    steps = drift.migration_steps(schemas, drift.changes(schemas)).orderBy("file", "step").collect()
+    assert [tuple(r)[1:] for r in steps] == [
+        (2, 1, 2, 1, "rename", "e.args.mb", "e.args.mb_id"), (2, 1, 2, 2, "rename", "e.name", "e.op_name"), (2, 1, 2, 3, "cast", "w", "number"),
+        (3, 2, 3, 1, "default", "e.args", "null"), (3, 2, 3, 2, "default", "e.dur", "null"), (3, 2, 3, 3, "add", "e.note", "string"),
+    ]
     assert drift.changes(drift.file_schemas(_files(spark, [base]).limit(0), "p", "s", "f")).count() == 0
 
 

@@ -141,6 +141,13 @@ def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("stream").alias("stream_id"), F.col("file").alias("file_no"), "version", "fingerprint")
 
 
+def p6_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The migration steps of each version of each stream."""
+    schemas = cut(_schemas(spark, sf_dir))
+    found = drift.migration_steps(schemas, drift.changes(schemas))
+    return found.withColumnsRenamed({"stream": "stream_id", "file": "file_no"})
+
+
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All traceEvents of all files in one table with steady columns and types."""
     schemas = cut(_schemas(spark, sf_dir))
@@ -157,6 +164,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_versions": p6_versions,
+    "p6_steps": p6_steps,
     "p6_events": p6_events,
 }
 ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p2_frames": P2_FRAMES_SQL, "p4_found": P4_SQL}
