@@ -53,6 +53,13 @@ def test_days_roll_up(spark):
     assert _got(P.roll_up(by_day, ["q"])) == _brute(rows)
 
 
+def test_smallest_and_largest_values(spark):
+    values = [1e-322, 1.05e-322, 1.1e-322, 1.7e308, 1.75e308, 1.79e308, -1.7e308, -1.75e308, 0.0, -0.0]
+    rows = [("g", v, i, 0, 0) for i, v in enumerate(values)]
+    qs = [0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+    assert _got(P.summarize(_frame(spark, rows), ["q"], "x", "id"), qs) == _brute(rows, qs)
+
+
 def test_empty(spark):
     assert _got(P.summarize(_frame(spark, []), ["q"], "x")) == []
 

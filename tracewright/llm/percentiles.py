@@ -128,8 +128,8 @@ def percentiles(summary: Summary, qs: list[float], max_passes: int = 64) -> Data
             .join(broadcast_if_small(side, n_open), on & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")), "inner")
             .drop(*[f"__k_{i}" for i in range(len(keys))])
         )
-        # halves first, so that the width of an interval cannot overflow
-        part = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        # both borders are of one sign and near each other since the first pass, so the width neither overflows nor vanishes
+        part = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
         cell = F.least(F.floor(part * (1 << BITS)), F.lit((1 << BITS) - 1)).cast("int")
         group = [*keys, "q", "n_readings", "target", "below"]
         counted = inside.withColumn("cell", cell).groupBy(*group, "cell").agg(
