@@ -36,6 +36,8 @@ from tracewright.plans.durable import broadcast_if_small, cut
 MIN_LEN = 150
 #: Characters handled at once; a longer document is handled alone.
 CHUNK = 1 << 19
+#: Contexts gathered before an Arrow batch is sent on.
+FLUSH = 20_000
 #: A survivor hash with more distinct contexts is compared across the cluster.
 HOT = 20_000
 #: Survivors up to which they are broadcast to the texts; beyond, the join shuffles.
@@ -159,18 +161,29 @@ def _context_rows(docs: DataFrame, min_len: int) -> DataFrame:
     """One row per surviving anchor: its hash, windows, and the text they span."""
     schema = _struct(doc_id=_LONG, h=_LONG, shift=_INT, lo=_INT, hi=_INT, ctx=T.BinaryType(), text=_STR)
 
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+
+    def flush(cols: list[list]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+        for c in cols:
+            c.clear()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list] = [[] for _ in schema.names]
         for batch in batches:
-            cols: list[list] = [[] for _ in schema.names]
-            for doc_id, text, marks in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "marks")), strict=True):
-                for m in marks:
+            for i in range(batch.num_rows):
+                doc_id, text = batch["doc_id"][i].as_py(), batch["text"][i].as_py()
+                for m in batch["marks"][i].as_py():
                     part = text[m["lo"] : m["hi"] + min_len]
                     shift = m["p"] - m["lo"]
                     key = xxhash.xxh3_128_digest(f"{m['h']}:{shift}:{part}".encode("utf-8", "surrogatepass"))
                     for c, v in zip(cols, (doc_id, m["h"], shift, m["lo"], m["hi"], key, part), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+                if len(cols[0]) >= FLUSH:
+                    yield flush(cols)
+        if cols[0]:
+            yield flush(cols)
 
     return docs.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ final sort.  All other groups take one ordinary window.  Both branches end in th
 same total order, so the union is exact.
 
 Defined cases: a null group key is a group of its own; rows with a null score
-rank last; rows equal in all order columns are repeats of one item and come out
+rank last, NaN ranks above all numbers; rows equal in all order columns are repeats of one item and come out
 once; ties follow the later order columns; an empty input gives an empty
 result; extra columns are carried along, one named like the place gets an
 underscore.
