@@ -120,3 +120,21 @@ def test_steady_table(spark):
     out = drift.steady_table(df, "p", ["f"], rules, "e").orderBy("f", "child_path")
     assert out.columns == ["f", "parent_path", "child_path", "args_mb", "dur", "name", "ok"]
     assert [tuple(r)[3:] for r in out.collect()] == [(1.0, "5", "a", None)] * 2 + [(2.0, "6", "b", None), (None, None, None, True)]
+
+
+def test_steady_table_keeps_arrays_objects_and_what_does_not_fit(spark):
+    docs = [{"e": [{"shapes": "[1]", "n": 1, "args": {"calls": [{"fn": "f", "line": 3}], "o": {}}}], "info": {"rank": 1, "groups": [{"ranks": [0, 1]}]}, "w": 2}] * 2
+    docs += [{"e": [{"shapes": [[1, 2], []], "n": "x", "args": 7}, {"n": 2**60 + 1, "args": {"calls": []}}], "info": {"rank": "2", "groups": []}, "w": 3}]
+    df = _files(spark, docs)
+    schemas = drift.file_schemas(df, "p", "s", "f")
+    rules = drift.migration_rules(schemas, drift.changes(schemas))
+    out = drift.steady_table(df, "p", ["f"], rules, "e", "rest").orderBy("f", "child_path")
+    assert out.columns == ["f", "parent_path", "child_path", "args", "args_calls", "args_o", "n", "shapes", "rest"]
+    one = (None, '[{"fn":"f","line":3}]', "{}", 1.0, "[1]", None)
+    assert [tuple(r)[3:] for r in out.collect()] == [
+        one, one, ("7", None, None, None, "[[1,2],[]]", '{"n":"x"}'), (None, "[]", None, float(2**60), None, f'{{"n":{2**60 + 1}}}')
+    ]
+    root = drift.steady_table(df, "p", ["f"], rules, "", "rest", ("e",)).orderBy("f")
+    assert root.columns == ["f", "parent_path", "child_path", "info_groups", "info_rank", "w", "rest"]
+    one = (None, "$", '[{"ranks":[0,1]}]', 1.0, 2.0, None)
+    assert [tuple(r)[1:] for r in root.collect()] == [one, one, (None, "$", "[]", 2.0, 3.0, None)]

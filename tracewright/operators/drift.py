@@ -10,8 +10,8 @@ one; equal fingerprints need no look at fields.
 A vanished and a new field of the same parent are one renamed field when type,
 kind of values and name agree well enough (:func:`likeness`, :func:`affinity`); the best
 pairs are taken first.  The changes of a stream, chained, map each version's paths to
-canonical ones; :func:`steady_table` routes each file's records through its chain of
-rename, cast and default rules.
+canonical ones, one map for all streams; :func:`steady_table` routes each file's records through its
+rename, cast and default rules, and keeps what two fields of one object bring to one column.
 
 Defined cases: null, empty and invalid texts hold no fields; a field whose
 values are all null is not in the file; a file without valid records still is
@@ -23,9 +23,10 @@ an empty input gives empty results; extra columns are ignored unless carried, wh
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -365,7 +366,16 @@ def chain_rules(paths: list[tuple[str, str, int]], renames: list[tuple[str, str]
     for p, t, n in paths:
         votes = types.setdefault(canon[p], {})
         votes[t] = votes.get(t, 0) + n
-    return {p: (canon[p], min(types[canon[p]].items(), key=lambda v: (-v[1], v[0]))[0]) for p, _, _ in paths}
+    return {p: (canon[p], _steady_type(types[canon[p]])) for p, _, _ in paths}
+
+
+def _steady_type(votes: dict[str, int]) -> str:
+    """The commonest type; a field that is an array anywhere is ``array``, an object that is also a scalar ``mixed``."""
+    if "array" in votes:
+        return "array"
+    if "object" in votes and len(votes) > 1:
+        return "mixed"
+    return min(votes.items(), key=lambda v: (-v[1], v[0]))[0]
 
 
 def _cast(value: str | None, kind: str):
@@ -379,49 +389,151 @@ def _cast(value: str | None, kind: str):
     return value
 
 
-def steady_table(df: DataFrame, text: str, carry: list[str], rules: dict[str, tuple[str, str]], table: str) -> DataFrame:
+def _exact(value: str, cell: object) -> bool:
+    """Whether a cast kept the value: it fits the type, and a long integer its double."""
+    if cell is None:
+        return False
+    return not (isinstance(cell, float) and len(value) > 15 and value.lstrip("-").isdigit() and (math.isinf(cell) or int(cell) != int(value)))
+
+
+def _leaf(kind: str, value: str, steady: str) -> str:
+    """JSON text of a scalar, cast to the steady type where it fits."""
+    if kind == "string" and steady == "number" and _NUMBER.match(value):
+        return value
+    if kind == "string" and steady == "boolean" and value in ("true", "false"):
+        return value
+    if kind == "string" or (steady == "string" and kind != "null"):
+        return json.dumps(value, ensure_ascii=False)
+    return value
+
+
+def _rendered(found: list, at: int, rules: dict[str, tuple[str, str]]) -> tuple[str, int]:
+    """JSON text of the container at ``at`` with steady names and types inside, and the place behind it.
+
+    Where two names of one object have one steady name, the later keeps its own, with underscores if that is taken.
+    """
+    out: list[str] = []
+    opened: list[tuple[str, str, set[str]]] = []  # what paths inside begin with, the closing mark, names so far
+    n = at
+    while n < len(found):
+        kind, path, plain, _, _, value, element = found[n]
+        while opened and not path.startswith(opened[-1][0]):
+            out.append(opened.pop()[1])
+        if n > at:
+            if not opened:
+                break
+            start, close, names = opened[-1]
+            if out[-1] not in ("{", "["):
+                out.append(",")
+            if close == "}":
+                name = path[len(start) :]
+                calm = rules.get(plain, (name,))[0].rpartition(".")[2]
+                if "." not in name and calm not in names:
+                    name = calm
+                while name in names:
+                    name += "_"
+                names.add(name)
+                out.append(json.dumps(name, ensure_ascii=False) + ":")
+        if kind in ("object", "array"):
+            out.append("{" if kind == "object" else "[")
+            start = path + "[" if kind == "array" else path + "." if path else ""
+            opened.append((start, "}" if kind == "object" else "]", set()))
+        else:
+            out.append(_leaf(kind, value, "" if element else rules.get(plain, ("", ""))[1]))
+        n += 1
+    out += [close for _, close, _ in reversed(opened)]
+    return "".join(out), n
+
+
+def steady_table(
+    df: DataFrame, text: str, carry: list[str], rules: dict[str, tuple[str, str]], table: str, rest: str | None = None, apart: tuple[str, ...] = ()
+) -> DataFrame:
     """(carry..., parent_path, child_path, steady columns): the objects of one canonical table, whatever their file called things.
 
-    Values that do not fit the steady type become null; a field missing from a record takes the default null.
+    The table ``""`` holds the roots, one row per record; ``apart`` names arrays of it that have tables of their own.
+    An array, or an object without fields, is a string column of JSON text with steady names inside; so is a field that
+    is an array or an object in some files and a scalar in others.  A field missing from a record takes the default null.
     Columns are named by the canonical path below the table, dots as underscores.
+    A column ``rest``, if named, holds as JSON text, by the names in the payload, what has no place in the others: values that do not
+    fit the steady type (null there), and those of a second field that came down to one column in the same object.
     """
-    steady = sorted({(c, t) for c, t in rules.values() if c.startswith(table + ".") and t not in ("object", "array")})
-    below = {c for c, t in rules.values() if t == "array" and c.startswith(table + ".")}
-    steady = [(c, t) for c, t in steady if not any(c.startswith(b + ".") for b in below)]
-    kinds = {"number": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
-    names = [c[len(table) + 1 :].replace(".", "_") for c, _ in steady]
+    table = rules.get(table, (table,))[0]
+    below = len(table) + 1 if table else 0
+    types = {c: t for c, t in rules.values() if (c.startswith(table + ".") if table else True) and c not in apart}
+    bare = set(types) - {c.rpartition(".")[0] for c in types}
+    closed = {c for c, t in types.items() if t == "array" or (t == "object" and c in bare)}
+    inside = tuple(c + "." for c in {*closed, *apart})
+    steady = sorted((c, t) for c, t in types.items() if (t != "object" or c in closed) and not c.startswith(inside))
+    kinds = {"number": T.DoubleType(), "boolean": T.BooleanType()}
+    names = carried([c[below:].replace(".", "_") for c, _ in steady] + ([rest] if rest else []), ["parent_path", "child_path"])
     kept = carried(carry, ["parent_path", "child_path", *names])
     source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, kept, strict=True)], F.col(text).alias("__text"))
     schema = T.StructType(
         [*source.schema.fields[: len(carry)], T.StructField("parent_path", T.StringType()), T.StructField("child_path", T.StringType())]
-        + [T.StructField(n, kinds[t]) for n, (_, t) in zip(names, steady, strict=True)]
+        + [T.StructField(n, kinds.get(t, T.StringType())) for n, (_, t) in zip(names, [*steady, *([("", "string")] if rest else [])], strict=True)]
     )
     arrow = to_arrow_schema(schema)
-    slot = {p: next((i, t) for i, (k, t) in enumerate(steady) if k == c) for p, (c, _) in rules.items() if any(k == c for k, _ in steady)}
+    column = {c: (i, t) for i, (c, t) in enumerate(steady)}
+    slot = {p: column[c] for p, (c, _) in rules.items() if c in column}
     homes = {p for p, (c, _) in rules.items() if c == table}
+    skipped = {p for p, (c, _) in rules.items() if c in apart}
+
+    def fill(text: str | None, start: Callable[[str, str], list]) -> None:
+        """Start a row for each object of the table in one record and fill its cells."""
+        found = scan(text) or ()
+        rows: dict[str, list] = {} if table or not found else {"$": start("", "$")}
+        more: dict[str, list[str]] = {}
+        n = 0
+        while n < len(found):
+            kind, path, plain, owner, up, value, element = found[n]
+            n += 1
+            if kind == "object" and element and table and plain in homes:
+                rows[owner] = start(up, path)
+                continue
+            if element or kind == "null" or owner not in rows:
+                continue
+            cells, place = rows[owner], slot.get(plain)
+            if value is None:
+                if kind == "array" and plain in skipped:
+                    continue
+                empty = n == len(found) or not found[n][1].startswith(path + "." if path else "")
+                if kind == "object" and not empty and (place is None or rules[plain][1] == "mixed"):
+                    continue  # its fields have columns
+                shown, n = _rendered(found, n - 1, rules)
+                cell, fits = shown, place is not None
+            else:
+                shown = json.dumps(value, ensure_ascii=False) if kind == "string" else value
+                cell = _cast(value, place[1]) if place is not None else None
+                fits = _exact(value, cell)
+            if place is not None and cells[place[0]] is None:
+                cells[place[0]] = cell
+            else:
+                fits = False
+            if not fits:
+                start_at = 0 if owner == "$" else len(owner) + 1
+                more.setdefault(owner, []).append(f"{json.dumps(path[start_at:], ensure_ascii=False)}:{shown}")
+        if rest:
+            for owner, parts in more.items():
+                rows[owner][-1] = "{" + ",".join(parts) + "}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
-            links: list[tuple[str, str]] = []
+            links: list[tuple[str | None, str]] = []
             cells: list[list] = []
             for i in range(batch.num_rows):
-                rows: dict[str, list] = {}
-                for kind, path, plain, owner, up, value, element in scan(batch["__text"][i].as_py()) or ():
-                    if kind == "object" and element:
-                        if plain in homes:
-                            rows[owner] = [None] * len(steady)
-                            at.append(i)
-                            links.append((up, path))
-                            cells.append(rows[owner])
-                    elif value is not None and kind != "null" and owner in rows and not element:
-                        place = slot.get(plain)
-                        if place is not None:
-                            rows[owner][place[0]] = _cast(value, place[1])
+
+                def start(up: str, path: str, i=i, at=at, links=links, cells=cells) -> list:
+                    at.append(i)
+                    links.append((up or None, path))
+                    cells.append([None] * len(names))
+                    return cells[-1]
+
+                fill(batch["__text"][i].as_py(), start)
             if at:
                 own = [batch[c].take(pa.array(at, pa.int64())) for c in kept]
                 cols = [pa.array([x[j] for x in links], pa.string()) for j in (0, 1)]
-                cols += [pa.array([r[j] for r in cells], arrow.field(len(carry) + 2 + j).type) for j in range(len(steady))]
+                cols += [pa.array([r[j] for r in cells], arrow.field(len(carry) + 2 + j).type) for j in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*own, *cols], schema=arrow)
 
     return source.mapInArrow(run, schema)

@@ -150,9 +150,18 @@ def p6_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All traceEvents of all files in one table with steady columns and types."""
+    return _steady(spark, sf_dir, "traceEvents")
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """distributedInfo and the other fields of the documents in one table with steady columns and types, one row per record."""
+    return _steady(spark, sf_dir, "", ("traceEvents",))
+
+
+def _steady(spark: SparkSession, sf_dir: str, table: str, apart: tuple[str, ...] = ()) -> DataFrame:
     schemas = cut(_schemas(spark, sf_dir))
     rules = drift.migration_rules(schemas, drift.changes(schemas))
-    return drift.steady_table(_records(spark, sf_dir), "payload", ["record_id", "stream_id", "file_no"], rules, "traceEvents")
+    return drift.steady_table(_records(spark, sf_dir), "payload", ["record_id", "stream_id", "file_no"], rules, table, "rest", apart)
 
 
 QUERIES = {
@@ -166,5 +175,6 @@ QUERIES = {
     "p6_versions": p6_versions,
     "p6_steps": p6_steps,
     "p6_events": p6_events,
+    "p6_records": p6_records,
 }
 ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p2_frames": P2_FRAMES_SQL, "p4_found": P4_SQL}
