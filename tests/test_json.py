@@ -138,3 +138,29 @@ def test_steady_table_keeps_arrays_objects_and_what_does_not_fit(spark):
     assert root.columns == ["f", "parent_path", "child_path", "info_groups", "info_rank", "w", "rest"]
     one = (None, "$", '[{"ranks":[0,1]}]', 1.0, 2.0, None)
     assert [tuple(r)[1:] for r in root.collect()] == [one, one, (None, "$", "[]", 2.0, 3.0, None)]
+
+
+def test_all_flat_tables_at_once(spark):
+    doc = {"g": [{"n": "x", "r": [1, 2], "k": {"z": None, "e": []}}, {"n": None, "r": ['a"b', None], "kids": [{"v": 1.5}, {}]}, {"r": [3]}], "m": "q", "b": True}
+    rows = [(1, json.dumps(doc), "f"), (2, None, "f"), (3, "{", "f"), (4, '{"g":[]}', "f")]
+    df = spark.createDataFrame(rows, "id long, text string, fields string")
+    assert nested.flat(df, "text", ["id", "fields"]).columns == ["id", "fields_", "table_path", "parent_path", "child_path", "fields"]
+    got = nested.flat(df, "text", ["id"]).collect()
+    every = nested.tables(nested.triples(df, "text", ["id"]), ["id"])
+    assert {r["table_path"] for r in got} == set(every)
+    for path, rows in every.items():
+        names = rows.columns[3:]
+        mine = {(r["id"], r["child_path"], r["parent_path"], *[r["fields"].get(n) for n in names]) for r in got if r["table_path"] == path}
+        assert mine == set(map(tuple, rows.collect()))
+    deep = spark.createDataFrame([(json.dumps({"s": [[1, 2], [], [["é"], 3]], "o": [1, {"x": 1}, [2]]}),)], "t string")
+    fields = {r["child_path"]: r["fields"] for r in nested.flat(deep, "t", []).collect()}
+    assert fields == {"$": {"s": '[[1,2],[],[["é"],3]]', "o": "[1,[2]]"}, "o[1]": {"x": "1"}}
+
+
+def test_registered_tables_hold_all_objects(spark):
+    from tests.oracle import SF
+    from tracewright.queries import repair
+
+    links = repair.p2_tables(spark, SF).where("table_path <> '$'").select("record_id", "parent_path", "child_path")
+    found = repair.p2_found(spark, SF)
+    assert links.exceptAll(found).isEmpty() and found.exceptAll(links).isEmpty()

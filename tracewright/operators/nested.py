@@ -4,18 +4,20 @@ Each record is read in one streaming pass into path-value-ordinal triples.  A
 triple belongs to the nearest object that is an array element (its *owner*,
 ``$`` for the root); owners whose paths differ only in indexes form one table.
 :func:`table` pivots the triples of one table into columns, one row per owner, with
-the owner's path and the path of its parent as the link.
+the owner's path and the path of its parent as the link.  :func:`flat` does the same for all tables
+in the pass itself, as an owner lies within one record: one row per owner, its fields in a map.
 
 Defined cases: a null, empty, cut-off or otherwise invalid text gives no
 rows; JSON nulls give null columns, missing and null fields look alike; an empty object in an
 array is a row without values; scalars in an array become one JSON text of the array, nested
-arrays flattened, and an empty array ``[]``; of equal names in one object the last holds;
+arrays flattened (kept in :func:`flat`), and an empty array ``[]``; of equal names in one object the last holds;
 extra columns are ignored unless
 named in ``carry``, where a clashing name gets an underscore.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -106,6 +108,89 @@ def objects(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
     return found.select(*found.columns[: len(carry)], "parent_path", "child_path")
 
 
+_TRAIL = re.compile(r"(?:\[[0-9]+\])+\Z")
+
+
+def _listed(cells: list[tuple[str, str]]) -> str:
+    """JSON text of an array from its values with their trailing indexes; nested arrays stay nested."""
+    out: list[str] = ["["]
+    opened: list[str] = []
+    for trail, shown in cells:
+        inner = trail[1:-1].split("][")[:-1]
+        same = next((i for i, (a, b) in enumerate(zip(opened, inner, strict=False)) if a != b), min(len(opened), len(inner)))
+        out += ["]"] * (len(opened) - same)
+        if out[-1] != "[":
+            out.append(",")
+        out += ["["] * (len(inner) - same)
+        out.append(shown)
+        opened = inner
+    return "".join(out) + "]" * (len(opened) + 1)
+
+
+def _owners(text: str | None) -> dict[str, tuple[str, str | None, dict[str, str | None]]]:
+    """owner -> (table, parent, fields) of one record, ``$`` for the root."""
+    found = scan(text)
+    if found is None:
+        return {}
+    rows: dict[str, tuple[str, str | None, dict[str, str | None]]] = {"$": ("$", None, {})}
+    lists: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for n, (kind, path, plain, owner, up, value, element) in enumerate(found):
+        if kind == "object":
+            if element:
+                rows[owner] = (plain, up, {})
+            continue
+        name, _, fields = rows[owner]
+        field = plain[len(name) + 1 if name else 0 :] if owner != "$" else plain
+        if kind == "array":
+            if n + 1 < len(found) and found[n + 1][1].startswith(path + "["):
+                continue
+            value = "[]"
+        if not element:
+            shown = None if kind == "null" else value
+            if fields.get(field) is None or (shown is not None and shown > fields[field]):  # as in table(), of equal fields the greatest
+                fields[field] = shown
+            continue
+        shown = json.dumps(value, ensure_ascii=False) if kind == "string" else value
+        lists.setdefault((owner, field), []).append((_TRAIL.search(path).group(), shown))
+    for (owner, field), cells in lists.items():
+        rows[owner][2][field] = _listed(cells)
+    return rows
+
+
+def flat(df: DataFrame, text: str, carry: list[str]) -> DataFrame:
+    """(carry..., table_path, parent_path, child_path, fields): every row of every table, all fields found in a map of texts.
+
+    The rows of one ``table_path`` are one flat table; the root of each record is its row of the table ``$``.
+    """
+    own = [*_TRIPLE[:3], T.StructField("fields", T.MapType(T.StringType(), T.StringType()))]
+    names = carried(carry, [f.name for f in own])
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)], F.col(text).alias("__text"))
+    schema = T.StructType([*source.schema.fields[: len(carry)], *own])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+
+            def flush(batch=batch, at=at, rows=rows) -> pa.RecordBatch:
+                cols = [batch[c].take(pa.array(at, pa.int64())) for c in names]
+                cols += [pa.array(c, arrow.field(len(names) + i).type) for i, c in enumerate(zip(*rows, strict=True))]
+                at.clear(), rows.clear()
+                return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+            for i in range(batch.num_rows):
+                for owner, (name, up, fields) in _owners(batch["__text"][i].as_py()).items():
+                    at.append(i)
+                    rows.append((name, up, owner, list(fields.items())))
+                    if len(rows) >= FLUSH // 5:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    return source.mapInArrow(run, schema)
+
+
 def fields_of(all_triples: DataFrame) -> dict[str, list[str]]:
     """Field names of each table; the number of distinct names is checked before they come to the driver."""
     names = all_triples.where(F.col("field") != "").select("table_path", "field").distinct().limit(MAX_FIELDS + 1).collect()

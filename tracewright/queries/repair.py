@@ -91,6 +91,11 @@ SELECT record_id, parent AS parent_path, path AS child_path FROM node WHERE is_i
 """
 
 
+def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flat tables of all objects with all their fields, each row linked to its parent."""
+    return nested.flat(_records(spark, sf_dir), "payload", ["record_id"])
+
+
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of distributedInfo.groups: one row per group, linked to its record."""
     all_triples = nested.triples(_records(spark, sf_dir), "payload", ["record_id"])
@@ -168,6 +173,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
     "p2_found": p2_found,
+    "p2_tables": p2_tables,
     "p2_groups": p2_groups,
     "p2_frames": p2_frames,
     "p4_found": p4_found,
