@@ -100,3 +100,26 @@ def test_runs_across_block_borders_are_seen_whole(spark):
         got = implausible(df, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op", block_rows=block_rows)
         found = [r[0] for r in got.collect()]
         assert set(found) == runs and len(found) == len(runs)
+
+
+def test_size_of_a_source_changes_nothing(spark):
+    g = np.random.default_rng(11)
+    n = 6000
+    d = _lane(n, 9)
+    kind = np.where(np.arange(n) % 3, "a", "b").astype(object)
+    d[kind == "b"] *= 3
+    kind[::300] = "rare"  # 20 readings, fewer than 8 in any part of 1000 rows
+    kind[7::500] = None
+    d[g.choice(n, 30, replace=False)] *= 40
+    d[1500:3900] = 777.0  # longer than a part
+    d[4100:4112] = d[4100]
+    d[[10, 20, 1600]] = [math.nan, -1.0, math.inf]
+    d[4500] = 1000.0  # within the range of the others, far from its own
+    time = [None if i % 701 == 5 else float(i // 3) for i in range(n)]
+    rows = [("t", 1, i, t, float(v), k) for i, (t, v, k) in enumerate(zip(time, d, kind, strict=True))] + [("t", 1, 4500, time[4500], 1000.0, "rare")]
+    rows += [("u", 1, 9000 + i, float(i), float(v), "op") for i, v in enumerate(_lane(50, 2))]
+    df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
+    args = {"item": "event_id", "time": "ts", "value": "dur", "kind": "op"}
+    whole, streamed = (sorted(map(tuple, implausible(df, ["trace_id", "tid"], **args, block_rows=b).collect())) for b in (10**6, 1000))
+    assert streamed == whole
+    assert (4500, "far off") in whole and (2500, "stuck") in whole and (1600, "impossible") in whole and (4105, "stuck") in whole

@@ -13,10 +13,9 @@ mode that recurs in one kind (a second level, accepted when a fair part of
 its readings gather closely around it), a coarse clock (the step is a floor of the noise) and a source that
 is always constant (its runs are as long as its variation lets them be).
 
-A source with many rows is cut into blocks by its own time quantiles; each block is
-large enough to be its own normal behaviour, so no source is held by one task.
-Neighbouring blocks share their border rows, so a stuck run across a border is seen whole;
-each reading is judged in its own block.
+A source with many rows is judged as a whole, like any other, but never held: one pass streams it in order of time and
+keeps its distinct values with their counts, and its still runs; from these come the stuck runs and the
+levels.  A second pass streams each kind of work by itself, with the state of its filter carried along.
 
 Defined cases: null readings are no case; NaN, infinite, non-positive values and those above
 ``MAX_VALID_DUR`` are impossible; readings without a time are compared with the levels but are in no run;
@@ -28,6 +27,8 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
+import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewright.functions.lanes import MAX_VALID_DUR
-from tracewright.plans.skew import time_blocks
+from tracewright.plans.durable import broadcast_if_small, cut
 
 #: Standardised innovations beyond this are spikes.
 THRESHOLD = 6.5
 #: Least noise of a log reading.
 FLOOR = 0.01
-#: Chance, over a whole block, that a run as long arises by itself.
+#: Chance, over a whole source, that a run as long arises by itself.
 RUN_CHANCE = 1e-4
 #: Shortest run that can be stuck.
 MIN_RUN = 6
@@ -59,7 +61,7 @@ SLOW_SHARE, SLOW_COUNT, SLOW_SPREAD = 0.06, 5, 0.30
 WIDE = 0.7
 #: Process noise of the level, as a part of the reading noise.
 DRIFT = 0.03
-#: Rows in a block of a large source.
+#: Rows of a source from which it is streamed.
 BLOCK_ROWS = 50_000
 
 
@@ -110,31 +112,41 @@ def stuck(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def median(x: np.ndarray, w: np.ndarray) -> float:
+    """The median of values ``x`` that occur ``w`` times each."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(w[order])
+    n = int(upto[-1])
+    low, high = (x[order[np.searchsorted(upto, k, "right")]] for k in ((n - 1) // 2, n // 2))
+    return float(low) if low == high else float((low + high) / 2)
+
+
 class Level:
-    """Normal behaviour of one kind of work: level, noise, and a slow mode if it has one."""
+    """Normal behaviour of one kind of work (values ``y`` that occur ``w`` times each): level, noise, and a slow mode if it has one."""
 
     __slots__ = ("level", "n", "noise", "slow", "slow_noise")
 
-    def __init__(self, y: np.ndarray, step: float, pooled: float) -> None:
-        self.n = len(y)
-        self.level = float(np.median(y))
+    def __init__(self, y: np.ndarray, step: float, pooled: float, w: np.ndarray) -> None:
+        self.n = int(w.sum())
+        self.level = median(y, w)
         dev = np.abs(y - self.level)
-        own = 1.4826 * float(np.median(dev))
+        own = 1.4826 * median(dev, w)
         if own < FLOOR:  # one value prevails: the others tell the noise, unless they are few
-            other = dev[dev > 1e-9]
-            if len(other) > (1 - CONSTANT_KIND) * self.n:
-                own = 1.4826 * float(np.median(other))
+            other = dev > 1e-9
+            if w[other].sum() > (1 - CONSTANT_KIND) * self.n:
+                own = 1.4826 * median(dev[other], w[other])
         if pooled >= 0:  # few readings lean on the whole source
-            w = min(1.0, self.n / 40)
-            own = max(own, 0.6 * pooled) if w == 1.0 else max(w * own + (1 - w) * pooled, 0.6 * pooled)
+            lean = min(1.0, self.n / 40)
+            own = max(own, 0.6 * pooled) if lean == 1.0 else max(lean * own + (1 - lean) * pooled, 0.6 * pooled)
         self.noise = max(own, step / np.exp(self.level), FLOOR)
         self.slow = self.slow_noise = None
-        far = y[y - self.level > 5 * self.noise]
-        if len(far) >= max(SLOW_COUNT, SLOW_SHARE * self.n):
-            mid = float(np.median(far))
-            near = far[np.abs(far - mid) <= SLOW_SPREAD]
-            if len(near) >= max(SLOW_COUNT, 0.6 * len(far), 0.75 * SLOW_SHARE * self.n):
-                self.slow, self.slow_noise = mid, max(self.noise, 1.4826 * float(np.median(np.abs(near - mid))))
+        far = y - self.level > 5 * self.noise
+        n_far = w[far].sum()
+        if n_far >= max(SLOW_COUNT, SLOW_SHARE * self.n):
+            mid = median(y[far], w[far])
+            near = far & (np.abs(y - mid) <= SLOW_SPREAD)
+            if w[near].sum() >= max(SLOW_COUNT, 0.6 * n_far, 0.75 * SLOW_SHARE * self.n):
+                self.slow, self.slow_noise = mid, max(self.noise, 1.4826 * median(np.abs(y[near] - mid), w[near]))
 
     def threshold(self) -> float:
         """Deviations allowed: more where few readings tell the noise, never more than a factor of e needs."""
@@ -148,57 +160,102 @@ class Level:
         return ok
 
 
-def kalman_flags(y: np.ndarray, lv: Level) -> np.ndarray:
-    """Flagged readings of one kind in order of time; flagged updates are withheld."""
-    r = lv.noise**2
-    q = (DRIFT * lv.noise) ** 2
-    limit = lv.threshold() ** 2
-    m, p = lv.level, r / max(1, min(lv.n, 50))
-    slow, ps = lv.slow, r
-    rs = lv.slow_noise**2 if slow is not None else r
-    flags = [False] * len(y)
-    for i, v in enumerate(y.tolist()):
-        p += q
-        e = v - m
-        s = p + r
-        if e * e <= limit * s:
-            k = p / s
-            m += k * e
-            p -= k * p
-            continue
-        if slow is not None:
-            ps += q
-            e = v - slow
-            s = ps + rs
+class Filter:
+    """The Kalman filter of one kind of work; its state goes on from call to call."""
+
+    def __init__(self, lv: Level) -> None:
+        self.r = lv.noise**2
+        self.q = (DRIFT * lv.noise) ** 2
+        self.limit = lv.threshold() ** 2
+        self.rs = lv.slow_noise**2 if lv.slow is not None else self.r
+        self.state = (lv.level, self.r / max(1, min(lv.n, 50)), lv.slow, self.r)
+
+    def flags(self, y: np.ndarray) -> np.ndarray:
+        """Flagged readings in order of time; flagged updates are withheld."""
+        r, q, limit, rs = self.r, self.q, self.limit, self.rs
+        m, p, slow, ps = self.state
+        flags = [False] * len(y)
+        for i, v in enumerate(y.tolist()):
+            p += q
+            e = v - m
+            s = p + r
             if e * e <= limit * s:
-                k = ps / s
-                slow += k * e
-                ps -= k * ps
+                k = p / s
+                m += k * e
+                p -= k * p
                 continue
-        flags[i] = True
-        if p > r:  # a level not seen for long stays bounded in doubt
-            p = r
-    return np.array(flags, bool)
-
-
-def clock_step(x: np.ndarray) -> float:
+            if slow is not None:
+                ps += q
+                e = v - slow
+                s = ps + rs
+                if e * e <= limit * s:
+                    k = ps / s
+                    slow += k * e
+                    ps -= k * ps
+                    continue
+            flags[i] = True
+            if p > r:  # a level not seen for long stays bounded in doubt
+                p = r
+        self.state = (m, p, slow, ps)
+        return np.array(flags, bool)
+
+
+def clock_step(x: np.ndarray, w: np.ndarray) -> float:
     """The step of a coarse clock: the least distance of values that recur, if all of them are multiples of it."""
-    values, counts = np.unique(x, return_counts=True)
-    if len(values) > max(12, len(x) / 4):
+    values, place = np.unique(x, return_inverse=True)
+    counts, n = np.bincount(place, w), w.sum()
+    if len(values) > max(12, n / 4):
         return 0.0
-    often = values[counts >= max(2, 0.02 * len(x))]
+    often = values[counts >= max(2, 0.02 * n)]
     if len(often) < 2:
         return 0.0
     step = float(np.diff(often).min())
     return step if (np.abs(often / step - np.round(often / step)) < 0.07).all() else 0.0
 
 
+class Normal:
+    """What a source normally shows, from its plausible values: ``dur`` of ``kind`` (a code or -1) occurs ``w`` times."""
+
+    def __init__(self, dur: np.ndarray, kind: np.ndarray, w: np.ndarray) -> None:
+        self.seen = int(w.sum()) >= MIN_RUN
+        self.lone, self.levels, self.few = None, {}, {}
+        if not self.seen:
+            return
+        y, step = np.log(dur), clock_step(dur, w)
+        of = {int(k): kind == k for k in np.unique(kind) if k >= 0}
+        large = {k: at for k, at in of.items() if w[at].sum() >= 8}
+        if not large:  # no kind has readings enough: the source is one kind
+            self.lone = Level(y, step, -1.0, w)
+            return
+        resid = [np.abs(y[at] - median(y[at], w[at])) for at in large.values()]
+        self.pooled = 1.4826 * median(np.concatenate(resid), np.concatenate([w[at] for at in large.values()]))
+        self.levels = {k: Level(y[at], step, self.pooled, w[at]) for k, at in large.items()}
+        self.low = min(lv.level - lv.threshold() * lv.noise for lv in self.levels.values())
+        self.high = max(lv.level + lv.threshold() * lv.noise for lv in self.levels.values())
+        self.few = {k: (int(w[at].sum()), median(y[at], w[at])) for k, at in of.items() if k not in large}
+
+    def far_off(self, y: np.ndarray, k: int, held: Filter | None = None) -> np.ndarray:
+        """Which readings of kind ``k``, in order of time, are outside of what it, or failing that the source, shows."""
+        if not self.seen:
+            return np.zeros(len(y), bool)
+        if self.lone is not None:
+            return ~self.lone.near(y) & (np.abs(y - self.lone.level) > FAR)
+        if k in self.levels:
+            return (held or Filter(self.levels[k])).flags(y)
+        if k in self.few:
+            n, mid = self.few[k]
+            off = np.abs(y - mid) if n >= 3 else np.full(len(y), np.inf)
+            wide = 0.0 if n >= 3 else WIDE  # kinds of one source differ by so much
+            return ((y < self.low - wide) | (y > self.high + wide)) & (off > max(FAR, THRESHOLD * self.pooled))
+        return ~((y >= self.low) & (y <= self.high) | np.any([lv.near(y) for lv in self.levels.values()], axis=0))
+
+
 IMPOSSIBLE, STUCK, FAR_OFF = 1, 2, 3
 REASONS = {IMPOSSIBLE: "impossible", STUCK: "stuck", FAR_OFF: "far off"}
 
 
 def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
-    """Reasons (0: none) for one block: readings in order of time (untimed last), ``kind`` a code or -1."""
+    """Reasons (0: none) for one source: readings in order of time (untimed last), ``kind`` a code or -1."""
     why = np.zeros(len(dur), np.int8)
     bad = impossible(dur)
     run = np.flatnonzero(~bad & timed)
@@ -206,40 +263,197 @@ def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
     held[run] = stuck(dur[run])
     why[bad], why[held] = IMPOSSIBLE, STUCK
     use = ~bad & ~held
-    if use.sum() >= MIN_RUN:
-        y = np.full(len(dur), np.nan)
-        y[~bad] = np.log(dur[~bad])
-        why[_far_off(y, clock_step(dur[use]), kind, use)] = FAR_OFF
+    normal = Normal(dur[use], kind[use], np.ones(use.sum(), np.int64))
+    for k in np.unique(kind[use]):
+        at = np.flatnonzero(use & (kind == k))
+        why[at[normal.far_off(np.log(dur[at]), int(k))]] = FAR_OFF
     return why
 
 
-def _far_off(y: np.ndarray, step: float, kind: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Places of readings outside of what their kind, or failing that their source, normally shows."""
-    out = np.zeros(len(y), bool)
-    kinds = [k for k in np.unique(kind[use]) if k >= 0]
-    large = [k for k in kinds if (use & (kind == k)).sum() >= 8]
-    if not large:  # no kind has readings enough: the source is one kind
-        lv = Level(y[use], step, -1.0)
-        out[use] = ~lv.near(y[use]) & (np.abs(y[use] - lv.level) > FAR)
-        return np.flatnonzero(out)
-    resid = [np.abs(y[s] - np.median(y[s])) for k in large for s in [use & (kind == k)]]
-    pooled = 1.4826 * float(np.median(np.concatenate(resid)))
-    levels = {k: Level(y[use & (kind == k)], step, pooled) for k in large}
-    low = min(lv.level - lv.threshold() * lv.noise for lv in levels.values())
-    high = max(lv.level + lv.threshold() * lv.noise for lv in levels.values())
-    for k in kinds:
-        at = np.flatnonzero(use & (kind == k))
-        if k in levels:
-            out[at] = kalman_flags(y[at], levels[k])
-            continue
-        v = y[at]
-        off = np.abs(v - np.median(v)) if len(v) >= 3 else np.full(len(v), np.inf)
-        wide = 0.0 if len(v) >= 3 else WIDE  # kinds of one source differ by so much
-        out[at] = ((v < low - wide) | (v > high + wide)) & (off > max(FAR, THRESHOLD * pooled))
-    none = np.flatnonzero(use & (kind < 0))
-    v = y[none]
-    out[none] = ~((v >= low) & (v <= high) | np.any([lv.near(v) for lv in levels.values()], axis=0))
-    return np.flatnonzero(out)
+class Run:
+    """A chain of neighbouring readings that hold still: its ends and its values."""
+
+    __slots__ = ("first", "last", "n", "tally")
+
+    def __init__(self, first: tuple) -> None:
+        self.first, self.last, self.n, self.tally = first, first, 0, Counter()
+
+
+class Summary:
+    """A source streamed in order of time, untimed readings last: counts of its values and its still runs."""
+
+    def __init__(self) -> None:
+        self.timed: Counter = Counter()  # (kind, value) -> readings
+        self.untimed: Counter = Counter()
+        self.runs: list[Run] = []
+        self.open: Run | None = None
+        self.prev = None
+        self.near = self.near_inside = self.touched = 0
+        self.at = 0  # timed readings so far
+        self.end = -1  # where the last long run ended
+
+    def add(self, dur: np.ndarray, kind: list, time: np.ndarray, items: list, timed: np.ndarray) -> None:
+        ok = ~impossible(dur)
+        self.untimed.update((kind[i], float(dur[i])) for i in np.flatnonzero(ok & ~timed))
+        rows = np.flatnonzero(ok & timed)
+        if not len(rows):
+            return
+        x = dur[rows]
+        pairs = [(kind[i], v) for i, v in zip(rows.tolist(), x.tolist(), strict=True)]
+        self.timed.update(pairs)
+        before = np.concatenate([[np.nan if self.prev is None else self.prev], x[:-1]])
+        still = np.abs(x - before) <= np.maximum(STILL_ABS, STILL_REL * before)
+        self.near += int(still.sum())
+        starts = np.flatnonzero(~still).tolist()
+        if not starts or starts[0] > 0:
+            starts.insert(0, 0)
+        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+            if not still[a]:
+                self._close()
+                self.open = Run((time[rows[a]], items[rows[a]]))
+            run = self.open
+            run.n += b - a
+            run.last = (time[rows[b - 1]], items[rows[b - 1]])
+            if run.n >= MIN_RUN or b == len(x) or a == 0:
+                run.tally.update(pairs[a:b])
+        self.prev = float(x[-1])
+
+    def _close(self) -> None:
+        run = self.open
+        if run is None:
+            return
+        start, self.at = self.at, self.at + run.n
+        if run.n >= MIN_RUN:
+            self.runs.append(run)
+            self.near_inside += run.n - 1
+            # its own pairs, the one to the left unless a run ended there, and the one to the right
+            self.touched += run.n - 1 + (start > 0 and self.end != start) + 1
+            self.end = self.at
+
+    def judged(self) -> tuple[list[Run], dict, Normal]:
+        """The stuck runs, codes of the kinds, and the normal behaviour of the rest."""
+        self._close()
+        n_all = self.at
+        free = n_all - 1 - (self.touched - (self.end == n_all))
+        tally: Counter = Counter()
+        for (_, v), c in self.timed.items():
+            tally[v] += c
+        values = np.array(sorted(tally), float)
+        counts = np.array([tally[v] for v in values.tolist()], np.int64)
+        tol = np.maximum(STILL_ABS, STILL_REL * values)
+        right, left = np.searchsorted(values, values + tol, "right"), np.searchsorted(values, values - tol, "left")
+        use = self.timed + self.untimed
+        stuck_runs = []
+        for run in self.runs:
+            n = n_all - run.n
+            if n < MIN_RUN:
+                continue
+            own: Counter = Counter()
+            for (_, v), c in run.tally.items():
+                own[v] += c
+            mid = median(np.array(list(own), float), np.array(list(own.values()), np.int64))
+            rest = counts.copy()
+            rest[np.searchsorted(values, np.array(list(own), float))] -= np.array(list(own.values()), np.int64)
+            if rest[np.abs(values - mid) <= max(STILL_ABS, STILL_REL * mid) * 2].sum() / n >= CONSTANT:
+                continue  # the source itself is constant
+            upto = np.concatenate([[0], np.cumsum(rest)])
+            pairs = int((rest * (upto[right] - upto[left])).sum()) - n
+            p = max((pairs + 1) / (n * (n - 1) + 1), 1 / (n + 1))
+            if free > 0:
+                p = max(p, (self.near - self.near_inside) / free)
+            if p < 1 and np.log(n_all) + (run.n - 1) * np.log(p) < np.log(RUN_CHANCE):
+                stuck_runs.append(run)
+                use.subtract(run.tally)
+        kinds = sorted({k for k, _ in use if k is not None})
+        codes = {None: -1} | {k: i for i, k in enumerate(kinds)}
+        left_over = [(codes[k], v, c) for (k, v), c in use.items() if c > 0]
+        code, dur, w = (np.array([r[i] for r in left_over], t) for i, t in enumerate((int, float, np.int64)))
+        return stuck_runs, codes, Normal(dur, code, w)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, tuple, pa.RecordBatch]]:
+    """Stretches of equal keys in sorted batches, with whether the keys are new and the keys."""
+    last = None
+    for batch in batches:
+        rows = list(zip(*[batch[c].to_pylist() for c in keys], strict=True))
+        starts = [i for i, k in enumerate(rows) if i == 0 or k != rows[i - 1]]
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            yield rows[a] != last, rows[a], batch.slice(a, b - a)
+            last = rows[a]
+
+
+def _inside(runs: list[tuple[tuple, tuple]], time: np.ndarray, items: list) -> np.ndarray:
+    """Readings, in order of time, between the ends of a run."""
+    out = np.zeros(len(time), bool)
+    for (t0, i0), (t1, i1) in runs:
+        a, b = np.searchsorted(time, t0, "left"), np.searchsorted(time, t1, "right")
+        while a < b and time[a] == t0 and items[a] < i0:
+            a += 1
+        while b > a and time[b - 1] == t1 and items[b - 1] > i1:
+            b -= 1
+        out[a:b] = True
+    return out
+
+
+def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
+    """The implausible readings of large sources, of which no task holds more than a batch."""
+    first = F.min(F.struct("time", "value", "kind")).alias("r")  # repeated rows once
+    rows = rows.groupBy(*own, "item").agg(first).select(*own, "item", "r.*", F.lit(None).cast("binary").alias("plan"))
+    rows = cut(rows)
+    plan_schema = T.StructType([*[rows.schema[o] for o in own], T.StructField("kind", T.StringType()), T.StructField("plan", T.BinaryType())])
+    plan_arrow, arrow = to_arrow_schema(plan_schema), to_arrow_schema(out)
+    ordered = [F.col("time").asc_nulls_last(), F.col("item")]
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
+        time = np.array(batch["time"].cast(pa.float64()).to_numpy(zero_copy_only=False), float)
+        time[np.isnan(time)] = np.inf
+        return batch["value"].to_numpy(zero_copy_only=False), time, batch["item"].to_pylist(), batch["time"].is_valid().to_numpy(zero_copy_only=False)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key: tuple, seen: Summary) -> pa.RecordBatch:
+            runs, codes, normal = seen.judged()
+            ends = [(r.first, r.last) for r in runs]
+            found = [(*key, k, pickle.dumps((code, ends, normal))) for k, code in codes.items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, plan_arrow.field(i).type) for i, c in enumerate(zip(*found, strict=True))], schema=plan_arrow)
+
+        key, seen = None, None
+        for fresh, new, piece in _pieces(batches, own):
+            if fresh:
+                if seen is not None:
+                    yield done(key, seen)
+                key, seen = new, Summary()
+            dur, time, items, timed = columns(piece)
+            seen.add(dur, piece["kind"].to_pylist(), time, items, timed)
+        if seen is not None:
+            yield done(key, seen)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, ends, normal, held = -1, [], None, None
+        for fresh, _, piece in _pieces(batches, [*own, "kind"]):
+            if fresh:
+                normal = None
+                if piece["plan"][0].is_valid:
+                    code, ends, normal = pickle.loads(piece["plan"][0].as_py())
+                    held = Filter(normal.levels[code]) if code in normal.levels else None
+                    piece = piece.slice(1)
+            dur, time, items, timed = columns(piece)
+            bad = impossible(dur)
+            n = int(timed.sum())  # untimed readings come last
+            stuck_here = ~bad
+            stuck_here[:n] &= _inside(ends, time[:n], items[:n]) if normal else False
+            stuck_here[n:] = False
+            why = np.where(bad, IMPOSSIBLE, np.where(stuck_here, STUCK, 0))
+            at = np.flatnonzero(why == 0)
+            if normal:
+                why[at[normal.far_off(np.log(dur[at]), code, held)]] = FAR_OFF
+            hit = np.flatnonzero(why)
+            yield pa.RecordBatch.from_arrays([piece["item"].take(pa.array(hit)), pa.array([REASONS[w] for w in why[hit].tolist()], pa.string())], schema=arrow)
+
+    plans = rows.select(*own, "item", "time", "value", "kind").repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(plan, plan_schema)
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("item", "time", "value")]
+    both = rows.unionByName(plans.select(*own, *none, "kind", "plan"))
+    keys = [*own, "kind"]
+    return both.repartition(*keys).sortWithinPartitions(*keys, F.col("plan").isNull(), *ordered).mapInArrow(settle, out)
 
 
 def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value: str, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -251,8 +465,8 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
     )
     for o in own:
         rows = rows.where(F.col(o).isNotNull())
-    rows = time_blocks(rows.where(F.col("value").isNotNull() & F.col("item").isNotNull()), own, "time", "item", block_rows)
-    keys = [*own, "__block"]
+    rows = rows.where(F.col("value").isNotNull() & F.col("item").isNotNull())
+    keys = own
     reason = "reason" if item != "reason" else "reason_"
     out = T.StructType([T.StructField(item, rows.schema["item"].dataType), T.StructField(reason, T.StringType())])
 
@@ -271,7 +485,6 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         codes = table["kind"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(float)
         codes = np.where(np.isnan(codes), -1, codes).astype(int)
         timed = ~table["time"].is_null().to_numpy()
-        inner = ~table["__halo"].to_numpy()
         why = np.zeros(len(head), np.int8)
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             at = np.arange(a, b)
@@ -279,7 +492,7 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
             at = at[np.sort(first)]
             at = np.concatenate([at[timed[at]], at[~timed[at]]])
             why[at] = judge(dur[at], codes[at], timed[at])
-        hit = np.flatnonzero((why > 0) & inner)
+        hit = np.flatnonzero(why)
         words = pa.array([REASONS[w] for w in why[hit].tolist()], pa.string())
         return pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), words], names=[item, reason])
 
@@ -300,8 +513,12 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
                 held = []
             elif at:
                 yield settle(pa.Table.from_batches([batch.slice(0, at)]))
-            held.append(batch.slice(at))  # one block at most
+            held.append(batch.slice(at))  # one source at most
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "time", "item").mapInArrow(run, out)
+    hot = cut(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)).select(*own)
+    n_hot = hot.count()
+    small = rows.join(broadcast_if_small(hot, n_hot), own, "left_anti") if n_hot else rows
+    found = small.repartition(*keys).sortWithinPartitions(*keys, "time", "item").mapInArrow(run, out)
+    return found.unionByName(_streamed(rows.join(broadcast_if_small(hot, n_hot), own, "left_semi"), own, out)) if n_hot else found
