@@ -164,3 +164,11 @@ def test_registered_tables_hold_all_objects(spark):
     links = repair.p2_tables(spark, SF).where("table_path <> '$'").select("record_id", "parent_path", "child_path")
     found = repair.p2_found(spark, SF)
     assert links.exceptAll(found).isEmpty() and found.exceptAll(links).isEmpty()
+
+
+def test_steady_names_inside_arrays_and_two_fields_of_one_column(spark):
+    rules = {"e": ("e", "array"), "e.a": ("e.a", "string"), "e.b": ("e.a", "string"), "e.k": ("e.k", "array"), "e.k.x": ("e.k.y", "number"), "e.k.y": ("e.k.y", "number")}
+    df = _files(spark, [{"e": [{"a": "1", "b": "2", "k": [{"x": "5"}, {"x": 1, "y": None}, 3]}]}])
+    out = drift.steady_table(df, "p", [], rules, "e", "rest")
+    assert out.columns[2:] == ["a", "k", "rest"]
+    assert tuple(out.first())[2:] == ("1", '[{"y":5},{"y":1,"y_":null},3]', '{"b":"2"}')
