@@ -3,10 +3,9 @@
 A source is a lane; its readings are modelled on the log scale in order of
 time.  Per source and kind of work a local-level Kalman filter forecasts
 the next reading; a standardised innovation beyond the threshold is flagged and its update
-withheld, so a spike does not move the level.  A second filter over the
-source (random walk, forecast = last reading) watches the innovation
-variance: where it vanishes far longer than the source's own variation
-allows, the readings are stuck.  Readings no clock can deliver are impossible.
+withheld, so a spike does not move the level.  Where the step from the last
+reading stays within a fixed tolerance far longer than the source's own variation
+allows, the readings are stuck; no innovation variance is computed for that.  Readings no clock can deliver are impossible.
 
 Normal are: a regular mix of kinds of work (each has a level of its own), a slow
 mode that recurs in one kind (a second level, accepted when a fair part of
@@ -71,7 +70,7 @@ def impossible(dur: np.ndarray) -> np.ndarray:
 
 
 def still_runs(x: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [a, b) in which the innovation variance of a random walk vanishes."""
+    """Runs [a, b) in which no reading differs from the one before by more than the still tolerance."""
     if len(x) < MIN_RUN:
         return []
     still = np.abs(np.diff(x)) <= np.maximum(STILL_ABS, STILL_REL * x[:-1])
