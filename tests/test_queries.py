@@ -24,3 +24,13 @@ def test_entry_has_all(spark):
     assert set(ALL) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["sim_configs", "metrics_makespan", "metrics_bubble", "metrics_critical_path", "trace_meta_derived", "layout_summary", "layout_bars"])
+def test_all_sound_configurations(spark, name):
+    c = pipeline._sound(spark, SF, None)
+    c = c.where(pipeline._DRAWN) if name.startswith("layout") else c
+    got = ALL[f"{name}_all"](spark, SF)
+    assert {r[0] for r in got.select("trace_id").distinct().collect()} == {r[0] for r in c.select("graph_id").collect()}
+    assert c.select("schedule").distinct().count() == 5
+    assert ALL[name](spark, SF).exceptAll(got).isEmpty()

@@ -39,7 +39,7 @@ def _configs(spark: SparkSession, sf_dir: str, schedule: str | None = None) -> D
     return c.where(F.col("schedule") == schedule) if schedule else c
 
 
-def _sound(spark: SparkSession, sf_dir: str, schedule: str) -> DataFrame:
+def _sound(spark: SparkSession, sf_dir: str, schedule: str | None) -> DataFrame:
     return _configs(spark, sf_dir, schedule).where(config_is_sound())
 
 
@@ -478,6 +478,48 @@ def layout_device_rows(spark, sf):
     return layout.device_rows(n)
 
 
+# ---------------------------------------------------------------- all sound configurations
+
+
+def _critical_path(c: DataFrame) -> DataFrame:
+    nodes, edges = graph_nodes(c), graph_edges(c)
+    return metrics.critical_path(simulate(nodes, edges), graph.numbered_edges(nodes, edges))
+
+
+def _over_all(name: str, run: Callable[[DataFrame], DataFrame], where: str = "TRUE") -> None:
+    """The query ``name`` over the sound configurations of all schedules."""
+
+    @query(f"{name}_all")
+    def _run(spark, sf):
+        return run(_sound(spark, sf, None).where(where))
+
+
+def _traced(c: DataFrame) -> DataFrame:
+    return simulate(graph_nodes(c), graph_edges(c))
+
+
+def _appended(c: DataFrame) -> DataFrame:
+    t = cut(_traced(c))  # read three times
+    return trace.add_events(t, t)
+
+
+for _n, _f in (
+    ("sim_configs", simulate_configs),
+    ("metrics_makespan", lambda c: metrics.makespan(_traced(c))),
+    ("metrics_stage_busy", lambda c: metrics.stage_busy(_traced(c))),
+    ("metrics_bubble", lambda c: metrics.bubble(_traced(c), c.select(F.col("graph_id").alias("trace_id"), "nstages"))),
+    ("metrics_idle_gaps", lambda c: metrics.idle_gaps(_traced(c))),
+    ("metrics_phase_times", lambda c: metrics.phase_times(_traced(c))),
+    ("metrics_critical_path", _critical_path),
+    ("trace_info_str", lambda c: trace.info_strings(_traced(c))),
+    ("trace_append", _appended),
+    ("trace_meta_derived", lambda c: trace.trace_meta(_traced(c))),
+):
+    _over_all(_n, _f)
+for _n, _f in (("layout_summary", layout.summary), ("layout_bars", layout.bars), ("layout_legend", layout.legend)):
+    _over_all(_n, lambda c, f=_f: f(cut(_traced(c))), _DRAWN)  # a bar of no width has no scale
+
+
 # ---------------------------------------------------------------- profiler documents
 
 _KINDS = "CASE user_id % 3 WHEN 0 THEN 'forward_step-' WHEN 1 THEN 'backward_step-' ELSE 'wait-' END || event_id"
