@@ -10,7 +10,7 @@ def test_once(spark, monkeypatch):
     want = [("1", "a"), ("2", "b"), ("3", "d"), ("None", "c"), ("None", "c")]
     key = lambda d: sorted((str(r["k"]), r["x"]) for r in d.collect())
     assert key(once.once(df, "k")) == want
-    monkeypatch.setattr(once, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 1)
     assert key(once.once(df, "k")) == want
     assert once.once(df.where("k = 2"), "k").count() == 1
     assert once.once(df.limit(0), "k").count() == 0

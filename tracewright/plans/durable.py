@@ -4,18 +4,21 @@ A long iterative plan is cut by writing its rows as parquet under the folder
 named by ``spark.checkpoint.dir``.  Parquet is columnar and compressed, so a
 cut costs a fraction of an RDD checkpoint, and every executor can read it
 again after another one is lost.
+
+A cut lives as long as a result may read it: :func:`discard` deletes one, :func:`release` all of a session
+once its results were used, and what is left goes when the application ends.
 """
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, object] = {}  # path -> its Hadoop file system
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,21 +36,29 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
+def new_path(spark: SparkSession, suffix: str = "") -> str:
+    """A place in the shared folder for one cut or another table; it is deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}{suffix}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p)  # by the JVM, also after the session was stopped
+    _written[path] = fs
+    return path
+
+
+def _remove(path: str) -> None:
+    fs = _written.pop(path, None)
+    if fs is not None:
+        from pyspark import SparkContext
+
+        fs.delete(SparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of it (lineage ends there)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -62,25 +73,33 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`cut`, once nothing reads it any more."""
-    path = getattr(df, "_cut_path", None)
-    for entry in [w for w in _written if w[1] == path]:
-        _remove(*entry)
-        _written.remove(entry)
+    _remove(getattr(df, "_cut_path", ""))
+
+
+def release() -> None:
+    """Delete all cuts.  Results made before must have been used or written."""
+    for path in list(_written):
+        _remove(path)
+
+
+#: A side is broadcast only when its rows, at their width, stay below this many bytes.
+BROADCAST_BYTES = 32 << 20
+_WIDTHS = {T.BooleanType: 1, T.IntegerType: 4, T.FloatType: 4, T.LongType: 8, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8}
 
 
-@atexit.register
-def _cleanup() -> None:
-    for entry in _written:
-        _remove(*entry)
+def row_bytes(schema: T.StructType) -> int:
+    """Bytes of a row in a broadcast table: fixed types as they are, texts at a guess, and the table's own share."""
+    return 32 + sum(8 + _WIDTHS.get(type(f.dataType), 48) for f in schema.fields)
 
 
-#: A side is broadcast only when its counted rows stay below this bound.
-BROADCAST_ROWS = 200_000
+def fits(df: DataFrame, rows: int, width: int | None = None) -> bool:
+    """Whether ``rows`` of ``df`` may be broadcast; ``width`` gives the bytes of a row where types do not tell (arrays, long texts)."""
+    return rows * (width or row_bytes(df.schema)) <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when ``rows`` (counted by the caller) is within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def broadcast_if_small(df: DataFrame, rows: int, width: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast when its bytes, by rows counted by the caller, are within the bound; else the join shuffles."""
+    return F.broadcast(df) if fits(df, rows, width) else df
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans.durable import BROADCAST_ROWS, cut
+from tracewright.plans.durable import cut, fits
 
 
 def once(df: DataFrame, key: str) -> DataFrame:
@@ -19,7 +19,7 @@ def once(df: DataFrame, key: str) -> DataFrame:
     n = repeated.count()
     if n == 0:
         return df
-    if n > BROADCAST_ROWS:
+    if not fits(repeated, n):
         return df.where(known).dropDuplicates([key]).unionByName(df.where(~known))
     side = F.broadcast(repeated)
     return df.join(side, key, "left_anti").unionByName(df.join(side, key, "left_semi").dropDuplicates([key]))

@@ -69,7 +69,8 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.objects(_records(spark, sf_dir), "payload", ["record_id"])
+    """The links of all rows of all flat tables but the records' roots."""
+    return p2_tables(spark, sf_dir).where("table_path <> '$'").select("record_id", "parent_path", "child_path")
 
 
 P2_SQL = """
@@ -96,16 +97,19 @@ def p2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flat(_records(spark, sf_dir), "payload", ["record_id"])
 
 
+def _table(spark: SparkSession, sf_dir: str, path: str, fields: list[str]) -> DataFrame:
+    rows = nested.flat(_records(spark, sf_dir), "payload", ["record_id"], [path])
+    return nested.table(rows, path, fields, ["record_id"])
+
+
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat table of distributedInfo.groups: one row per group, linked to its record."""
-    all_triples = nested.triples(_records(spark, sf_dir), "payload", ["record_id"])
-    return nested.table(all_triples, "distributedInfo.groups", ["gname", "ranks", "size"], ["record_id"])
+    return _table(spark, sf_dir, "distributedInfo.groups", ["gname", "ranks", "size"])
 
 
 def p2_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest flat table: frames of calls of events, linked to their call."""
-    all_triples = nested.triples(_records(spark, sf_dir), "payload", ["record_id"])
-    return nested.table(all_triples, "traceEvents.args.calls.frames", ["f", "line"], ["record_id"])
+    return _table(spark, sf_dir, "traceEvents.args.calls.frames", ["f", "line"])
 
 
 P2_FRAMES_SQL = """
@@ -132,25 +136,32 @@ FROM g WHERE json_type(g) = 'OBJECT'
 
 
 def _schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.file_schemas(load(spark, sf_dir, "trace_json"), "payload", "stream_id", "file_no")
+    return cut(drift.file_schemas(load(spark, sf_dir, "trace_json"), "payload", "stream_id", "file_no"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"stream": "stream_id", "file": "file_no"})
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drift.changes(_schemas(spark, sf_dir))
-    return found.select(F.col("stream").alias("stream_id"), F.col("file").alias("file_no"), "change_kind", "old_path", "new_path")
+    """What each migration step changed."""
+    steps = drift.migration_steps(drift.history(_schemas(spark, sf_dir)))
+    return _named(drift.changes(steps))
 
 
 def p6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file's schema version within its stream."""
-    found = drift.versions(_schemas(spark, sf_dir))
-    return found.select(F.col("stream").alias("stream_id"), F.col("file").alias("file_no"), "version", "fingerprint")
+    return _named(drift.versions(_schemas(spark, sf_dir)))
 
 
 def p6_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The migration steps of each version of each stream."""
-    schemas = cut(_schemas(spark, sf_dir))
-    found = drift.migration_steps(schemas, drift.changes(schemas))
-    return found.withColumnsRenamed({"stream": "stream_id", "file": "file_no"})
+    return _named(drift.migration_steps(drift.history(_schemas(spark, sf_dir))))
+
+
+def p6_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steady place of each field of each version of each stream."""
+    return _named(drift.routes(cut(drift.history(_schemas(spark, sf_dir)))))
 
 
 def p6_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +175,34 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _steady(spark: SparkSession, sf_dir: str, table: str, apart: tuple[str, ...] = ()) -> DataFrame:
-    schemas = cut(_schemas(spark, sf_dir))
-    rules = drift.migration_rules(schemas, drift.changes(schemas))
-    return drift.steady_table(_records(spark, sf_dir), "payload", ["record_id", "stream_id", "file_no"], rules, table, "rest", apart)
+    schemas = _schemas(spark, sf_dir)
+    routed = cut(drift.routes(cut(drift.history(schemas))))
+    records = drift.routed_records(_records(spark, sf_dir), "stream_id", "file_no", schemas, routed)
+    return drift.steady_table(records, "payload", ["record_id", "stream_id", "file_no"], "__moves", drift.steady_columns(routed), table, "rest", apart)
+
+
+#: Fields with their types, per file; then each file's fingerprint against the previous one's.
+P6_VERSIONS_SQL = """
+WITH RECURSIVE docs AS (SELECT DISTINCT stream_id, file_no, payload::JSON AS doc FROM trace_json WHERE json_valid(payload)),
+node(stream_id, file_no, path, kind, doc) AS (
+  SELECT stream_id, file_no, '', 'OBJECT', doc FROM docs
+  UNION ALL
+  SELECT stream_id, file_no, path2, json_type(child), child FROM (
+    SELECT stream_id, file_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS path2, json_extract(doc, '$."' || k || '"') AS child
+    FROM (SELECT *, unnest(json_keys(doc)) AS k FROM node WHERE json_type(doc) = 'OBJECT')
+    UNION ALL
+    SELECT stream_id, file_no, path, json_extract(doc, '$[' || i || ']')
+    FROM (SELECT *, unnest(range(CAST(json_array_length(doc) AS BIGINT))) AS i FROM node WHERE json_type(doc) = 'ARRAY'))
+  WHERE json_type(child) <> 'NULL'),
+field AS (SELECT DISTINCT stream_id, file_no, path2 AS path, CASE json_type(child) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS type
+  FROM (SELECT stream_id, file_no, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS path2, json_extract(doc, '$."' || k || '"') AS child
+    FROM (SELECT *, unnest(json_keys(doc)) AS k FROM node WHERE json_type(doc) = 'OBJECT')) WHERE json_type(child) <> 'NULL'),
+prints AS (SELECT f.stream_id, f.file_no, md5(coalesce(p, '')) AS fingerprint FROM (SELECT DISTINCT stream_id, file_no FROM trace_json) f
+  LEFT JOIN (SELECT stream_id, file_no, string_agg(path || ':' || type, ',' ORDER BY path, type) AS p FROM field GROUP BY 1, 2) g USING (stream_id, file_no)),
+fresh AS (SELECT *, fingerprint IS DISTINCT FROM lag(fingerprint) OVER (PARTITION BY stream_id ORDER BY file_no) AS f FROM prints)
+SELECT stream_id, file_no, CAST(sum(CAST(f AS INT)) OVER (PARTITION BY stream_id ORDER BY file_no) AS INT) AS version, fingerprint FROM fresh
+"""
 
 
 QUERIES = {
@@ -180,7 +216,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_versions": p6_versions,
     "p6_steps": p6_steps,
+    "p6_routes": p6_routes,
     "p6_events": p6_events,
     "p6_records": p6_records,
 }
-ORACLE = {"p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p2_frames": P2_FRAMES_SQL, "p4_found": P4_SQL}
+ORACLE = {"p6_versions": P6_VERSIONS_SQL, "p2_found": P2_SQL, "p2_groups": P2_GROUPS_SQL, "p2_frames": P2_FRAMES_SQL, "p4_found": P4_SQL}

@@ -1,179 +1,142 @@
 """A streaming JSON reader: one pass over the text, no tree, no recursion.
 
-:func:`scan` walks a text strictly by RFC 8259 and reports nodes as they close or appear, in
-document order, with the place they hang in.  It is the common front of the
-shredding and the schema-drift operators.
+:func:`events` is a generator over one text: it holds the open containers only.  A text must be one JSON value by
+RFC 8259 as a whole before anything of it counts, so it is looked through first (:func:`soundness`), keeping nothing.
+It is the common front of the shredding and the schema-drift operators.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
 from json.decoder import scanstring
-from typing import Any
 
-_TOKEN = re.compile(
-    r"[ \t\n\r]*(?:([{}\[\]:,\"])|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))"
-)
-_BLANK = re.compile(r"[ \t\n\r]*\Z")
+_W = r"[ \t\n\r]*+"
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_VALUE = re.compile(rf"{_W}(?:(?:{_STRING}|{_NUMBER}|true|false|null)|([\[{{]){_W}([\]}}]?))")
+_KEY = re.compile(rf"{_W}{_STRING}{_W}:")
+_MORE = {"{": re.compile(rf"{_W}(?:(\}})|,{_W}{_STRING}{_W}:)"), "[": re.compile(rf"{_W}(?:(\])|,)")}
+_BLANK = re.compile(rf"{_W}\Z")
+_INSIDE = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+#: A name, if there is one, and what follows: a string, an opening or a closing mark, or a bare word.  For sound texts only.
+_TOKEN = re.compile(rf"[ \t\n\r,]*+(?:{_INSIDE}{_W}:{_W})?+(?:{_INSIDE}|([\[{{])|([\]}}])|([^ \t\n\r,:\[\]{{}}\"]++))")
+_WORDS = {"true": "boolean", "false": "boolean", "null": "null"}
 
+INVALID, SOUND, REPEATS = 0, 1, 2
 
-class Invalid(ValueError):
-    """The text is not one JSON value."""
+#: (kind, name or None, text): kind is object, array, string, number, boolean or null, or ``end`` where a container closes.
+Event = tuple[str, str | None, str | None]
 
+_found: list[bool] = [False]
 
-class Node:
-    """An open container while the text is scanned."""
 
-    __slots__ = ("array", "index", "item", "key", "keys", "path", "plain", "state", "up")
+def _unnamed_twice(pairs: list) -> None:
+    if len(dict(pairs)) != len(pairs):
+        _found[0] = True
 
-    def __init__(self, array: bool, path: str, plain: str, item: str, up: str) -> None:
-        self.array, self.path, self.plain = array, path, plain
-        #: path of the nearest object that is an array element ('$' if none), and of that one's own nearest
-        self.item, self.up = item, up
-        self.index, self.key, self.state = -1, "", "first"
-        self.keys: dict[str, int] | None = None if array else {}
 
+def _refuse(word: str) -> None:
+    raise ValueError(word)
 
-#: (kind, path, plain path, owner, owner's owner, value, is an array element)
-Triple = tuple[str, str, str, str, str, Any, bool]
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_unnamed_twice, parse_int=float, parse_constant=_refuse)
 
-def scan(text: str | None, leaves: bool = True) -> list[Triple] | None:
-    """Nodes of ``text`` in document order as (kind, path, plain path, owner, owner's owner, value, element).
 
-    ``path`` has indexes, ``plain`` has none; ``owner`` is the nearest object
-    at or above the node that is an array element, ``$`` where there is none; ``element`` tells whether the
-    node is an array element itself.  Containers have the value None, other nodes their text.  Without
-    ``leaves`` only containers are reported.  Null or invalid text gives None.
-    When a name occurs twice in an object, the last one holds.
-    """
+def soundness(text: str | None) -> int:
+    """``INVALID`` for null and what is not one JSON value; ``REPEATS`` if an object may hold a name twice; else ``SOUND``."""
     if text is None:
-        return None
+        return INVALID
+    _found[0] = False
     try:
-        return _scan(text, leaves)
-    except (Invalid, ValueError, IndexError):  # IndexError: the text ended where a character must follow
-        return None
+        _DECODER.decode(text)
+    except RecursionError:  # too deep for the quick look
+        return REPEATS if _follows_the_grammar(text) else INVALID
+    except ValueError:
+        return INVALID
+    return REPEATS if _found[0] else SOUND
 
 
-def _scan(text: str, leaves: bool) -> list[Triple]:
-    out: list[Triple] = []
-    stack: list[Node] = []
-    pos, match, add = 0, _TOKEN.match, out.append
-    top: Node | None = None
-    done = False
+def _follows_the_grammar(text: str) -> bool:
+    stack: list[str] = []
+    pos = 0
     while True:
-        m = match(text, pos)
+        m = _VALUE.match(text, pos)
         if m is None:
-            if done and _BLANK.match(text, pos):
-                return out
-            raise Invalid
-        if done:
-            raise Invalid
+            return False
         pos = m.end()
-        mark, number, word = m.groups()
-        if top is not None and not top.array:
-            state = top.state
-            if state in ("first", "name"):
-                if mark == '"':
-                    top.key, pos = scanstring(text, pos, True)
-                    if text[pos] == ":":
-                        pos += 1
-                    else:
-                        c = match(text, pos)
-                        if c is None or c.group(1) != ":":
-                            raise Invalid
-                        pos = c.end()
-                    keys = top.keys
-                    if top.key in keys:
-                        _forget(out, top, keys[top.key])
-                    keys[top.key] = len(out)
-                    top.state = "value"
-                    continue
-                if mark == "}" and state == "first":
-                    stack.pop()
-                    top = stack[-1] if stack else None
-                    done = top is None
-                    continue
-                raise Invalid
-            if state == "more":
-                if mark == ",":
-                    top.state = "name"
-                    continue
-                if mark == "}":
-                    stack.pop()
-                    top = stack[-1] if stack else None
-                    done = top is None
-                    continue
-                raise Invalid
-        elif top is not None:
-            if top.state == "more":
-                if mark == ",":
-                    top.state = "value"
-                    continue
-                if mark == "]":
-                    stack.pop()
-                    top = stack[-1] if stack else None
-                    done = top is None
-                    continue
-                raise Invalid
-            if mark == "]" and top.state == "first":
-                stack.pop()
-                top = stack[-1] if stack else None
-                done = top is None
+        opened, closed = m.groups()
+        if opened:
+            if not closed:
+                stack.append(opened)
+                if opened == "{":
+                    m = _KEY.match(text, pos)
+                    if m is None:
+                        return False
+                    pos = m.end()
                 continue
-        # a value begins here
-        if top is None:
-            path = plain = ""
-            element, owner, up = False, "$", ""
+            if opened + closed not in ("{}", "[]"):
+                return False
+        while True:  # a value has ended
+            if not stack:
+                return _BLANK.match(text, pos) is not None
+            m = _MORE[stack[-1]].match(text, pos)
+            if m is None:
+                return False
+            pos = m.end()
+            if not m.group(1):
+                break
+            stack.pop()
+
+
+def events(text: str | None) -> Iterator[Event]:
+    """The text's containers and scalars in document order.  Null or invalid text gives nothing.
+
+    When a name occurs twice in an object, the last one holds; only such texts are held as a whole.
+    """
+    state = soundness(text)
+    if state == INVALID:
+        return iter(())
+    return _stream(text) if state == SOUND else _last_of_each(_stream(text))
+
+
+def _stream(text: str) -> Iterator[Event]:
+    for m in _TOKEN.finditer(text):
+        name, string, opened, closed, word = m.groups()
+        if name is not None and "\\" in name:
+            name = scanstring(f'"{name}"', 1, True)[0]
+        if string is not None:
+            yield "string", name, scanstring(f'"{string}"', 1, True)[0] if "\\" in string else string
+        elif word is not None:
+            yield _WORDS.get(word, "number"), name, word
+        elif closed is not None:
+            yield "end", None, None
         else:
-            element, owner, up = top.array, top.item, top.up
-            if element:
-                top.index += 1
-                path, plain = f"{top.path}[{top.index}]", top.plain
-            else:
-                key = top.key
-                path = f"{top.path}.{key}" if top.path else key
-                plain = f"{top.plain}.{key}" if top.plain else key
-            top.state = "more"
-        if mark is None:
-            if number is not None:
-                if leaves:
-                    add(("number", path, plain, owner, up, number, element))
-            elif leaves:
-                add(("null" if word == "null" else "boolean", path, plain, owner, up, word, element))
-        elif mark == '"':
-            value, pos = scanstring(text, pos, True)
-            if leaves:
-                add(("string", path, plain, owner, up, value, element))
-        elif mark == "{":
-            if element:
-                owner, up = path, owner
-            top = Node(False, path, plain, owner, up)
-            stack.append(top)
-            add(("object", path, plain, owner, up, None, element))
+            yield ("object" if opened == "{" else "array"), name, None
+
+
+def _last_of_each(stream: Iterator[Event]) -> Iterator[Event]:
+    """The events without those of members whose name occurs again in their object."""
+    out: list[Event | None] = []
+    names: list[dict[str, tuple[int, int]]] = [{}]
+    opened: list[tuple[int, str | None]] = []
+    for e in stream:
+        kind, name, _ = e
+        if kind == "end":
+            names.pop()
+            start, name = opened.pop()
+            out.append(e)
+            if name is not None:
+                names[-1][name] = (start, len(out))
             continue
-        elif mark == "[":
-            top = Node(True, path, plain, owner, up)
-            stack.append(top)
-            add(("array", path, plain, owner, up, None, element))
-            continue
-        else:
-            raise Invalid
-        # a scalar has ended; a comma right behind it saves a token
-        if top is None:
-            done = True
-        elif text[pos] == ",":
-            pos += 1
-            top.state = "value" if top.array else "name"
-
-
-def _forget(out: list[Triple], at: Node, since: int) -> None:
-    """Drop what an earlier member of the same name reported."""
-    path = f"{at.path}.{at.key}" if at.path else at.key
-    heads = (path + ".", path + "[")
-    kept = [t for t in out[since:] if not (t[1] == path or t[1].startswith(heads))]
-    removed = len(out) - since - len(kept)
-    out[since:] = kept
-    for k, i in at.keys.items():
-        if i > since:
-            at.keys[k] = max(since, i - removed)
+        if name is not None and name in names[-1]:
+            a, b = names[-1][name]
+            out[a:b] = [None] * (b - a)
+        if kind in ("object", "array"):
+            opened.append((len(out), name))
+            names.append({})
+        elif name is not None:
+            names[-1][name] = (len(out), len(out) + 1)
+        out.append(e)
+    return (e for e in out if e is not None)
