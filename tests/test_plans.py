@@ -2,6 +2,7 @@ import pytest
 
 from tracewright.plans import durable, once
 from tracewright.plans.names import carried
+from tracewright.plans.skew import keep_keys
 
 
 def test_once(spark, monkeypatch):
@@ -28,3 +29,22 @@ def test_cut_reads_what_it_wrote(spark):
 
 def test_carried_names():
     assert carried(["a", "b", "A_"], ["a"]) == ["a_", "b", "A__"]
+
+
+def test_keep_keys_broadcasts_hot_ones_only(spark, monkeypatch):
+    big = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2, 3, 3, None])], "k long, i int")
+    keys = spark.createDataFrame([(1, 9), (3, 2)], "k long, n long")
+    want = sorted(r["i"] for r in big.where("k IN (1, 3)").collect())
+    assert sorted(r["i"] for r in keep_keys(big, keys, "k", 2, "n").collect()) == want
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 60)
+    assert sorted(r["i"] for r in keep_keys(big, keys, "k", 2, "n", hot_rows=5).collect()) == want
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 1)
+    assert sorted(r["i"] for r in keep_keys(big, keys, "k", 2, "n", hot_rows=5).collect()) == want
+
+
+def test_cuts_are_deleted_when_released_also_after_the_session(spark):
+    back = durable.cut(spark.range(3))
+    durable.release()
+    with pytest.raises(Exception):
+        back.count()
+    assert not durable._written

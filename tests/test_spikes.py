@@ -3,7 +3,6 @@ import math
 import numpy as np
 
 from tracewright.operators.spikes import implausible, judge
-from tracewright.plans.skew import time_blocks
 
 
 def _lane(n=200, seed=1, level=1000.0, noise=0.08):
@@ -79,13 +78,6 @@ def test_hot_source_is_split(spark):
     df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
     got = implausible(df, ["trace_id", "tid"], item="event_id", time="ts", value="dur", kind="op", block_rows=1000)
     assert {r[0] for r in got.collect()} == spikes
-    blocks = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 1000)
-    assert blocks.where("NOT __halo").count() == df.count()
-    sizes = blocks.groupBy("trace_id", "__block").count().collect()
-    assert max(r["count"] for r in sizes) < 2500 and len(sizes) >= 6
-    deep = time_blocks(df, ["trace_id", "tid"], "ts", "event_id", 40)
-    assert deep.where("NOT __halo").count() == df.count() and deep.where("NOT __halo").select("event_id").distinct().count() == df.count()
-    assert max(r["count"] for r in deep.groupBy("trace_id", "__block").count().collect()) < 400
 
 
 def test_runs_across_block_borders_are_seen_whole(spark):

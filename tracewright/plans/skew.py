@@ -1,75 +1,25 @@
-"""Splitting hot entities into blocks by their own quantiles of time."""
+"""Semi joins whose keys may be hot."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans.durable import broadcast_if_small, cut
+from tracewright.plans.durable import fits
 
-#: Bins into which one level divides the time of a hot entity, and the least number of bins in a block.
-BINS, LEAST = 256, 8
-#: Levels of splitting by time; what is larger still after them is spread by id.
-LEVELS = 6
+#: Rows of one key that are not sent to one task.
+HOT_ROWS = 100_000
 
 
-def time_blocks(
-    df: DataFrame, keys: list[str], time: str, item: str, block_rows: int, column: str = "__block", halo: str = "__halo", level: int = 0
-) -> DataFrame:
-    """``df`` with a block number: 0 for small entities, else about ``block_rows`` neighbouring rows share one.
+def keep_keys(big: DataFrame, keys: DataFrame, on: str, n_keys: int, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows of ``big`` whose key is in ``keys`` (``n_keys`` distinct ones, ``count`` tells the rows of each in ``big``).
 
-    Exact counts find the hot entities (at most rows / block_rows of them); only these get a sketch of their time
-    quantiles.  A block is a run of quantile bins; the bins at its borders also go to the neighbouring block, marked in
-    ``halo``, so that what crosses a border is seen whole.  Every row is in exactly one block without the mark.
-    Entities too large for one level are split again.  Rows without a time spread by id.
+    Few keys are broadcast.  Of many, the hot ones, at most rows / ``hot_rows``, are; their rows stay where they are, and
+    only the rest is shuffled.
     """
-    hot = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows * (2 if level else 1)))
-    n_hot, most = hot.agg(F.count(F.lit(1)), F.max("__n")).first()
-    marked = df if halo in df.columns else df.withColumn(halo, F.lit(False))
-    if not n_hot:
-        return marked.withColumn(column, F.lit(0).cast("long"))
-    names = [f"__k{i}" for i in range(len(keys))]
-    own = hot.select(*[F.col(k).alias(o) for k, o in zip(keys, names, strict=True)], "__n")
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, names, strict=True)])
-    if level == LEVELS:
-        out = marked.join(broadcast_if_small(own, n_hot), on, "left")
-        parts = F.ceil(F.coalesce("__n", F.lit(1)) / block_rows)
-        return out.withColumn(column, F.pmod(F.xxhash64(item), parts)).drop("__n", *names)
-    quantiles = [i / BINS for i in range(1, BINS)]
-    grid = cut(
-        df.join(broadcast_if_small(own, n_hot), on, "inner")
-        .groupBy(*names)
-        .agg(F.array_distinct(F.percentile_approx(F.col(time).cast("double"), quantiles, 10_000)).alias("__cuts"), F.max("__n").alias("__n"))
-        .withColumn("__every", F.greatest(F.lit(LEAST), F.floor(F.lit(BINS) * block_rows / F.col("__n"))).cast("long"))
-        .select(*names, "__cuts", "__every")
-    )
-    out = marked.join(broadcast_if_small(grid, n_hot), on, "left")
-    at, every, last = F.size(F.filter("__cuts", lambda c: c <= F.col(time))).cast("long"), F.col("__every"), F.size("__cuts")
-    place = lambda block, mark: F.struct(block.cast("long").alias("block"), mark.alias("mark"))
-    home = F.floor(F.col("__bin") / every)
-    at_start = (F.col("__bin") % every == 0) & (F.col("__bin") > 0)
-    at_end = ((F.col("__bin") + 1) % every == 0) & (F.col("__bin") < last)
-    spread = F.pmod(F.xxhash64(item), F.floor(last / every) + 1)
-    places = (
-        F.when(F.col("__cuts").isNull(), F.array(place(F.lit(0), F.col(halo))))
-        .when(F.col(time).isNull(), F.array(place(spread, F.col(halo))))
-        .otherwise(
-            F.filter(
-                F.array(
-                    place(home, F.col(halo)),
-                    F.when(at_start, place(home - 1, F.lit(True))),
-                    F.when(at_end, place(home + 1, F.lit(True))),
-                ),
-                lambda x: x.isNotNull(),
-            )
-        )
-    )
-    out = out.withColumn("__bin", at).withColumn("__place", F.explode(places))
-    out = out.withColumns({column: F.col("__place.block"), halo: F.col("__place.mark")}).drop("__place", "__bin", "__cuts", "__every", *names)
-    if most > BINS // LEAST * block_rows:
-        sub = column + "_"
-        out = time_blocks(out, [*keys, column], time, item, block_rows, sub, halo, level + 1)
-        out = out.withColumn(column, F.col(column) * 1_000 + F.col(sub)).drop(sub)
-    return out
+    if fits(keys.select(on), n_keys):
+        return big.join(F.broadcast(keys.select(on)), on, "left_semi")
+    hot = keys.where(F.col(count) > hot_rows).select(on)
+    side = F.broadcast(hot) if fits(hot, hot.count()) else hot
+    rest = big.join(side, on, "left_anti").join(keys.where(F.col(count) <= hot_rows).select(on), on, "left_semi")
+    return big.join(side, on, "left_semi").unionByName(rest)
