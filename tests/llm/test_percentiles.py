@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewright.llm import percentiles as P
+from tracewright.plans import durable
 
 QS = [0.0, 0.01, 0.5, 0.95, 1.0]
 
@@ -21,21 +22,25 @@ def _brute(rows, qs=QS):
     return sorted(out)
 
 
-def _got(summary, qs=QS):
-    return sorted((str(r[0]), r["q"], r["n_readings"], r["value"]) for r in P.percentiles(summary, qs).collect())
+def _got(summary, qs=QS, **kw):
+    return sorted((str(r[0]), r["q"], r["n_readings"], r["value"]) for r in P.percentiles(summary, qs, **kw).collect())
 
 
 def _frame(spark, rows):
     return spark.createDataFrame(rows, "q string, x double, id long, v int, n int")
 
 
-def test_agrees_with_sorting(spark):
+def test_agrees_with_sorting(spark, monkeypatch):
     r = random.Random(1)
     value = lambda: r.choice([None, math.nan, math.inf, 0.0, -r.expovariate(1e-3), r.lognormvariate(0, 6), r.randrange(9) * 1.0, 1 + r.random() * 1e-12, 1e308, -1e308, 5e-324])
     rows = [(r.choice(["a", "a", "a", "b", None]), value(), i, 0, 0) for i in range(700)] + [("one", 3.5, 9000, 0, 0), ("nothing", None, 9001, 0, 0)]
     rows += rows[:100]
     summary = P.summarize(_frame(spark, rows), ["q"], "x", "id")
     assert _got(summary) == _brute(rows)
+    assert _got(summary, heavy_rows=0) == _got(summary, heavy_rows=200) == _brute(rows)  # all groups hot, some
+    assert _got(summary, at_least=100) == _got(summary, at_least=100, heavy_rows=0) == [r for r in _brute(rows) if r[2] >= 100]
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 1)  # joins that shuffle
+    assert _got(summary, heavy_rows=100) == _brute(rows)
     assert P.percentiles(summary, [0.5]).columns == ["q_", "q", "n_readings", "value"]
 
 
@@ -50,14 +55,15 @@ def test_days_roll_up(spark):
     r = random.Random(3)
     rows = [(r.choice("ab"), r.lognormvariate(3, 1), i, i % 5, 0) for i in range(600)]
     by_day = P.summarize(_frame(spark, rows), ["v", "q"], "x", "id")
-    assert _got(P.roll_up(by_day, ["q"])) == _brute(rows)
+    assert _got(P.roll_up(by_day, ["q"])) == _got(P.roll_up(by_day.compact(), ["q"])) == _brute(rows)
 
 
 def test_smallest_and_largest_values(spark):
     values = [1e-322, 1.05e-322, 1.1e-322, 1.7e308, 1.75e308, 1.79e308, -1.7e308, -1.75e308, 0.0, -0.0]
     rows = [("g", v, i, 0, 0) for i, v in enumerate(values)]
     qs = [0.1, 0.2, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
-    assert _got(P.summarize(_frame(spark, rows), ["q"], "x", "id"), qs) == _brute(rows, qs)
+    summary = P.summarize(_frame(spark, rows), ["q"], "x", "id")
+    assert _got(summary, qs) == _got(summary, qs, heavy_rows=0) == _brute(rows, qs)
 
 
 def test_empty(spark):

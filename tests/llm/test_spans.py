@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from tracewright.llm.spans import anchors, shared_share, shared_spans, window_hashes
+from tracewright.llm import spans
+from tracewright.llm.spans import anchors, extended, shared_share, shared_spans, window_hashes
+from tracewright.plans import durable
 
 
 def _brute(docs, length):
@@ -41,11 +43,14 @@ def _corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("length", "hot"), [(20, 20_000), (20, 1), (31, 20_000), (31, 3)])
-def test_agrees_with_brute_force(spark, length, hot):
+@pytest.mark.parametrize(("length", "hot", "hot_rows", "levels", "wide"), [(20, 20_000, 100_000, 2, 1), (20, 1, 2, 1, 0), (31, 20_000, 1, 3, 0), (31, 3, 100_000, 2, 1), (5, 2, 2, 2, 0)])
+def test_agrees_with_brute_force(spark, monkeypatch, length, hot, hot_rows, levels, wide):
+    monkeypatch.setattr(spans, "LEVELS", levels)
+    if not wide:  # no broadcasts
+        monkeypatch.setattr(durable, "BROADCAST_BYTES", 1)
     docs = _corpus(length)
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in [*docs, *docs[:5]]], "doc_id long, text string, h int, ctx string")
-    got = shared_spans(df, "doc_id", "text", min_len=length, hot=hot)
+    got = shared_spans(df, "doc_id", "text", min_len=length, hot=hot, hot_rows=hot_rows)
     assert sorted(tuple(r) for r in got.collect()) == _brute(docs, length)
     shares = {r["doc_id"]: r for r in shared_share(df, "doc_id", "text", got).collect()}
     assert shares[100]["shared_share"] == 1.0 and shares[107]["shared_share"] == 0.0 and len(shares) == len(docs)
@@ -68,7 +73,22 @@ def test_every_long_window_has_an_anchor():
     r = random.Random(4)
     t = "".join(r.choice("abcd") for _ in range(900))
     codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-    d, h, p, lo, hi = anchors(codes, np.array([0, 400]), np.array([400, 500]), 40)
+    d, h, p, lo, hi = anchors(codes, np.array([0, 400]), np.array([400, 500]), 40, 20)
     covered = {(k, w) for k, a, b in zip(d.tolist(), lo.tolist(), hi.tolist(), strict=True) for w in range(a, b + 1)}
     assert covered == {(0, w) for w in range(361)} | {(1, w) for w in range(461)}
     assert all(lo <= p) and all(p + 20 <= lo + 40)
+
+
+def test_extensions_cover_all_windows_by_their_offset_alone():
+    for min_len in range(2, 80):
+        length = -(-min_len // 4)
+        while 2 * length < min_len:
+            for p, lo, hi in ((100, 100 - (min_len - length), 100), (100, 95, 97), (100, 100, 100)):
+                lo = max(lo, p - (min_len - length))
+                got = {}
+                for q, a, b in extended(p, lo, hi, length, min_len):
+                    for s in range(a, b + 1):
+                        assert s <= q <= q + 2 * length <= s + min_len and q <= p and p + length <= q + 2 * length
+                        got[s] = q
+                assert sorted(got) == list(range(lo, hi + 1))
+            length *= 2

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.plans.durable import cut
+from tracewright.plans.durable import broadcast_if_small, cut
 
 #: Documents in a block of the flight phase.
 BLOCK = 8192
@@ -96,7 +96,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     """(chosen, report) from docs(doc_id, source, n_tokens) and targets(source, target_share, max_repeats).
 
     chosen: doc_id, source, n_tokens, repeats.  report: source, target_share,
-    target_tokens, reached_tokens, reached_share, documents, short.
+    target_tokens, reached_tokens, reached_share (of all that is chosen), reached_of_total (of the tokens of all
+    documents, as target_share is), documents, short.
     """
     name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     goals = targets.select(name(F.col("source")).alias("source"), "target_share", "max_repeats")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("usable") / block)).cast("int")
     units = (
         docs.where(F.col("n_tokens") > 0)
-        .join(F.broadcast(plan.select("source", "base", "p", n_blocks.alias("blocks"))), "source")
+        .join(broadcast_if_small(plan.select("source", "base", "p", n_blocks.alias("blocks")), len(listed)), "source")
         .withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "blocks").cast("int"))
     )
@@ -154,7 +155,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
         .fillna(0, ["reached_tokens", "documents"])
         .select(
             "source", "target_share", "target_tokens", "reached_tokens",
-            share.alias("reached_share"), "documents",
+            share.alias("reached_share"), (F.col("reached_tokens") / F.lit(all_tokens) if all_tokens else F.lit(0.0)).alias("reached_of_total"), "documents",
             # short: everything is used as often as allowed, and it is not enough
             (F.col("short") & (F.col("reached_tokens") < F.col("target_tokens"))).alias("short"),
         )

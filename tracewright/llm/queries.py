@@ -31,19 +31,19 @@ SELECT trace_id, tid, op, CAST(place AS INT) AS place, event_id FROM (
 """
 
 
-def _p5(spark: SparkSession, sf_dir: str, qs: list[float]) -> DataFrame:
+def _p5(spark: SparkSession, sf_dir: str, qs: list[float], at_least: int = 1) -> DataFrame:
     readings = valid_readings(load(spark, sf_dir, "trace_events")).where(F.col("op").isNotNull())
-    return percentiles(summarize(readings, LANE_OP, "dur", "event_id"), qs)
+    return percentiles(summarize(readings, LANE_OP, "dur", "event_id"), qs, at_least)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of at least 100 readings whose 95th percentile is three medians or more."""
     by_q = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
     return (
-        _p5(spark, sf_dir, [0.5, 0.95])
+        _p5(spark, sf_dir, [0.5, 0.95], 100)
         .groupBy(*LANE_OP)
-        .agg(F.max("n_readings").alias("n"), by_q(0.5).alias("p50"), by_q(0.95).alias("p95"))
-        .where((F.col("n") >= 100) & (F.col("p95") >= 3 * F.col("p50")))
+        .agg(by_q(0.5).alias("p50"), by_q(0.95).alias("p95"))
+        .where(F.col("p95") >= 3 * F.col("p50"))
         .select(*LANE_OP)
     )
 
@@ -53,10 +53,10 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from summaries of separate days, combined."""
+    """The same from kept summaries of separate days, combined."""
     events = valid_readings(load(spark, sf_dir, "trace_events"), ["captured_at"]).where(F.col("op").isNotNull())
     days = events.withColumn("day", F.to_date("captured_at"))
-    by_day = summarize(days, [*LANE_OP, "day"], "dur", "event_id")
+    by_day = summarize(days, [*LANE_OP, "day"], "dur", "event_id").compact()
     return percentiles(roll_up(by_day, LANE_OP), [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
 
 

@@ -1,22 +1,23 @@
 """Long exact spans shared between documents, by level-wise doubling.
 
-A span of ``min_len`` characters contains at least one of the windows of half
-that length that minimizer sampling keeps (in every run of neighbouring windows the one with the
-smallest hash, the leftmost of equals).  Only those windows are compared
-first, by hash over all documents; the ones found in one document alone are
-dropped.  Around each survivor the windows of twice the length are formed:
-those whose own minimizer it is.  Together they are a short stretch of text, its
-*context*, and equal windows have equal minimizers at equal offsets, so they can
-only meet among contexts of one survivor hash.  Equal contexts are collapsed with the
+The first level is windows of a quarter of ``min_len``.  A span of ``min_len`` characters contains at least one of those that
+minimizer sampling keeps (in every run of neighbouring windows the one with the smallest hash, the leftmost of equals), and
+an equal span contains the same one at the same offset.  At each level windows are compared by hash over all
+documents; those found in one document alone are dropped, and the text around each survivor is extended to a window of twice
+the length (:func:`extended`), until no candidates survive or the next length is ``min_len``.
+
+There, around each survivor, all windows of ``min_len`` that contain it are compared.  Together they are a short stretch of text, its
+*context*, and equal windows can only meet among contexts of one survivor hash.  Equal contexts are collapsed with the
 extremes of their document ids; what is shared as a whole is settled there, and
 only distinct contexts are compared window by window.  A survivor hash with many
-distinct contexts is hot and is compared by window hash over the whole cluster.
-No pairs of documents are formed at any level.
+distinct contexts is hot and is compared by window hash over the whole cluster; a context with many occurrences is hot and settled
+without a shuffle of them.  Longer windows than ``min_len`` are not formed: a longer shared span is covered by shared windows
+of ``min_len``, which overlap and so merge into it.  No pairs of documents are formed at any level.
 
 Defined cases: null, empty and short texts share nothing; repeats within one
 document do not count; equal documents share their whole text; repeated rows
 of one document count as that document; offsets are Unicode code points, the end exclusive; windows are told
-apart by 64-bit hashes at the first level and by 96-bit hashes at the last; extra columns are ignored.
+apart by 64-bit hashes below ``min_len`` and by 96-bit hashes there; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.plans.durable import broadcast_if_small, cut
+from tracewright.plans.durable import broadcast_if_small, cut, discard
+from tracewright.plans.skew import HOT_ROWS, keep_keys
 
 MIN_LEN = 150
 #: Characters handled at once; a longer document is handled alone.
@@ -40,8 +42,8 @@ CHUNK = 1 << 19
 FLUSH = 20_000
 #: A survivor hash with more distinct contexts is compared across the cluster.
 HOT = 20_000
-#: Survivors up to which they are broadcast to the texts; beyond, the join shuffles.
-MARKS = 500_000
+#: The first level is min_len / 2**LEVELS, so there are as many doublings.
+LEVELS = 2
 _POS_BITS = 31
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -91,17 +93,17 @@ def _slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
-    """(document, hash, position, first window, last window) of the sampled half-length windows.
+def anchors(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, min_len: int, length: int) -> tuple[np.ndarray, ...]:
+    """(document, hash, position, first window, last window) of the sampled windows of ``length``.
 
-    ``codes`` holds documents one after the other; positions are relative to their document.
+    ``codes`` holds documents one after the other; positions are relative to their document; first and last
+    window are the starts of the neighbouring windows of ``min_len`` whose sample it is.
     """
-    half = min_len // 2
-    width = min_len - half + 1
+    width = min_len - length + 1
     empty = (np.empty(0, np.int64), np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
     if len(codes) < min_len:
         return empty
-    grams = window_hashes(codes, half)
+    grams = window_hashes(codes, length)
     low = np.uint64((1 << _POS_BITS) - 1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     best = (_slide_min(packed, width) & low).astype(np.int64)  # one per window of min_len
@@ -143,18 +145,68 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-def _anchor_rows(docs: DataFrame, min_len: int) -> DataFrame:
-    schema = _struct(doc_id=_LONG, h=_LONG, p=_INT, lo=_INT, hi=_INT)
+_MARK = _struct(doc_id=_LONG, h=_LONG, p=_INT, lo=_INT, hi=_INT)
 
+
+def _anchor_rows(docs: DataFrame, min_len: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_numpy(zero_copy_only=False)
             for rows, codes, starts, sizes in _chunks(texts, min_len):
-                d, h, p, lo, hi = anchors(codes, starts, sizes, min_len)
+                d, h, p, lo, hi = anchors(codes, starts, sizes, min_len, length)
                 cols = [pa.array(ids[np.array(rows)[d]], pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (p, lo, hi)]]
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                yield pa.RecordBatch.from_arrays(cols, names=_MARK.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _MARK)
+
+
+def extended(p: int, lo: int, hi: int, length: int, min_len: int) -> list[tuple[int, int, int]]:
+    """The windows of twice ``length`` around the one at ``p``, as (position, first window, last window).
+
+    For the windows of ``min_len`` in which it fits to the right it is extended that way, for the others to the left; which
+    of the two depends on the offset within the window only, so equal windows have equal extensions.
+    """
+    turn = p + 2 * length - min_len  # the first window in which the extension to the right fits
+    out = [(p, max(lo, turn), hi)] if hi >= turn else []
+    return out + ([(p - length, lo, min(hi, turn - 1))] if lo < turn else [])
+
+
+def _extended_rows(docs: DataFrame, min_len: int, length: int) -> DataFrame:
+    """The survivors of ``length`` in ``marks``, extended to twice of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):
+                doc_id, text = batch["doc_id"][i].as_py(), batch["text"][i].as_py()
+                for m in batch["marks"][i].as_py():
+                    for p, lo, hi in extended(m["p"], m["lo"], m["hi"], length, min_len):
+                        h = xxhash.xxh3_64_intdigest(text[p : p + 2 * length].encode("utf-8", "surrogatepass"))
+                        rows.append((doc_id, h - (1 << 63), p, lo, hi))
+                if len(rows) >= FLUSH:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_MARK.names)
+
+    return docs.mapInArrow(run, _MARK)
+
+
+def _survivors(texts: DataFrame, sampled: DataFrame) -> DataFrame | None:
+    """(doc_id, text, marks) of the windows that stand in two documents; None if there are none."""
+    seen = sampled.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+    repeated = cut(seen.where(F.col("a") < F.col("b")).select("h", "n"))
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return None
+    alive = keep_keys(sampled, repeated, "h", n_repeated, "n")
+    marks = cut(alive.groupBy("doc_id").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("marks")))  # bounded by one text
+    n_docs, n_marks = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()
+    return texts.join(broadcast_if_small(marks, n_docs, 64 + 48 * n_marks // n_docs), "doc_id")
 
 
 def _context_rows(docs: DataFrame, min_len: int) -> DataFrame:
@@ -216,6 +268,11 @@ def _compare_cold(contexts: DataFrame, min_len: int) -> DataFrame:
     schema = _struct(ctx=T.BinaryType(), first=_INT, last=_INT)
 
     def settle(table: pa.Table) -> pa.RecordBatch:
+        h = table["h"].to_numpy()
+        near = np.append(h[1:] == h[:-1], False)
+        table = table.filter(pa.array(near | np.append(False, near[:-1])))  # a survivor with one context has nothing to compare
+        if not table.num_rows:
+            return pa.RecordBatch.from_pylist([], schema=pa.schema([("ctx", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
         who, off, h1, h2 = _windows_of(table["text"].to_pylist(), min_len)
         low, high = table["mn"].to_numpy()[who], table["mx"].to_numpy()[who]
         order = np.lexsort((h2, h1))
@@ -264,7 +321,7 @@ def _compare_hot(contexts: DataFrame, min_len: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    windows = contexts.select("ctx", "text", "mn", "mx").mapInArrow(run, schema)
+    windows = cut(contexts.select("ctx", "text", "mn", "mx").mapInArrow(run, schema))  # read twice
     shared = windows.groupBy("h1", "h2").agg(F.min("mn").alias("a"), F.max("mx").alias("b")).where(F.col("a") < F.col("b")).select("h1", "h2")
     hits = windows.where(F.col("mn") == F.col("mx")).join(shared, ["h1", "h2"], "left_semi")
     w = Window.partitionBy("ctx").orderBy("off")  # a context has at most half of min_len windows
@@ -276,36 +333,43 @@ def _compare_hot(contexts: DataFrame, min_len: int) -> DataFrame:
     )
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_len: int = MIN_LEN, hot: int = HOT) -> DataFrame:
+def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_len: int = MIN_LEN, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, span_start, span_end): maximal stretches covered by spans of ``min_len`` that stand in another document too."""
     if min_len < 2:
         raise ValueError("min_len must be at least 2")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    # level 1: half-length windows, repeated over all documents
-    sampled = cut(_anchor_rows(texts, min_len))
-    repeated = cut(
-        sampled.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") < F.col("b")).select("h")
-    )
-    n_repeated = repeated.count()
-    alive = sampled.join(broadcast_if_small(repeated, n_repeated), "h", "left_semi")
-    marks = cut(alive.groupBy("doc_id").agg(F.collect_set(F.struct("h", "p", "lo", "hi")).alias("marks")))  # bounded by one text
-    n_marks = marks.agg(F.coalesce(F.sum(F.size("marks")), F.lit(0))).first()[0]
-    # level 2: windows of twice the length, around the survivors only
-    around = cut(_context_rows(texts.join(broadcast_if_small(marks, n_marks, MARKS), "doc_id"), min_len))
-    contexts = cut(
-        around.groupBy("h", "ctx").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx"), F.min("text").alias("text"))
-    )
+    length = -(-min_len // (1 << LEVELS))
+    sampled = cut(_anchor_rows(texts, min_len, length))
+    alive = _survivors(texts, sampled)
+    while alive is not None and 2 * length < min_len:
+        before, sampled = sampled, cut(_extended_rows(alive, min_len, length))
+        discard(before)
+        length *= 2
+        alive = _survivors(texts, sampled)
+    if alive is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, span_start int, span_end int")
+    # all windows of min_len around the survivors
+    around = cut(_context_rows(alive, min_len))
+    seen = around.groupBy("h", "ctx").agg(F.min("doc_id").alias("mn"), F.max("doc_id").alias("mx"), F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
+    contexts = cut(seen)
     many = cut(contexts.groupBy("h").count().where(F.col("count") > hot).select("h"))
     n_many = many.count()  # at most contexts / hot
     cold = contexts.join(broadcast_if_small(many, n_many), "h", "left_anti") if n_many else contexts
     found = _compare_cold(cold, min_len)
     if n_many:
         found = found.unionByName(_compare_hot(contexts.join(broadcast_if_small(many, n_many), "h", "left_semi"), min_len))
-    whole = contexts.where(F.col("mn") < F.col("mx")).select("ctx")
-    pieces = [
-        around.join(found, "ctx").select("doc_id", (F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("last") + min_len).alias("e")),
-        around.join(whole, "ctx", "left_semi").select("doc_id", F.col("lo").alias("s"), (F.col("hi") + min_len).alias("e")),
-    ]
+    whole = contexts.where(F.col("mn") < F.col("mx"))
+    often = cut(whole.where(F.col("n") > hot_rows).select("ctx"))
+    n_often = often.count()  # at most contexts / hot_rows
+    span = lambda df, first, last: df.select("doc_id", (F.col("lo") + first).alias("s"), (last + min_len).alias("e"))
+    bare = around.select("doc_id", "ctx", "lo", "hi")
+    pieces = []
+    if n_often:
+        side = broadcast_if_small(often, n_often)
+        pieces.append(span(bare.join(side, "ctx", "left_semi"), F.lit(0), F.col("hi")))
+        bare, whole = bare.join(side, "ctx", "left_anti"), whole.join(side, "ctx", "left_anti")
+    settled = found.unionByName(whole.select("ctx", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")))
+    pieces.append(span(bare.join(settled, "ctx"), F.col("first"), F.coalesce(F.col("lo") + F.col("last"), "hi")))
     spans = reduce(DataFrame.unionByName, pieces).groupBy("doc_id", "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy("doc_id").orderBy("s")  # bounded by one text
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
