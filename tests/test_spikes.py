@@ -1,8 +1,9 @@
 import math
+import time
 
 import numpy as np
 
-from tracewright.operators.spikes import implausible, judge
+from tracewright.operators.spikes import implausible, judge, merged
 
 
 def _lane(n=200, seed=1, level=1000.0, noise=0.08):
@@ -115,3 +116,60 @@ def test_size_of_a_source_changes_nothing(spark):
     whole, streamed = (sorted(map(tuple, implausible(df, ["trace_id", "tid"], **args, block_rows=b).collect())) for b in (10**6, 1000))
     assert streamed == whole
     assert (4500, "far off") in whole and (2500, "stuck") in whole and (1600, "impossible") in whole and (4105, "stuck") in whole
+
+
+def test_a_sensor_held_with_little_jitter_is_stuck():
+    g = np.random.default_rng(3)
+    d = _lane(400, 4, noise=0.2)
+    d[120:150] = 1000.0 * np.exp(0.001 * g.standard_normal(30))
+    d[250:262] = d[250]
+    assert _flags(d) == set(range(120, 150)) | set(range(250, 262))
+    mix = np.arange(400) % 4  # the run goes on over kinds of different levels
+    e = _lane(400, 5) * np.array([1, 3, 9, 20])[mix]
+    e[60:90] = 2000.0
+    assert _flags(e, mix) == set(range(60, 90))
+
+
+def test_runs_of_two_bounds_are_merged():
+    assert merged([], [(3, 9)]) == [(3, 9)] and merged([(3, 9)], []) == [(3, 9)]
+    assert merged([(4, 6), (30, 6), (50, 6)], [(3, 8), (25, 40)]) == [(4, 6), (25, 40)]  # by chance near; mostly wider
+    assert merged([(4, 6), (90, 7)], [(2, 13), (20, 10)]) == [(2, 13), (20, 10), (90, 7)]
+
+
+def test_a_changing_level_is_followed_through_many_batches(spark):
+    g = np.random.default_rng(8)
+    n = 9000
+    d = _lane(n, 6) * np.exp(np.sin(np.arange(n) / 1500) * 0.9)  # up and down by a factor of six, slowly
+    spikes = set(g.choice(n, 30, replace=False).tolist())
+    for i in spikes:
+        d[i] *= 30
+    rows = [("t", 1, i, float(i), float(v), "op") for i, v in enumerate(d)]
+    df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
+    args = {"item": "event_id", "time": "ts", "value": "dur", "kind": "op"}
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (10_000, 170):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for block_rows in (10**6, 1000):
+                got = implausible(df, ["trace_id", "tid"], **args, block_rows=block_rows).collect()
+                assert {r[0] for r in got} == spikes and len(got) == len(spikes)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_many_runs_and_many_kinds_are_judged_once():
+    g = np.random.default_rng(2)
+    d = _lane(60_000, 10)
+    for a in range(10, 59_900, 29):
+        d[a : a + 7] = d[a]
+    began = time.process_time()
+    assert len(_flags(d)) > 10_000
+    assert len(_flags(_lane(60_000, 11), g.integers(0, 20_000, 60_000))) < 50
+    assert time.process_time() - began < 30
+
+
+def test_a_level_that_jumps_for_good_is_the_level_after_some_readings():
+    d = np.concatenate([_lane(300, 20, level=500.0), _lane(300, 21, level=4000.0)])
+    d[[100, 450]] = [9000.0, 90_000.0]
+    got = _flags(d)
+    assert {100, 450} <= got and got - {100, 450} == set(range(300, 308))

@@ -1,20 +1,28 @@
 """Implausible readings per source: spikes, stuck values, impossible values.
 
 A source is a lane; its readings are modelled on the log scale in order of
-time.  Per source and kind of work a local-level Kalman filter forecasts
-the next reading; a standardised innovation beyond the threshold is flagged and its update
-withheld, so a spike does not move the level.  Where the step from the last
-reading stays within a fixed tolerance far longer than the source's own variation
-allows, the readings are stuck; no innovation variance is computed for that.  Readings no clock can deliver are impossible.
+time.  Two forecasts are made of each reading:
+
+* From its kind of work: a local-level Kalman filter per source and kind.  A standardised innovation beyond the
+  threshold is flagged and its update withheld, so a spike does not move the level.  A kind with few readings has no noise
+  of its own and is forecast from what the kinds of its source span (:class:`Band`).
+* From the reading before, whatever its kind: a random walk, as the source's sensor is one.  Where the variance of these
+  innovations vanishes against that of the source (:data:`VANISH`), for longer than the source's own variation allows, the
+  sensor is stuck.
+
+Readings no clock can deliver are impossible.
 
 Normal are: a regular mix of kinds of work (each has a level of its own), a slow
 mode that recurs in one kind (a second level, accepted when a fair part of
 its readings gather closely around it), a coarse clock (the step is a floor of the noise) and a source that
-is always constant (its runs are as long as its variation lets them be).
+is always constant (its runs are as long as its variation lets them be).  Levels to start from and noises are robust
+estimates over the whole source; the filter follows the level from there.  Where a kind's level moves by far more than its
+readings scatter (:data:`MOVES_PART`), the noise is that of the steps between readings, the filter starts from the first
+readings, and after a jump for good the first :data:`SHIFT` readings are flagged, then they are the level.
 
-A source with many rows is judged as a whole, like any other, but never held: one pass streams it in order of time and
-keeps its distinct values with their counts, and its still runs; from these come the stuck runs and the
-levels.  A second pass streams each kind of work by itself, with the state of its filter carried along.
+A source with many rows is judged as a whole, like any other, but never held: one pass streams it in order of time for the
+variation of its innovations, a second one keeps its distinct values with their counts, and its still runs; from these come the
+stuck runs and the levels.  A third pass streams each kind of work by itself, with the state of its filter carried along.
 
 Defined cases: null readings are no case; NaN, infinite, non-positive values and those above
 ``MAX_VALID_DUR`` are impossible; readings without a time are compared with the levels but are in no run;
@@ -28,7 +36,7 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +56,12 @@ FLOOR = 0.01
 RUN_CHANCE = 1e-4
 #: Shortest run that can be stuck.
 MIN_RUN = 6
-#: Two readings nearer than this (absolute, relative) hold still.
-STILL_ABS, STILL_REL = 0.1251, 3e-4
+#: Deviations of innovations, as parts of the source's own, at which their variance has vanished: nearly nothing, and little.
+VANISH = (0.0015, 0.03)
+#: An innovation within a run is at most this many times the deviation at which variance has vanished.
+REACH = 2.0
+#: The clock's step; readings no further apart than one step are equal to it.
+GRAIN = 0.125
 #: Share of readings of one value from which a source counts as constant, and a kind of work does.
 CONSTANT, CONSTANT_KIND = 0.5, 0.8
 #: A factor of e is far off for any source, if it is beyond so many deviations.
@@ -60,6 +72,12 @@ SLOW_SHARE, SLOW_COUNT, SLOW_SPREAD = 0.06, 5, 0.30
 WIDE = 0.7
 #: Process noise of the level, as a part of the reading noise.
 DRIFT = 0.03
+#: Readings from which a kind has a noise of its own.
+OWN_NOISE = 8
+#: A kind whose readings deviate by more than this from their median, but by less than this part of it from one to the next, has a moving level.
+MOVES_WIDE, MOVES_PART = 0.2, 0.5
+#: Readings from which a moving level starts, and after which withheld readings that agree are its new place.
+START, SHIFT = 15, 8
 #: Rows of a source from which it is streamed.
 BLOCK_ROWS = 50_000
 
@@ -69,48 +87,137 @@ def impossible(dur: np.ndarray) -> np.ndarray:
         return ~((dur > 0) & (dur <= MAX_VALID_DUR))
 
 
-def still_runs(x: np.ndarray) -> list[tuple[int, int]]:
-    """Runs [a, b) in which no reading differs from the one before by more than the still tolerance."""
-    if len(x) < MIN_RUN:
-        return []
-    still = np.abs(np.diff(x)) <= np.maximum(STILL_ABS, STILL_REL * x[:-1])
-    edge = np.diff(np.concatenate([[0], still.astype(np.int8), [0]]))
-    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
-    long = b - a >= MIN_RUN
-    return list(zip(a[long].tolist(), b[long].tolist(), strict=True))
+def innovations(x: np.ndarray, before: float = np.nan) -> np.ndarray:
+    """What each reading differs, on the log scale, from its forecast by a random walk, the reading before; NaN for a first one."""
+    was = np.concatenate([[before], x[:-1]])
+    e = np.log(x) - np.log(was)
+    return np.where(np.abs(x - was) <= GRAIN * 1.001, 0.0, e)
+
+
+#: Bins of the sizes of innovations: eight to a doubling, from 2**-30 to 2**34.
+_BINS = 512
+
+
+def sizes_of(e: np.ndarray) -> np.ndarray:
+    """How many innovations are of which size; these counts add up over the parts of a source."""
+    size = np.abs(e[~np.isnan(e)])
+    with np.errstate(divide="ignore"):
+        at = np.clip(np.floor(np.log2(size) * 8) + 240, 0, _BINS - 1)
+    return np.bincount(at.astype(np.int64), minlength=_BINS)
+
+
+def own_deviation(sizes: np.ndarray) -> float:
+    """A robust standard deviation of the source's innovations, 0 where most of them are nothing."""
+    upto = np.cumsum(sizes)
+    if not upto[-1]:
+        return 0.0
+    at = int(np.searchsorted(upto, upto[-1] / 2))
+    return 0.0 if at == 0 else float(1.4826 * 2 ** ((at - 240) / 8))
+
+
+def quiet(e: np.ndarray, own: float | None = None) -> np.ndarray:
+    """Readings with hardly an innovation, stuck or not, which tell nothing of a kind's own steps."""
+    own = own_deviation(sizes_of(e)) if own is None else own
+    with np.errstate(invalid="ignore"):
+        return np.abs(e) <= REACH * max(VANISH) * own
+
+
+class Near:
+    """Distinct values of a source with their counts, and how many readings lie how near to each."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray, bound: float) -> None:
+        self.values, self.counts, self.bound = values, counts, bound
+        self.upto = np.concatenate([[0], np.cumsum(counts)])
+        a, b = self._within(values, 1)
+        self.near = self.upto[b] - self.upto[a]
+        self.pairs = int((counts * self.near).sum())
+
+    def _within(self, x: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+        reach = np.exp(times * self.bound)
+        low, high = np.minimum(x / reach, x - times * GRAIN * 1.001), np.maximum(x * reach, x + times * GRAIN * 1.001)
+        return np.searchsorted(self.values, low, "left"), np.searchsorted(self.values, high, "right")
+
+    def without(self, values: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
+        """Without these readings: the chance that two are near each other, and the share near the median of these."""
+        n = int(self.upto[-1] - counts.sum())
+        a, b = self._within(values, 1)
+        own = np.concatenate([[0], np.cumsum(counts)])
+        low, high = np.searchsorted(values, self.values[a], "left"), np.searchsorted(values, self.values[b - 1], "right")
+        inner = int((counts * (own[high] - own[low])).sum())
+        # near is mutual, so pairs with one of these count twice
+        pairs = self.pairs - 2 * int((counts * self.near[np.searchsorted(self.values, values)]).sum()) + inner - n
+        c, d = self._within(np.array([median(values, counts)]), 2)
+        taken = own[np.searchsorted(values, self.values[d[0] - 1], "right")] - own[np.searchsorted(values, self.values[c[0]], "left")] if d[0] > c[0] else 0
+        share = (self.upto[d[0]] - self.upto[c[0]] - taken) / n
+        return max((pairs + 1) / (n * (n - 1) + 1), 1 / (n + 1)), float(share)
+
+
+def vanished(near: Near, runs: list[tuple[int, int, float, np.ndarray, np.ndarray]], n_all: int, n_near: int, deviation: float) -> list[bool]:
+    """Which runs (start, readings, sum of squared innovations, values, counts) hold still far longer than the source allows.
+
+    ``n_near`` is how many innovations of the source are within the bound, ``deviation`` that at which variance has vanished.
+    """
+    touched, end = 0, -1
+    for start, n, *_ in runs:  # their own pairs, the one to the left unless a run ended there, and the one to the right
+        touched += n - 1 + (start > 0 and end != start) + (start + n < n_all)
+        end = start + n
+    free = n_all - 1 - touched
+    by_itself = (n_near - sum(n - 1 for _, n, *_ in runs)) / free if free > 0 else 0.0
+    out = []
+    for _, n, squares, values, counts in runs:
+        stuck_here = False
+        if n_all - n >= MIN_RUN and squares / (n - 1) <= deviation**2:
+            p, share = near.without(values, counts)
+            p = max(p, by_itself)
+            # where most others are as near, the source itself is constant
+            stuck_here = share < CONSTANT and p < 1 and np.log(n_all) + (n - 1) * np.log(p) < np.log(RUN_CHANCE)
+        out.append(bool(stuck_here))
+    return out
 
 
 def stuck(x: np.ndarray) -> np.ndarray:
-    """Readings in runs that hold still far longer than the others of the source allow."""
+    """Readings in runs in which the variance of the innovations has vanished."""
     out = np.zeros(len(x), bool)
-    runs = still_runs(x)
-    if not runs:
+    if len(x) < 2 * MIN_RUN:
         return out
-    inside = np.zeros(len(x), bool)
-    for a, b in runs:
-        inside[a:b] = True
-    for a, b in runs:
-        rest = np.delete(x, np.s_[a:b])
-        n = len(rest)
-        if n < MIN_RUN:
+    e = innovations(x)
+    own = own_deviation(sizes_of(e))
+    size = np.abs(e[1:])
+    found: list[tuple[int, int]] = []
+    for part in VANISH:
+        still = size <= REACH * part * own
+        edge = np.diff(np.concatenate([[0], still.astype(np.int8), [0]]))
+        a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+        long = b - a >= MIN_RUN
+        if not long.any():
             continue
-        mid = np.median(x[a:b])
-        if (np.abs(rest - mid) <= max(STILL_ABS, STILL_REL * mid) * 2).mean() >= CONSTANT:
-            continue  # the source itself is constant
-        # chance that two readings of the rest are as near, drawn at random or one after the other
-        s = np.sort(rest)
-        tol = np.maximum(STILL_ABS, STILL_REL * s)
-        pairs = (np.searchsorted(s, s + tol, "right") - np.searchsorted(s, s - tol, "left")).sum() - n
-        p = max((pairs + 1) / (n * (n - 1) + 1), 1 / (n + 1))
-        free = ~(inside[1:] | inside[:-1])
-        near = np.abs(np.diff(x)) <= np.maximum(STILL_ABS, STILL_REL * x[:-1])
-        if free.any():
-            p = max(p, (near & free).sum() / free.sum())
-        if p < 1 and np.log(len(x)) + (b - a - 1) * np.log(p) < np.log(RUN_CHANCE):
-            out[a:b] = True
+        runs = []
+        for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True):
+            runs.append((i, j - i, float((size[i : j - 1] ** 2).sum()), *np.unique(x[i:j], return_counts=True)))
+        near = Near(*np.unique(x, return_counts=True), REACH * part * own)
+        hits = vanished(near, runs, len(x), int(still.sum()), part * own)
+        found = merged(found, [(i, n) for hit, (i, n, *_) in zip(hits, runs, strict=True) if hit])
+    for i, n in found:
+        out[i : i + n] = True
     return out
 
 
+def merged(narrow: list[tuple[int, int]], wide: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stuck runs (start, readings) of a narrower and of a wider bound; each narrow one lies within one chain of the wider.
+
+    A wide run of which narrow ones make up half or more is one of them with neighbours that are near by chance.
+    """
+    if not narrow or not wide:
+        return narrow or wide
+    begins = np.array([j for j, _ in narrow])
+    upto = np.concatenate([[0], np.cumsum([n for _, n in narrow])])
+    a, b = (np.searchsorted(begins, x, "left") for x in ([i for i, _ in wide], [i + m for i, m in wide]))
+    inside = (upto[b] - upto[a]).tolist()
+    kept = [w for w, n in zip(wide, inside, strict=True) if 2 * n < w[1]]
+    at = (np.searchsorted([i for i, _ in kept], begins, "right") - 1).tolist()
+    return sorted(kept + [r for r, k in zip(narrow, at, strict=True) if k < 0 or r[0] >= sum(kept[k])])
+
+
 def median(x: np.ndarray, w: np.ndarray) -> float:
     """The median of values ``x`` that occur ``w`` times each."""
     order = np.argsort(x, kind="stable")
@@ -123,9 +230,9 @@ def median(x: np.ndarray, w: np.ndarray) -> float:
 class Level:
     """Normal behaviour of one kind of work (values ``y`` that occur ``w`` times each): level, noise, and a slow mode if it has one."""
 
-    __slots__ = ("level", "n", "noise", "slow", "slow_noise")
+    __slots__ = ("level", "moves", "n", "noise", "reach", "slow", "slow_noise", "start")
 
-    def __init__(self, y: np.ndarray, step: float, pooled: float, w: np.ndarray) -> None:
+    def __init__(self, y: np.ndarray, step: float, pooled: float, w: np.ndarray, steps: Callable[[], tuple[float, float]]) -> None:
         self.n = int(w.sum())
         self.level = median(y, w)
         dev = np.abs(y - self.level)
@@ -134,11 +241,20 @@ class Level:
             other = dev > 1e-9
             if w[other].sum() > (1 - CONSTANT_KIND) * self.n:
                 own = 1.4826 * median(dev[other], w[other])
-        if pooled >= 0:  # few readings lean on the whole source
+        self.start, self.moves, wide = self.level, False, own
+        if own > MOVES_WIDE and self.n >= 2 * START:
+            scatter, first = steps()
+            self.moves = 0 < scatter < MOVES_PART * own
+            if self.moves:
+                own, self.start = scatter, first
+        if pooled >= 0 and not self.moves:  # few readings lean on the whole source
             lean = min(1.0, self.n / 40)
             own = max(own, 0.6 * pooled) if lean == 1.0 else max(lean * own + (1 - lean) * pooled, 0.6 * pooled)
         self.noise = max(own, step / np.exp(self.level), FLOOR)
         self.slow = self.slow_noise = None
+        self.reach = self.threshold() * self.noise + (3 * wide if self.moves else 0.0)
+        if self.moves:
+            return
         far = y - self.level > 5 * self.noise
         n_far = w[far].sum()
         if n_far >= max(SLOW_COUNT, SLOW_SHARE * self.n):
@@ -151,38 +267,43 @@ class Level:
         """Deviations allowed: more where few readings tell the noise, never more than a factor of e needs."""
         return max(FAR_THRESHOLD, min(THRESHOLD * (1 + 5 / max(self.n, 1)), FAR / self.noise))
 
-    def near(self, y: np.ndarray) -> np.ndarray:
-        """Readings within the range of the level or of the slow mode."""
-        ok = np.abs(y - self.level) <= self.threshold() * self.noise
-        if self.slow is not None:
-            ok |= np.abs(y - self.slow) <= self.threshold() * self.slow_noise
-        return ok
+
+class Band:
+    """A forecast that readings do not move: those up to ``half`` from ``mid`` are expected."""
+
+    __slots__ = ("half", "mid")
+
+    def __init__(self, low: float, high: float) -> None:
+        self.mid, self.half = (low + high) / 2, (high - low) / 2
 
 
 class Filter:
-    """The Kalman filter of one kind of work; its state goes on from call to call."""
+    """The Kalman filter of one kind of work, with a second level and bands where it has them; its state goes on from call to call."""
 
-    def __init__(self, lv: Level) -> None:
-        self.r = lv.noise**2
-        self.q = (DRIFT * lv.noise) ** 2
-        self.limit = lv.threshold() ** 2
-        self.rs = lv.slow_noise**2 if lv.slow is not None else self.r
-        self.state = (lv.level, self.r / max(1, min(lv.n, 50)), lv.slow, self.r)
+    def __init__(self, level: float | None, noise: float, n: int, limit: float, slow: tuple[float, float] | None = None, bands: tuple[Band, ...] = (), moves: bool = False) -> None:
+        self.away: list[float] | None = [] if moves else None  # withheld readings in a row
+        self.r, self.q, self.limit = noise**2, (DRIFT * noise) ** 2, limit**2
+        self.rs = slow[1] ** 2 if slow else self.r
+        self.bands = [(b.mid, b.half**2 * (1 + 1e-12)) for b in bands]
+        self.state = (level, self.r / max(1, min(n, 50)), slow[0] if slow else None, self.r)
 
     def flags(self, y: np.ndarray) -> np.ndarray:
         """Flagged readings in order of time; flagged updates are withheld."""
-        r, q, limit, rs = self.r, self.q, self.limit, self.rs
+        r, q, limit, rs, bands, away = self.r, self.q, self.limit, self.rs, self.bands, self.away
         m, p, slow, ps = self.state
         flags = [False] * len(y)
         for i, v in enumerate(y.tolist()):
-            p += q
-            e = v - m
-            s = p + r
-            if e * e <= limit * s:
-                k = p / s
-                m += k * e
-                p -= k * p
-                continue
+            if m is not None:
+                p += q
+                e = v - m
+                s = p + r
+                if e * e <= limit * s:
+                    k = p / s
+                    m += k * e
+                    p -= k * p
+                    if away:
+                        away.clear()
+                    continue
             if slow is not None:
                 ps += q
                 e = v - slow
@@ -192,7 +313,17 @@ class Filter:
                     slow += k * e
                     ps -= k * ps
                     continue
-            flags[i] = True
+            for mid, half in bands:
+                if (v - mid) ** 2 <= half:
+                    break
+            else:
+                flags[i] = True
+                if away is not None:
+                    away.append(v)
+                    last = away[-SHIFT:]
+                    if len(last) == SHIFT and (max(last) - min(last)) ** 2 <= limit * r:  # a new place
+                        m, p = sorted(last)[SHIFT // 2], r
+                        away.clear()
             if p > r:  # a level not seen for long stays bounded in doubt
                 p = r
         self.state = (m, p, slow, ps)
@@ -212,41 +343,71 @@ def clock_step(x: np.ndarray, w: np.ndarray) -> float:
     return step if (np.abs(often / step - np.round(often / step)) < 0.07).all() else 0.0
 
 
+def by_code(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each code with its places, in order."""
+    order = np.argsort(codes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        if len(at):
+            yield int(codes[at[0]]), at
+
+
 class Normal:
     """What a source normally shows, from its plausible values: ``dur`` of ``kind`` (a code or -1) occurs ``w`` times."""
 
-    def __init__(self, dur: np.ndarray, kind: np.ndarray, w: np.ndarray) -> None:
+    def __init__(self, dur: np.ndarray, kind: np.ndarray, w: np.ndarray, steps: Callable[[int], tuple[float, float]]) -> None:
+        """``steps`` tells of a kind the scatter of its steps and where it starts."""
         self.seen = int(w.sum()) >= MIN_RUN
         self.lone, self.levels, self.few = None, {}, {}
         if not self.seen:
             return
         y, step = np.log(dur), clock_step(dur, w)
-        of = {int(k): kind == k for k in np.unique(kind) if k >= 0}
-        large = {k: at for k, at in of.items() if w[at].sum() >= 8}
+        of = {k: at for k, at in by_code(kind) if k >= 0}
+        large = {k: at for k, at in of.items() if w[at].sum() >= OWN_NOISE}
         if not large:  # no kind has readings enough: the source is one kind
-            self.lone = Level(y, step, -1.0, w)
+            self.lone = Level(y, step, -1.0, w, lambda: (0.0, 0.0))
             return
         resid = [np.abs(y[at] - median(y[at], w[at])) for at in large.values()]
         self.pooled = 1.4826 * median(np.concatenate(resid), np.concatenate([w[at] for at in large.values()]))
-        self.levels = {k: Level(y[at], step, self.pooled, w[at]) for k, at in large.items()}
-        self.low = min(lv.level - lv.threshold() * lv.noise for lv in self.levels.values())
-        self.high = max(lv.level + lv.threshold() * lv.noise for lv in self.levels.values())
+        self.levels = {k: Level(y[at], step, self.pooled, w[at], lambda k=k: steps(k)) for k, at in large.items()}
+        self.low = min(lv.level - lv.reach for lv in self.levels.values())
+        self.high = max(lv.level + lv.reach for lv in self.levels.values())
         self.few = {k: (int(w[at].sum()), median(y[at], w[at])) for k, at in of.items() if k not in large}
 
-    def far_off(self, y: np.ndarray, k: int, held: Filter | None = None) -> np.ndarray:
-        """Which readings of kind ``k``, in order of time, are outside of what it, or failing that the source, shows."""
+    def filter(self, k: int) -> Filter | None:
+        """The filter of kind ``k`` at its start; none for a source with too few readings."""
         if not self.seen:
-            return np.zeros(len(y), bool)
-        if self.lone is not None:
-            return ~self.lone.near(y) & (np.abs(y - self.lone.level) > FAR)
-        if k in self.levels:
-            return (held or Filter(self.levels[k])).flags(y)
+            return None
+        lv = self.lone or self.levels.get(k)
+        if lv is not None:
+            slow = (lv.slow, lv.slow_noise) if lv.slow is not None else None
+            bands = (Band(lv.level - FAR, lv.level + FAR),) if self.lone else ()
+            return Filter(lv.start, lv.noise, 1 if lv.moves else lv.n, lv.threshold(), slow, bands, lv.moves)
         if k in self.few:
             n, mid = self.few[k]
-            off = np.abs(y - mid) if n >= 3 else np.full(len(y), np.inf)
-            wide = 0.0 if n >= 3 else WIDE  # kinds of one source differ by so much
-            return ((y < self.low - wide) | (y > self.high + wide)) & (off > max(FAR, THRESHOLD * self.pooled))
-        return ~((y >= self.low) & (y <= self.high) | np.any([lv.near(y) for lv in self.levels.values()], axis=0))
+            if n >= 3:
+                return Filter(mid, max(self.pooled, FAR / THRESHOLD), n, THRESHOLD, None, (Band(self.low, self.high),))
+            return Filter(None, self.pooled, n, THRESHOLD, None, (Band(self.low - WIDE, self.high + WIDE),))  # kinds of one source differ by so much
+        slow = [Band(lv.slow - lv.threshold() * lv.slow_noise, lv.slow + lv.threshold() * lv.slow_noise) for lv in self.levels.values() if lv.slow is not None]
+        return Filter(None, self.pooled, 1, THRESHOLD, None, (Band(self.low, self.high), *slow))
+
+
+class Steps:
+    """Of one kind: the sizes of its steps from reading to reading, and its first readings."""
+
+    __slots__ = ("first", "last", "sizes")
+
+    def __init__(self) -> None:
+        self.sizes, self.first, self.last = np.zeros(_BINS, np.int64), [], np.nan
+
+    def add(self, y: np.ndarray) -> None:
+        if len(y):
+            self.sizes += sizes_of(np.diff(y, prepend=self.last))
+            self.first += y[: START - len(self.first)].tolist()
+            self.last = float(y[-1])
+
+    def told(self) -> tuple[float, float]:
+        """Scatter about a level that hardly moves from reading to reading, and the level of the first readings."""
+        return own_deviation(self.sizes) / np.sqrt(2), float(np.median(self.first)) if self.first else 0.0
 
 
 IMPOSSIBLE, STUCK, FAR_OFF = 1, 2, 3
@@ -261,35 +422,81 @@ def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
     held = np.zeros(len(dur), bool)
     held[run] = stuck(dur[run])
     why[bad], why[held] = IMPOSSIBLE, STUCK
-    use = ~bad & ~held
-    normal = Normal(dur[use], kind[use], np.ones(use.sum(), np.int64))
-    for k in np.unique(kind[use]):
-        at = np.flatnonzero(use & (kind == k))
-        why[at[normal.far_off(np.log(dur[at]), int(k))]] = FAR_OFF
+    use = np.flatnonzero(~bad & ~held)
+
+    def steps(k: int) -> tuple[float, float]:
+        x, found = dur[run], Steps()
+        found.add(np.log(x[(kind[run] == k) & ~quiet(innovations(x))]))
+        return found.told()
+
+    normal = Normal(dur[use], kind[use], np.ones(len(use), np.int64), steps)
+    if normal.seen:
+        for k, at in by_code(kind[use]):
+            why[use[at[normal.filter(k).flags(np.log(dur[use[at]]))]]] = FAR_OFF
     return why
 
 
 class Run:
-    """A chain of neighbouring readings that hold still: its ends and its values."""
+    """A chain of neighbouring readings with hardly an innovation: its ends, its values, and the sum of their squares."""
+
+    __slots__ = ("first", "last", "n", "squares", "start", "tally")
+
+    def __init__(self, start: int, first: tuple) -> None:
+        self.start, self.first, self.last, self.n, self.squares, self.tally = start, first, first, 0, 0.0, Counter()
 
-    __slots__ = ("first", "last", "n", "tally")
 
-    def __init__(self, first: tuple) -> None:
-        self.first, self.last, self.n, self.tally = first, first, 0, Counter()
+class Still:
+    """The still runs of a streamed source at one bound."""
+
+    def __init__(self, bound: float) -> None:
+        self.bound, self.near, self.at = bound, 0, 0
+        self.runs: list[Run] = []
+        self.open: Run | None = None
+
+    def add(self, e: np.ndarray, pairs: list[tuple], ends: list[tuple]) -> None:
+        with np.errstate(invalid="ignore"):
+            still = np.abs(e) <= self.bound
+        self.near += int(still.sum())
+        squares = np.concatenate([[0.0], np.cumsum(np.where(still, e * e, 0.0))])
+
+        def grow(a: int, b: int) -> None:
+            run = self.open
+            run.n += b - a
+            run.squares += squares[b] - squares[a + (run.n == b - a)]  # the first of a run has no innovation in it
+            run.last = ends[b - 1]
+            run.tally.update(pairs[a:b])
+
+        heads = np.flatnonzero(~still)
+        until = int(heads[0]) if len(heads) else len(e)
+        if until:
+            grow(0, until)
+        if len(heads):
+            self.close()
+            tails = np.append(heads[1:], len(e))
+            wanted = (tails - heads >= MIN_RUN) | (tails == len(e))
+            for a, b in zip(heads[wanted].tolist(), tails[wanted].tolist(), strict=True):
+                self.open = Run(self.at + a, ends[a])
+                grow(a, b)
+                if b < len(e):
+                    self.close()
+        self.at += len(e)
+
+    def close(self) -> None:
+        if self.open is not None and self.open.n >= MIN_RUN:
+            self.runs.append(self.open)
+        self.open = None
 
 
 class Summary:
     """A source streamed in order of time, untimed readings last: counts of its values and its still runs."""
 
-    def __init__(self) -> None:
+    def __init__(self, own: float) -> None:
+        self.own = own
         self.timed: Counter = Counter()  # (kind, value) -> readings
         self.untimed: Counter = Counter()
-        self.runs: list[Run] = []
-        self.open: Run | None = None
-        self.prev = None
-        self.near = self.near_inside = self.touched = 0
-        self.at = 0  # timed readings so far
-        self.end = -1  # where the last long run ended
+        self.still = [Still(REACH * part * own) for part in VANISH]
+        self.prev = np.nan
+        self.steps: dict[str, Steps] = {}
 
     def add(self, dur: np.ndarray, kind: list, time: np.ndarray, items: list, timed: np.ndarray) -> None:
         ok = ~impossible(dur)
@@ -300,74 +507,49 @@ class Summary:
         x = dur[rows]
         pairs = [(kind[i], v) for i, v in zip(rows.tolist(), x.tolist(), strict=True)]
         self.timed.update(pairs)
-        before = np.concatenate([[np.nan if self.prev is None else self.prev], x[:-1]])
-        still = np.abs(x - before) <= np.maximum(STILL_ABS, STILL_REL * before)
-        self.near += int(still.sum())
-        starts = np.flatnonzero(~still).tolist()
-        if not starts or starts[0] > 0:
-            starts.insert(0, 0)
-        for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
-            if not still[a]:
-                self._close()
-                self.open = Run((time[rows[a]], items[rows[a]]))
-            run = self.open
-            run.n += b - a
-            run.last = (time[rows[b - 1]], items[rows[b - 1]])
-            if run.n >= MIN_RUN or b == len(x) or a == 0:
-                run.tally.update(pairs[a:b])
+        e = innovations(x, self.prev)
+        ends = [(time[i], items[i]) for i in rows.tolist()]
+        for s in self.still:
+            s.add(e, pairs, ends)
         self.prev = float(x[-1])
-
-    def _close(self) -> None:
-        run = self.open
-        if run is None:
-            return
-        start, self.at = self.at, self.at + run.n
-        if run.n >= MIN_RUN:
-            self.runs.append(run)
-            self.near_inside += run.n - 1
-            # its own pairs, the one to the left unless a run ended there, and the one to the right
-            self.touched += run.n - 1 + (start > 0 and self.end != start) + 1
-            self.end = self.at
+        own_steps: dict[str, list[float]] = {}
+        for i in np.flatnonzero(~quiet(e, self.own)).tolist():
+            own_steps.setdefault(pairs[i][0], []).append(pairs[i][1])
+        for k, v in own_steps.items():
+            self.steps.setdefault(k, Steps()).add(np.log(np.array(v)))
 
     def judged(self) -> tuple[list[Run], dict, Normal]:
         """The stuck runs, codes of the kinds, and the normal behaviour of the rest."""
-        self._close()
-        n_all = self.at
-        free = n_all - 1 - (self.touched - (self.end == n_all))
         tally: Counter = Counter()
         for (_, v), c in self.timed.items():
             tally[v] += c
         values = np.array(sorted(tally), float)
         counts = np.array([tally[v] for v in values.tolist()], np.int64)
-        tol = np.maximum(STILL_ABS, STILL_REL * values)
-        right, left = np.searchsorted(values, values + tol, "right"), np.searchsorted(values, values - tol, "left")
         use = self.timed + self.untimed
-        stuck_runs = []
-        for run in self.runs:
-            n = n_all - run.n
-            if n < MIN_RUN:
+        stuck_runs: list[Run] = []
+        for part, s in zip(VANISH, self.still, strict=True):
+            s.close()
+            if not s.runs or s.at < 2 * MIN_RUN:
                 continue
-            own: Counter = Counter()
-            for (_, v), c in run.tally.items():
-                own[v] += c
-            mid = median(np.array(list(own), float), np.array(list(own.values()), np.int64))
-            rest = counts.copy()
-            rest[np.searchsorted(values, np.array(list(own), float))] -= np.array(list(own.values()), np.int64)
-            if rest[np.abs(values - mid) <= max(STILL_ABS, STILL_REL * mid) * 2].sum() / n >= CONSTANT:
-                continue  # the source itself is constant
-            upto = np.concatenate([[0], np.cumsum(rest)])
-            pairs = int((rest * (upto[right] - upto[left])).sum()) - n
-            p = max((pairs + 1) / (n * (n - 1) + 1), 1 / (n + 1))
-            if free > 0:
-                p = max(p, (self.near - self.near_inside) / free)
-            if p < 1 and np.log(n_all) + (run.n - 1) * np.log(p) < np.log(RUN_CHANCE):
-                stuck_runs.append(run)
-                use.subtract(run.tally)
+            runs = []
+            for run in s.runs:
+                own: Counter = Counter()
+                for (_, v), c in run.tally.items():
+                    own[v] += c
+                mine = np.array(sorted(own), float)
+                runs.append((run.start, run.n, run.squares, mine, np.array([own[v] for v in mine.tolist()], np.int64)))
+            hits = vanished(Near(values, counts, s.bound), runs, s.at, s.near, part * self.own)
+            places = merged([(r.start, r.n) for r in stuck_runs], [(r.start, r.n) for r, hit in zip(s.runs, hits, strict=True) if hit])
+            by_place = {(r.start, r.n): r for r in (*s.runs, *stuck_runs)}
+            stuck_runs = [by_place[x] for x in places]
+        for run in stuck_runs:
+            use.subtract(run.tally)
         kinds = sorted({k for k, _ in use if k is not None})
         codes = {None: -1} | {k: i for i, k in enumerate(kinds)}
         left_over = [(codes[k], v, c) for (k, v), c in use.items() if c > 0]
         code, dur, w = (np.array([r[i] for r in left_over], t) for i, t in enumerate((int, float, np.int64)))
-        return stuck_runs, codes, Normal(dur, code, w)
+        told = {codes[k]: v for k, v in self.steps.items() if k in codes}
+        return stuck_runs, codes, Normal(dur, code, w, lambda k: told[k].told() if k in told else (0.0, 0.0))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, tuple, pa.RecordBatch]]:
@@ -401,6 +583,8 @@ def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
     rows = cut(rows)
     plan_schema = T.StructType([*[rows.schema[o] for o in own], T.StructField("kind", T.StringType()), T.StructField("plan", T.BinaryType())])
     plan_arrow, arrow = to_arrow_schema(plan_schema), to_arrow_schema(out)
+    spread_schema = T.StructType([*[rows.schema[o] for o in own], T.StructField("own", T.DoubleType())])
+    spread_arrow = to_arrow_schema(spread_schema)
     ordered = [F.col("time").asc_nulls_last(), F.col("item")]
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
@@ -408,6 +592,25 @@ def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
         time[np.isnan(time)] = np.inf
         return batch["value"].to_numpy(zero_copy_only=False), time, batch["item"].to_pylist(), batch["time"].is_valid().to_numpy(zero_copy_only=False)
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sizes, prev = None, None, np.nan
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(own, key, strict=True)) | {"own": own_deviation(sizes)}], schema=spread_arrow)
+
+        for fresh, new, piece in _pieces(batches, own):
+            if fresh:
+                if sizes is not None:
+                    yield done()
+                key, sizes, prev = new, np.zeros(_BINS, np.int64), np.nan
+            dur, _, _, timed = columns(piece)
+            x = dur[timed & ~impossible(dur)]
+            if len(x):
+                sizes += sizes_of(innovations(x, prev))
+                prev = float(x[-1])
+        if sizes is not None:
+            yield done()
+
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(key: tuple, seen: Summary) -> pa.RecordBatch:
             runs, codes, normal = seen.judged()
@@ -420,20 +623,20 @@ def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
             if fresh:
                 if seen is not None:
                     yield done(key, seen)
-                key, seen = new, Summary()
+                key, seen = new, Summary(piece["own"][0].as_py())
             dur, time, items, timed = columns(piece)
             seen.add(dur, piece["kind"].to_pylist(), time, items, timed)
         if seen is not None:
             yield done(key, seen)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ends, normal, held = -1, [], None, None
+        ends, normal, held = [], None, None
         for fresh, _, piece in _pieces(batches, [*own, "kind"]):
             if fresh:
                 normal = None
                 if piece["plan"][0].is_valid:
                     code, ends, normal = pickle.loads(piece["plan"][0].as_py())
-                    held = Filter(normal.levels[code]) if code in normal.levels else None
+                    held = normal.filter(code)
                     piece = piece.slice(1)
             dur, time, items, timed = columns(piece)
             bad = impossible(dur)
@@ -443,12 +646,15 @@ def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
             stuck_here[n:] = False
             why = np.where(bad, IMPOSSIBLE, np.where(stuck_here, STUCK, 0))
             at = np.flatnonzero(why == 0)
-            if normal:
-                why[at[normal.far_off(np.log(dur[at]), code, held)]] = FAR_OFF
+            if held is not None and normal is not None:
+                why[at[held.flags(np.log(dur[at]))]] = FAR_OFF
             hit = np.flatnonzero(why)
             yield pa.RecordBatch.from_arrays([piece["item"].take(pa.array(hit)), pa.array([REASONS[w] for w in why[hit].tolist()], pa.string())], schema=arrow)
 
-    plans = rows.select(*own, "item", "time", "value", "kind").repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(plan, plan_schema)
+    bare = rows.select(*own, "item", "time", "value", "kind")
+    spreads = cut(bare.repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(spread, spread_schema))
+    known = bare.join(broadcast_if_small(spreads, spreads.count()), own)
+    plans = known.repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(plan, plan_schema)
     none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("item", "time", "value")]
     both = rows.unionByName(plans.select(*own, *none, "kind", "plan"))
     keys = [*own, "kind"]
