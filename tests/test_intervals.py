@@ -59,3 +59,30 @@ def test_cells_and_super_cells(spark):
         want += [(e, "busy", *x) for x in runs] + [(e, "gap", a[1], b[0]) for a, b in zip(runs, runs[1:], strict=False)]
     for bits, sup in ((4, 2), (7, 1), (33, 12)):
         assert _run(spark, rows, cell_bits=bits, super_bits=sup) == sorted(want)
+
+
+def test_long_intervals_make_few_pieces(spark):
+    rows = [("a", 0, 1 << 60, None, None), ("a", (1 << 60) + 5, (1 << 60) + 9, None, None), ("a", 77, 99, None, None), ("a", 1 << 50, (1 << 50) + 3, None, None),
+            ("b", -(1 << 45), 1 << 45, None, None), ("b", (1 << 45) + (1 << 40), (1 << 45) + (1 << 41), None, None), ("b", 5, 6, None, None),
+            (None, -(1 << 62), -(1 << 61), None, None), (None, -(1 << 61), 3, None, None), ("c", -(1 << 63), (1 << 63) - 1, None, None), ("c", 1, 2, None, None)]
+    t = 1 << 45
+    assert _run(spark, rows) == [
+        ("", "busy", -(1 << 62), 3), ("a", "busy", 0, 1 << 60), ("a", "busy", (1 << 60) + 5, (1 << 60) + 9), ("a", "gap", 1 << 60, (1 << 60) + 5),
+        ("b", "busy", -t, t), ("b", "busy", t + (1 << 40), t + (1 << 41)), ("b", "gap", t, t + (1 << 40)), ("c", "busy", -(1 << 63), (1 << 63) - 1),
+    ]
+
+
+def test_levels_of_blocks(spark):
+    """Intervals of all lengths, against the plain merge, with small cells."""
+    r = random.Random(8)
+    rows = []
+    for e in "abcdef":
+        for _ in range(60):
+            s = r.randrange(-4000, 4000)
+            rows.append((e, s, s + 1 + r.randrange(r.choice([2, 9, 60, 300 if e > "c" else 5])), None, None))
+    want = []
+    for e in "abcdef":
+        runs = _plain([(s, t) for k, s, t, *_ in rows if k == e])
+        want += [(e, "busy", *x) for x in runs] + [(e, "gap", a[1], b[0]) for a, b in zip(runs, runs[1:], strict=False)]
+    for bits, sup in ((2, 1), (3, 2), (5, 3)):
+        assert _run(spark, rows, cell_bits=bits, super_bits=sup) == sorted(want)

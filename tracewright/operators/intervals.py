@@ -8,6 +8,11 @@ ancestor are removed, sibling pairs are merged upward, and adjacent blocks are
 coalesced into runs.  The same kernel runs twice: over each incoming batch,
 as a combiner before the shuffle, and over whole cells after it.
 
+Of a long interval only the two ragged ends go to cells.  The cells between are blocks of a coarser level: they are handled
+the same way in units of cells within *super-cells* (``2**super_bits`` cells), again with two ragged ends, and
+the super-cells between in units of super-cells.  So an interval makes five pieces at most, however long it is.  Cells
+and super-cells that a coarser block covers are removed.
+
 Runs inside a cell are final.  Only the first and last run of a cell can
 touch another cell; these edges are stitched in two further steps, within
 super-cells and then per entity, so no step holds more than a bounded number
@@ -27,12 +32,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracewright.plans.durable import cut
+from tracewright.plans.durable import cut, observed
 
 #: log2 of the cell length; with nanoseconds about 8.6 s.
 CELL_BITS = 33
@@ -232,6 +237,58 @@ def _stitch(edges: DataFrame, part: list[str], final: bool) -> DataFrame:
     )
 
 
+def _ends(x: DataFrame, own: list[str], a: str, b: str, bits: int) -> DataFrame:
+    """(own..., __cell, __start, __end): the parts of intervals in their first and their last cell."""
+    x = x.withColumn("__cell", F.explode(F.array_distinct(F.array("__first", "__last"))))
+    return x.select(
+        *own, "__cell",
+        F.greatest(F.col(a), F.shiftleft("__cell", bits)).alias("__start"),
+        # the last cell of all ends where whole numbers do
+        F.when(F.col("__cell") == F.col("__last"), F.col(b)).otherwise(F.shiftleft(F.col("__cell") + 1, bits)).alias("__end"),
+    )
+
+
+def _in_cells(pieces: DataFrame, own: list[str], bits: int) -> DataFrame:
+    """Runs and gaps of each cell, the first and the last run as edges."""
+    piece = to_arrow_schema(pieces.schema)
+    x = pieces.mapInArrow(_combiner(own, bits, piece), pieces.schema)
+    x = x.repartition(*own, "__cell").sortWithinPartitions(*own, "__cell", "__start")
+    out = T.StructType(
+        [*x.schema.fields[: len(own) + 1], T.StructField("kind", T.StringType()), T.StructField("__start", T.LongType()),
+         T.StructField("__end", T.LongType()), T.StructField("__hole", T.BooleanType())]
+    )
+    return x.mapInArrow(_by_cell(own, bits, to_arrow_schema(out)), out)
+
+
+def _islands(x: DataFrame, part: list[str]) -> DataFrame:
+    """Blocks [__start, __end) of whole units within ``part``, overlapping and touching ones joined."""
+    w = Window.partitionBy(*part).orderBy("__start")
+    x = x.groupBy(*part, "__start").agg(F.max("__end").alias("__end"))
+    reach = F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("__k", F.coalesce((F.col("__start") > reach).cast("long"), F.lit(1)))
+    x = x.withColumn("__k", F.sum("__k").over(w))
+    return x.groupBy(*part, "__k").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end")).drop("__k")
+
+
+def _covered(units: DataFrame, unit: str, blocks: DataFrame, part: list[str]) -> DataFrame:
+    """The distinct units that lie in a block of their ``part``."""
+    points = units.distinct().select(*part, F.col(unit).alias("__at"), F.lit(None).cast("long").alias("__to"))
+    both = points.unionByName(blocks.select(*part, F.col("__start").alias("__at"), F.col("__end").alias("__to")))
+    w = Window.partitionBy(*part).orderBy("__at", F.col("__to").isNull())  # blocks before units
+    reached = both.withColumn("__reach", F.max("__to").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return reached.where(F.col("__to").isNull() & (F.col("__reach") > F.col("__at"))).select(*part, F.col("__at").alias(unit))
+
+
+def _without(x: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    other = gone.select(*[F.col(k).alias(f"{k}_") for k in keys])
+    return x.join(other, reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]), "left_anti")
+
+
+def _block_edges(blocks: DataFrame, bits: int) -> DataFrame:
+    """Blocks as runs in units of the input."""
+    return blocks.withColumns({"__start": F.shiftleft("__start", bits), "__end": F.shiftleft("__end", bits), "kind": F.lit("edge"), "__hole": F.lit(False)})
+
+
 def merge_intervals(
     df: DataFrame, keys: list[str], start: str, end: str, *, cell_bits: int = CELL_BITS, super_bits: int = SUPER_BITS
 ) -> DataFrame:
@@ -242,25 +299,35 @@ def merge_intervals(
         F.col("__a").isNotNull() & F.col("__b").isNotNull() & (F.col("__a") < F.col("__b"))
     )
     first, last = F.shiftright("__a", cell_bits), F.shiftright(F.col("__b") - 1, cell_bits)
-    x = x.withColumn("__cell", F.explode(F.sequence(first, last)))
-    x = x.select(
-        *own, "__cell",
-        F.greatest("__a", F.shiftleft("__cell", cell_bits)).alias("__start"),
-        F.least("__b", F.shiftleft(F.col("__cell") + 1, cell_bits)).alias("__end"),
-    )
-    piece = to_arrow_schema(x.schema)
-    x = x.mapInArrow(_combiner(own, cell_bits, piece), x.schema)
-    x = x.repartition(*own, "__cell").sortWithinPartitions(*own, "__cell", "__start")
-    out = T.StructType(
-        [*x.schema.fields[: len(own) + 1], T.StructField("kind", T.StringType()), T.StructField("__start", T.LongType()),
-         T.StructField("__end", T.LongType()), T.StructField("__hole", T.BooleanType())]
-    )
-    cells = cut(x.mapInArrow(_by_cell(own, cell_bits, to_arrow_schema(out)), out))
+    x = x.withColumns({"__first": first, "__last": last})
+    seen = Observation()
+    long = F.col("__last") - F.col("__first") > 1
+    pieces = _ends(x.observe(seen, F.max(long).alias("long")), own, "__a", "__b", cell_bits)
+    cells = cut(_in_cells(pieces, own, cell_bits))
     is_edge = F.col("kind") == "edge"
-    edges = cells.where(is_edge).withColumn("__super", F.shiftright("__cell", super_bits))
+    upper = top = None
+    if observed(seen).get("long"):
+        inner = x.where(long).select(*own, (F.col("__first") + 1).alias("__a"), F.col("__last").alias("__b"))
+        inner = cut(inner.groupBy(*own, "__a").agg(F.max("__b").alias("__b")))
+        inner = inner.withColumns({"__first": F.shiftright("__a", super_bits), "__last": F.shiftright(F.col("__b") - 1, super_bits)})
+        runs = _in_cells(_ends(inner, own, "__a", "__b", super_bits), own, super_bits).where("kind <> 'gap'")
+        upper = cut(runs.select(*own, F.col("__cell").alias("__super"), "__start", "__end"))
+        whole = inner.where(F.col("__last") - F.col("__first") > 1).select(*own, (F.col("__first") + 1).alias("__start"), F.col("__last").alias("__end"))
+        top = cut(_islands(whole, own))
+        supers = cells.select(*own, F.shiftright("__cell", super_bits).alias("__super")).unionByName(upper.select(*own, "__super"))
+        under = cut(_covered(supers, "__super", top, own))
+        upper = _without(upper, under, [*own, "__super"])
+        cells = _without(cells.withColumn("__super", F.shiftright("__cell", super_bits)), under, [*own, "__super"])
+        hidden = _covered(cells.select(*own, "__super", "__cell"), "__cell", upper, [*own, "__super"])
+        cells = cut(_without(cells, cut(hidden), [*own, "__super", "__cell"]).drop("__super"))
+    edges = cells.where(is_edge).withColumn("__super", F.shiftright("__cell", super_bits)).drop("__cell")
+    if upper is not None:
+        edges = edges.unionByName(_block_edges(upper, cell_bits))
     mid = _stitch(edges, [*own, "__super"], final=False)
-    top = _stitch(mid.where(is_edge), own, final=True)
-    parts = [cells.where(~is_edge), mid.where(~is_edge), top]
+    last_edges = mid.where(is_edge).drop("__super")
+    if top is not None:
+        last_edges = last_edges.unionByName(_block_edges(top, cell_bits + super_bits))
+    parts = [cells.where(~is_edge), mid.where(~is_edge), _stitch(last_edges, own, final=True)]
     cols = [*own, "kind", "__start", "__end"]
     merged = reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
     return merged.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "kind", F.col("__start").alias(start), F.col("__end").alias(end))

@@ -212,7 +212,7 @@ def simulate_configs(configs: DataFrame, max_shape_nodes: int = MAX_SHAPE_NODES)
     return rows.mapInArrow(run, schema)
 
 
-def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_000) -> DataFrame:
+def simulate_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The same trace by relational waves: one bounded-lineage step per hop of the longest path.
 
     A wave holds the nodes whose last predecessor was in the wave before; within it they are taken by the rank of that
@@ -232,7 +232,7 @@ def simulate_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 1_000_00
     state = cut(need.join(facts, key).select(*key, "stage_id", "dur", "need", zero.alias("ready")))
     clocks = None
     waves = [wave]
-    while n and len(waves) < max_waves:
+    while n:  # at most one wave per node of the longest path
         now = wave.groupBy(*lane).agg(F.max_by("end", "rank").alias("new"))
         if clocks is not None:
             now = clocks.join(now, lane, "full").select(*lane, F.coalesce("new", "clock").alias("clock"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +65,19 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def observed(seen: Observation) -> dict:
+    """What was observed; nothing where the plan was found to be empty before it ran."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """:func:`cut`, with the number of rows counted while they are written."""
     seen = Observation()
     out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+    return out, observed(seen).get("n", 0)
 
 
 def discard(df: DataFrame) -> None:
