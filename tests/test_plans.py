@@ -17,6 +17,15 @@ def test_once(spark, monkeypatch):
     assert once.once(df.limit(0), "k").count() == 0
 
 
+def test_marked_repeats(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "k long, x string")
+    want = [("a", "1"), ("a", "1"), ("b", None), ("c", None), ("c", None)]
+    got = lambda: sorted(((r["x"], r["m"]) for r in once.marked_repeats(df, "k", "m").collect()), key=str)
+    assert got() == want and once.marked_repeats(df.where("k = 2"), "k", "m").first()["m"] is None
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 1)
+    assert got() == want
+
+
 def test_cut_reads_what_it_wrote(spark):
     df = spark.range(10).selectExpr("id", "CAST(NULL AS STRING) AS x")
     back = durable.cut(df)
