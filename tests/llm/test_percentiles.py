@@ -56,6 +56,8 @@ def test_days_roll_up(spark):
     rows = [(r.choice("ab"), r.lognormvariate(3, 1), i, i % 5, 0) for i in range(600)]
     by_day = P.summarize(_frame(spark, rows), ["v", "q"], "x", "id")
     assert _got(P.roll_up(by_day, ["q"])) == _got(P.roll_up(by_day.compact(), ["q"])) == _brute(rows)
+    again = P.summarize(_frame(spark, rows + rows[:90]), ["v", "q"], "x", "id")
+    assert _got(P.roll_up(again, ["q"])) == _got(P.roll_up(again.compact(), ["q"])) == _brute(rows)
 
 
 def test_smallest_and_largest_values(spark):

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewright.plans.durable import broadcast_if_small, cut, discard
 from tracewright.plans.names import carried
-from tracewright.plans.once import once
+from tracewright.plans.once import marked_repeats
 
 #: Bisection steps fused into one counting pass over a hot group.
 BITS = 8
@@ -45,7 +46,10 @@ HEAVY_ROWS = 50_000
 
 @dataclass(frozen=True)
 class Summary:
-    """Counts per group and value: a frame (k0, k1, ..., v, n), in which a value may have several rows, and the names of its group keys."""
+    """Counts per group and value, and the names of the group keys.
+
+    The frame is (k0, k1, ..., v, n, again): a value may have several rows; of rows of a group with an equal ``again`` only one counts.
+    """
 
     frame: DataFrame
     keys: list[str]
@@ -56,19 +60,25 @@ class Summary:
 
     def compact(self) -> Summary:
         """One row per group and value, to be kept."""
-        return Summary(self.frame.groupBy(*self.own, "v").agg(F.sum("n").alias("n")), self.keys)
+        own = [*self.own, "v"]
+        told = self.frame.groupBy(*own, "again").agg(F.sum("n").alias("n"), F.min("n").alias("one"))
+        counted = told.withColumn("n", F.when(F.col("again").isNull(), F.col("n")).otherwise(F.col("one")))
+        return Summary(counted.groupBy(*own).agg(F.sum("n").alias("n")).withColumn("again", F.lit(None).cast("string")), self.keys)
+
 
+def summarize(df: DataFrame, keys: list[str], value: str, item: str | None = None, again: str | None = None) -> Summary:
+    """How often each value occurs in each group.  Mergeable with :func:`combine`.
 
-def summarize(df: DataFrame, keys: list[str], value: str, item: str | None = None) -> Summary:
-    """How often each value occurs in each group.  Mergeable with :func:`combine`; repeats are found by ``item`` alone."""
+    With ``item``, repeated rows of one item, which must be equal, count once; a caller who has marked repeats by :func:`marked_repeats`
+    names the mark as ``again`` instead.
+    """
     own = [f"k{i}" for i in range(len(keys))]
     named = [F.col(k).alias(o) for k, o in zip(keys, own, strict=True)]
-    rows = df.select(*named, F.col(value).cast("double").alias("v"), *([F.col(item).alias("item")] if item else [])).where(
-        F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf"))
-    )
+    more = [F.col(item).alias("item")] if item else [F.col(again).alias("again") if again else F.lit(None).cast("string").alias("again")]
+    rows = df.select(*named, F.col(value).cast("double").alias("v"), *more).where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
     if item:
-        rows = once(rows, "item")
-    return Summary(rows.select(*own, "v", F.lit(1).cast("long").alias("n")), list(keys))
+        rows = marked_repeats(rows, "item", "again")
+    return Summary(rows.select(*own, "v", F.lit(1).cast("long").alias("n"), "again"), list(keys))
 
 
 def combine(*summaries: Summary) -> Summary:
@@ -79,7 +89,7 @@ def combine(*summaries: Summary) -> Summary:
 def roll_up(summary: Summary, keys: list[str]) -> Summary:
     """The summary by fewer keys: days, slices or whatever else is left out are combined."""
     kept = [F.col(o).alias(f"k{keys.index(k)}") for k, o in zip(summary.keys, summary.own, strict=True) if k in keys]
-    return Summary(summary.frame.select(*kept, "v", "n"), list(keys))
+    return Summary(summary.frame.select(*kept, "v", "n", "again"), list(keys))
 
 
 def ranks_of(q: float, n: np.ndarray) -> np.ndarray:
@@ -134,6 +144,11 @@ def _of_groups(rows: DataFrame, own: list[str], qs: list[float], at_least: int)
 
     def settle(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         v, n = table["v"].to_numpy(), table["n"].to_numpy()
+        if table["again"].null_count < len(v):
+            at = np.flatnonzero(table["again"].is_valid().to_numpy())
+            marks = pd.DataFrame({"g": np.searchsorted(starts, at, "right"), "again": table["again"].take(pa.array(at)).to_pandas()})
+            n = n.copy()
+            n[at[marks.duplicated().to_numpy()]] = 0
         sizes = np.add.reduceat(n, starts)
         wanted = sizes >= at_least
         group = np.repeat(np.cumsum(wanted) - 1, np.diff(np.append(starts, len(v))))
@@ -187,7 +202,7 @@ def _pick(cells: DataFrame, group: list[str], cell: str) -> DataFrame:
 
 def _of_hot_groups(rows: DataFrame, own: list[str], qs: list[float]) -> DataFrame:
     """The same for groups of any size, by counting passes over the cluster."""
-    rows = cut(rows.groupBy(*own, "v").agg(F.sum("n").alias("n")))
+    rows = cut(Summary(rows, own).compact().frame.drop("again"))
     cells = rows.withColumn("cell", _log_cell(F.col("v"))).groupBy(*own, "cell").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     upto = Window.partitionBy(*own).orderBy("cell")
     state = cut(

@@ -12,6 +12,7 @@ from tracewright.llm.spans import shared_share, shared_spans
 from tracewright.llm.tokens import decode_column, encode_column
 from tracewright.llm.topn import top_n_per_group
 from tracewright.plans.durable import cut, load
+from tracewright.plans.once import marked_repeats
 from tracewright.queries.repair import READINGS_SQL
 
 LANE_OP = ["trace_id", "tid", "op"]
@@ -31,9 +32,14 @@ SELECT trace_id, tid, op, CAST(place AS INT) AS place, event_id FROM (
 """
 
 
+def _readings(spark: SparkSession, sf_dir: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Valid readings with an op; ``again`` marks redelivered ones."""
+    events = marked_repeats(load(spark, sf_dir, "trace_events"), "event_id", "again")
+    return valid_readings(events, ["again", *more]).where(F.col("op").isNotNull())
+
+
 def _p5(spark: SparkSession, sf_dir: str, qs: list[float], at_least: int = 1) -> DataFrame:
-    readings = valid_readings(load(spark, sf_dir, "trace_events")).where(F.col("op").isNotNull())
-    return percentiles(summarize(readings, LANE_OP, "dur", "event_id"), qs, at_least)
+    return percentiles(summarize(_readings(spark, sf_dir), LANE_OP, "dur", again="again"), qs, at_least)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +60,8 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from kept summaries of separate days, combined."""
-    events = valid_readings(load(spark, sf_dir, "trace_events"), ["captured_at"]).where(F.col("op").isNotNull())
-    days = events.withColumn("day", F.to_date("captured_at"))
-    by_day = summarize(days, [*LANE_OP, "day"], "dur", "event_id").compact()
+    days = _readings(spark, sf_dir, ("captured_at",)).withColumn("day", F.to_date("captured_at"))
+    by_day = summarize(days, [*LANE_OP, "day"], "dur", again="again").compact()
     return percentiles(roll_up(by_day, LANE_OP), [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
 
 
