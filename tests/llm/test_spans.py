@@ -86,7 +86,8 @@ def test_extensions_cover_all_windows_by_their_offset_alone():
             for p, lo, hi in ((100, 100 - (min_len - length), 100), (100, 95, 97), (100, 100, 100)):
                 lo = max(lo, p - (min_len - length))
                 got = {}
-                for q, a, b in extended(p, lo, hi, length, min_len):
+                for who, q, a, b in zip(*[x.tolist() for x in extended(*[np.array([x]) for x in (p, lo, hi)], length, min_len)], strict=True):
+                    assert who == 0
                     for s in range(a, b + 1):
                         assert s <= q <= q + 2 * length <= s + min_len and q <= p and p + length <= q + 2 * length
                         got[s] = q

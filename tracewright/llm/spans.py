@@ -160,15 +160,16 @@ def _anchor_rows(docs: DataFrame, min_len: int, length: int) -> DataFrame:
     return docs.mapInArrow(run, _MARK)
 
 
-def extended(p: int, lo: int, hi: int, length: int, min_len: int) -> list[tuple[int, int, int]]:
-    """The windows of twice ``length`` around the one at ``p``, as (position, first window, last window).
+def extended(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, min_len: int) -> tuple[np.ndarray, ...]:
+    """The windows of twice ``length`` around those at ``p``: whose, position, first window, last window.
 
     For the windows of ``min_len`` in which it fits to the right it is extended that way, for the others to the left; which
     of the two depends on the offset within the window only, so equal windows have equal extensions.
     """
     turn = p + 2 * length - min_len  # the first window in which the extension to the right fits
-    out = [(p, max(lo, turn), hi)] if hi >= turn else []
-    return out + ([(p - length, lo, min(hi, turn - 1))] if lo < turn else [])
+    right, left = np.flatnonzero(hi >= turn), np.flatnonzero(lo < turn)
+    both = lambda a, b: np.concatenate([a[right], b[left]])
+    return np.concatenate([right, left]), both(p, p - length), both(np.maximum(lo, turn), lo), both(hi, np.minimum(hi, turn - 1))
 
 
 def _extended_rows(docs: DataFrame, min_len: int, length: int) -> DataFrame:
@@ -176,22 +177,18 @@ def _extended_rows(docs: DataFrame, min_len: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                doc_id, text = batch["doc_id"][i].as_py(), batch["text"][i].as_py()
-                for m in batch["marks"][i].as_py():
-                    for p, lo, hi in extended(m["p"], m["lo"], m["hi"], length, min_len):
-                        h = xxhash.xxh3_64_intdigest(text[p : p + 2 * length].encode("utf-8", "surrogatepass"))
-                        rows.append((doc_id, h - (1 << 63), p, lo, hi))
-                if len(rows) >= FLUSH:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_MARK.names)
+            texts, ids, marks = batch["text"].to_pylist(), batch["doc_id"].to_numpy(zero_copy_only=False), batch["marks"]
+            of, offsets = marks.values, marks.offsets.to_numpy()
+            columns = [of.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("p", "lo", "hi")]
+            for rows, codes, starts, _ in _chunks(texts, min_len):
+                sizes = offsets[np.array(rows) + 1] - offsets[rows]
+                own = np.repeat(np.arange(len(rows)), sizes)
+                at = np.concatenate([np.arange(offsets[r], offsets[r + 1]) for r in rows])
+                who, p, lo, hi = extended(*[c[at] for c in columns], length, min_len)
+                h = window_hashes(codes, 2 * length)[starts[own[who]] + p]
+                doc = ids[np.array(rows)[own[who]]]
+                cols = [pa.array(doc, pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (p, lo, hi)]]
+                yield pa.RecordBatch.from_arrays(cols, names=_MARK.names)
 
     return docs.mapInArrow(run, _MARK)
 
