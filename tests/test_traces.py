@@ -1,4 +1,5 @@
 import json
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +7,10 @@ from pyspark.sql import functions as F
 from tracewright.operators import layout, metrics, trace
 from tracewright.operators.graph import PipelineGraph
 from tracewright.operators.simulate import simulate
+from tracewright.operators.trace import set_times
 from tracewright.plans.flow import FlowGraph, FlowNode
 from tracewright.sources import svg
-from tracewright.sources.profiler import ProfilerJson, ProfilerJsonLines, ProfilerTable
+from tracewright.sources.profiler import ProfilerJson, ProfilerJsonLines, ProfilerSqlite, ProfilerTable
 from tracewright.streaming.utilisation import device_load
 
 DOC = {
@@ -144,3 +146,39 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     q.stop()
     key = lambda d: sorted((str(r["window_start"]), r["busy_us"], r["n_events"]) for r in d.collect())
     assert key(spark.table("load")) == key(device_load(df))
+
+
+def test_sqlite_export_is_read_in_ranges(spark, tmp_path):
+    path = str(tmp_path / "an export.sqlite")
+    with sqlite3.connect(path) as con:
+        con.execute('CREATE TABLE "k" (label TEXT, tid INT, ts REAL, dur REAL)')
+        rows = [(f"{'forward_step' if i % 3 else 'other'}-{i}", i % 4, i * 1.5, None if i == 7 else 2) for i in range(100)]
+        con.executemany('INSERT INTO "k" VALUES (?, ?, ?, ?)', rows)
+        con.execute('DELETE FROM "k" WHERE rowid = 3')
+    want = [(i % 4, i, f"forward_step-{i}", i * 1.5, None if i == 7 else 2.0) for i in range(100) if i % 3 and i != 2]
+    for step in (7, 1000):
+        got = ProfilerSqlite(path, "k", {"name": "label"}, rows=step).read(spark, ["FWD"])
+        assert [tuple(r) for r in got.select("dev_id", "seq", "name", "ts", "dur").orderBy("seq").collect()] == want
+    with sqlite3.connect(path) as con:
+        con.execute('DELETE FROM "k"')
+    assert ProfilerSqlite(path, "k", {"name": "label"}).read(spark, ["FWD"]).count() == 0
+
+
+def test_the_place_of_a_row_does_not_depend_on_splits(spark, tmp_path):
+    rows = [(f"forward_step-{i}", str(i % 4), float(i), 2.0) for i in range(5000)]
+    spark.createDataFrame(rows, "name string, tid string, ts double, dur double").coalesce(1).write.option("header", True).csv(str(tmp_path / "t.csv"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (was, "9000", "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = ProfilerTable(str(tmp_path / "t.csv")).read(spark, ["FWD"])
+            assert got.where("name <> 'forward_step-' || seq").count() == 0 and got.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_times_must_be_numbers(spark):
+    t = spark.createDataFrame([("t", 1, 2)], "trace_id string, ts long, dur long")
+    assert tuple(set_times(t, F.col("ts") + 1, F.lit(2.0)).first()) == ("t", 2, 2)
+    with pytest.raises(TypeError):
+        set_times(t, F.lit("now"))

@@ -16,7 +16,9 @@ NO_TIMESTAMP = -1
 SCHEDULES = ("gpipe", "pipedream", "interleaved", "zb", "zbv")
 #: Schedules that split the backward pass and so have WGT events.
 SPLIT_BACKWARD = ("zb", "zbv")
-PARTITION_KINDS = ("uniform", "custom")
+#: The kind of graphs and partitions that are given by hand.
+CUSTOM = "custom"
+PARTITION_KINDS = ("uniform", CUSTOM)
 
 CONFIG_SCHEMA = T.StructType(
     [T.StructField("graph_id", T.StringType()), T.StructField("schedule", T.StringType())]
@@ -96,9 +98,16 @@ class PipePartition:
             raise AssertionError("ratios must sum to 1")
 
 
-def cost_is_valid(fwd: Column, bwd: Column, wgt: Column) -> Column:
-    """The checks of :class:`PipeCost` that a typed column leaves open."""
-    return fwd.isNotNull() & bwd.isNotNull() & wgt.isNotNull()
+def event_type_is_known(event_type: Column) -> Column:
+    """The domain check of :func:`check_event_type` for a column."""
+    return F.coalesce(event_type.isin(*EVENT_TYPES), F.lit(False))
+
+
+def cost_is_valid(fwd: Column, bwd: Column, wgt: Column, memory: tuple[Column, Column, Column] | None = None) -> Column:
+    """The checks of :class:`PipeCost`: times are whole numbers, and the memory that steps take is given back."""
+    whole = lambda c: c.isNotNull() & F.coalesce(c == F.floor(c), F.lit(False))
+    ok = whole(fwd) & whole(bwd) & whole(wgt)
+    return ok if memory is None else ok & F.coalesce(memory[0] + memory[1] + memory[2] == 0, F.lit(False))
 
 
 def partition_is_valid(nstages: Column, ratios: Column, tolerance: float = 1e-9) -> Column:

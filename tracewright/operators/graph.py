@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, check_event_type
+from tracewright.model import CUSTOM, EDGE_COLS, KEY_COLS, NODE_COLS, check_event_type
 from tracewright.operators.schedules import config_frame, graph_edges, graph_nodes
 
 _SIDE = {"src": ["src_type", "src_stage", "src_mb", "src_chk"], "dst": ["dst_type", "dst_stage", "dst_mb", "dst_chk"]}
@@ -103,13 +103,13 @@ def cut_edges(configs: DataFrame, cut: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class PipelineGraph:
-    """One task graph: sizes on the driver, nodes and edges as lazy tables."""
+    """Task graphs: nodes and edges as lazy tables.  One graph has its id and sizes here; of many graphs these are None and the ids in the tables tell them apart."""
 
-    graph_id: str
+    graph_id: str | None
     schedule: str
-    nstages: int
-    nmicrobatches: int
-    nchunks: int
+    nstages: int | None
+    nmicrobatches: int | None
+    nchunks: int | None
     nodes: DataFrame
     edges: DataFrame
     part: bool = False
@@ -122,6 +122,17 @@ class PipelineGraph:
         configs = config_frame(spark, [row])
         return cls(graph_id, schedule, nstages, nmicrobatches, nchunks, graph_nodes(configs), graph_edges(configs))
 
+    @classmethod
+    def of(cls, configs: DataFrame, schedule: str) -> PipelineGraph:
+        """The graphs of all configurations of one schedule."""
+        own = configs.where(F.col("schedule") == schedule)
+        return cls(None, schedule, None, None, None, graph_nodes(own), graph_edges(own, [schedule]))
+
+    @classmethod
+    def custom(cls, nodes: DataFrame, edges: DataFrame) -> PipelineGraph:
+        """Graphs of no known schedule, by their own nodes and edges."""
+        return cls(None, CUSTOM, None, None, None, clean_nodes(nodes), clean_edges(edges))
+
     @property
     def event_types(self) -> tuple[str, ...]:
         return ("FWD", "BWD", "WGT") if self.schedule in ("zb", "zbv") else ("FWD", "BWD")
@@ -133,9 +144,12 @@ class PipelineGraph:
     def add_node(self, event_type: str, stage: int, microbatch: int, duration: int, chunk: int = 0) -> PipelineGraph:
         """The graph with one more node; a node of the same key is replaced, the number moves on."""
         check_event_type(event_type, ("FWD", "BWD", "WGT"))
-        last = self.nodes.agg(F.coalesce(F.max("event_num"), F.lit(0)).alias("n"))
+        if self.graph_id is None:  # one node more in each graph
+            last = self.nodes.groupBy("graph_id").agg(F.max("event_num").alias("n"))
+        else:
+            last = self.nodes.agg(F.coalesce(F.max("event_num"), F.lit(0)).alias("n")).withColumn("graph_id", F.lit(self.graph_id))
         new = last.select(
-            F.lit(self.graph_id).alias("graph_id"), (F.col("n") + 1).alias("event_num"), F.lit(event_type).alias("event_type"),
+            "graph_id", (F.col("n") + 1).alias("event_num"), F.lit(event_type).alias("event_type"),
             F.lit(stage).alias("stage_id"), F.lit(microbatch).alias("microbatch_id"), F.lit(chunk).alias("chunk_id"),
             F.lit(f"{event_type[0]}:{microbatch}-{chunk}").alias("name"), F.lit(-1).cast("long").alias("ts"), F.lit(duration).cast("long").alias("dur"),
         )
@@ -144,19 +158,21 @@ class PipelineGraph:
     def add_edges(self, edges: DataFrame | Sequence[tuple[tuple, tuple]]) -> PipelineGraph:
         """The graph with more edges, given as a table or as pairs of (type, stage, microbatch, chunk)."""
         if not isinstance(edges, DataFrame):
+            if self.graph_id is None:
+                raise TypeError("edges of many graphs must be given as a table")
             schema = ", ".join(f"{c} {'string' if c in ('graph_id', 'src_type', 'dst_type') else 'int'}" for c in EDGE_COLS)
             edges = self.nodes.sparkSession.createDataFrame([(self.graph_id, *a, *b) for a, b in edges], schema)
         return replace(self, edges=clean_edges(self.edges.unionByName(edges.select(*EDGE_COLS))))
 
     def filter(self, stages: Sequence[int]) -> PipelineGraph:
         """The subgraph of some stages; sizes and event numbers stay those of the whole."""
-        if not stages or any(s < 0 or s >= self.nstages for s in stages):
+        if not stages or any(s < 0 or (self.nstages is not None and s >= self.nstages) for s in stages):
             raise AssertionError("stages must be given and lie in the graph")
         return replace(self, nodes=filter_nodes(self.nodes, stages), edges=filter_edges(self.edges, stages), part=True)
 
 
-def merge_graphs(graph_id: str, graphs: Sequence[PipelineGraph], edges: DataFrame | Sequence[tuple[tuple, tuple]] = ()) -> PipelineGraph:
-    """Disjoint parts of equal shape as one graph, with further edges between them."""
+def merge_graphs(graph_id: str | None, graphs: Sequence[PipelineGraph], edges: DataFrame | Sequence[tuple[tuple, tuple]] = ()) -> PipelineGraph:
+    """Disjoint parts of equal shape as one graph, with further edges between them; without ``graph_id``, those of each id as one."""
     if not graphs:
         raise AssertionError("nothing to merge")
     if not all(g.part for g in graphs):
@@ -164,9 +180,9 @@ def merge_graphs(graph_id: str, graphs: Sequence[PipelineGraph], edges: DataFram
     first = graphs[0]
     if any((g.nstages, g.nmicrobatches, g.nchunks, g.event_types, g.schedule) != (first.nstages, first.nmicrobatches, first.nchunks, first.event_types, first.schedule) for g in graphs):
         raise AssertionError("the graphs differ in shape")
-    own = lambda df: df.withColumn("graph_id", F.lit(graph_id))
+    own = lambda df: df if graph_id is None else df.withColumn("graph_id", F.lit(graph_id))
     nodes = reduce(DataFrame.unionByName, [own(g.nodes) for g in graphs])
-    if nodes.groupBy(*KEY_COLS).count().where("count > 1").limit(1).count():
+    if nodes.groupBy("graph_id", *KEY_COLS).count().where("count > 1").limit(1).count():
         raise AssertionError("a node is in two of the graphs")
     out = replace(first, graph_id=graph_id, nodes=nodes, edges=clean_edges(reduce(DataFrame.unionByName, [own(g.edges) for g in graphs])), part=True)
     if isinstance(edges, DataFrame):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.model import events_equal, info_str
 
@@ -61,3 +62,13 @@ def comm_events(transfers: DataFrame) -> DataFrame:
     return transfers.select(
         "trace_id", F.col("src_dev_id").alias("dev_id"), "seq", "event_num", F.lit("COMM").alias("event_type"), "name", "ts", "dur", "src_dev_id", "dst_dev_id"
     )
+
+
+def set_times(trace: DataFrame, ts: Column | None = None, dur: Column | None = None) -> DataFrame:
+    """``trace`` with other times; anything but numbers is a TypeError."""
+    new = {n: c for n, c in (("ts", ts), ("dur", dur)) if c is not None}
+    for name, c in new.items():
+        kind = trace.select(c.alias(name)).schema[name].dataType
+        if not isinstance(kind, T.NumericType):
+            raise TypeError(f"{name} must be a number, not {kind.simpleString()}")
+    return trace.withColumns({n: c.cast(trace.schema[n].dataType) for n, c in new.items()})

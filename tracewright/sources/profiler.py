@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sqlite3
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import closing
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.model import check_event_type
+from tracewright.plans.durable import broadcast_if_small, cut_counted
 
 #: Only the fields read; others are skipped by the JSON parser.
 DOC_SCHEMA = "distributedInfo struct<world_size: string>, traceEvents array<struct<name: string, tid: string, ts: double, dur: double>>"
@@ -72,21 +77,76 @@ class ProfilerJson(TraceSource):
 
 
 class ProfilerTable(TraceSource):
-    """A CSV or Parquet export with one row per event: name, tid, ts, dur (and trace_id, seq if it has them)."""
+    """A CSV or Parquet export with one row per event: name, tid, ts, dur (and trace_id, seq if it has them).
+
+    Without ``seq`` it is the row's place in its file, however the file is split.
+    """
 
     def read(self, spark: SparkSession, event_types: Sequence[str]) -> DataFrame:
         raw = spark.read.parquet(self.path) if self.path.endswith(".parquet") else spark.read.option("header", True).csv(self.path)
-        x = raw.withColumn("event_type", classify(F.col("name"), event_types)).where(F.col("event_type").isNotNull())
-        trace_id = F.col("trace_id") if "trace_id" in raw.columns else F.lit(self.path)
-        seq = F.col("seq").cast("long") if "seq" in raw.columns else F.monotonically_increasing_id()
-        out = x.select(
-            trace_id.alias("trace_id"), F.col("tid").cast("int").alias("dev_id"), seq.alias("seq"), "event_type", "name",
-            F.col("ts").cast("double").alias("ts"), F.col("dur").cast("double").alias("dur"),
-        )
+        out = _typed(raw if "seq" in raw.columns else _placed(raw), event_types, self.path)
+        self.outputs.append(out)
+        return out
+
+
+def _placed(raw: DataFrame) -> DataFrame:
+    """Rows with their place in their file, by the sizes of its splits; the rows themselves are not shuffled."""
+    x = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__i", F.monotonically_increasing_id())
+    splits = x.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("__file").orderBy("__block")) - F.col("__n")
+    starts, n = cut_counted(splits.select("__file", "__block", (before - F.col("__first")).alias("__from")))
+    return x.join(broadcast_if_small(starts, n), ["__file", "__block"]).withColumn("seq", F.col("__i") + F.col("__from")).drop("__file", "__block", "__i", "__from")
+
+
+def _typed(raw: DataFrame, event_types: Sequence[str], path: str) -> DataFrame:
+    x = raw.withColumn("event_type", classify(F.col("name"), event_types)).where(F.col("event_type").isNotNull())
+    trace_id = F.col("trace_id") if "trace_id" in raw.columns else F.lit(path)
+    return x.select(
+        trace_id.alias("trace_id"), F.col("tid").cast("int").alias("dev_id"), F.col("seq").cast("long").alias("seq"), "event_type", "name",
+        F.col("ts").cast("double").alias("ts"), F.col("dur").cast("double").alias("dur"),
+    )
+
+
+class ProfilerSqlite(TraceSource):
+    """An SQLite export in a folder that all executors see, read in ranges of row ids.
+
+    ``table`` has columns for name, tid, ts and dur, named by ``columns`` where they differ; ``seq`` is the place by row id.
+    """
+
+    def __init__(self, path: str, table: str = "events", columns: dict[str, str] | None = None, rows: int = 1_000_000) -> None:
+        super().__init__(path)
+        self.table, self.rows = table, rows
+        self.columns = {c: c for c in ("name", "tid", "ts", "dur")} | (columns or {})
+
+    def read(self, spark: SparkSession, event_types: Sequence[str]) -> DataFrame:
+        file, step = self.path.removeprefix("file://"), self.rows
+        quoted = lambda name: '"' + name.replace('"', '""') + '"'
+        wanted = ", ".join(quoted(self.columns[c]) for c in ("name", "tid", "ts", "dur"))
+        source = f"SELECT rowid, {wanted} FROM {quoted(self.table)} WHERE rowid >= ? AND rowid < ? ORDER BY rowid"
+        with closing(_sqlite(file)) as con:
+            low, high = con.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {quoted(self.table)}").fetchone()
+
+        def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with closing(_sqlite(file)) as con:
+                for batch in batches:
+                    for start in batch["id"].to_pylist():
+                        rows = con.execute(source, (start, start + step))
+                        while part := rows.fetchmany(50_000):
+                            cols = list(zip(*part, strict=True))
+                            texts = [pa.array([None if v is None else str(v) for v in c], pa.string()) for c in cols[1:3]]
+                            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *texts, *[pa.array([None if v is None else float(v) for v in c], pa.float64()) for c in cols[3:]]], names=["row", "name", "tid", "ts", "dur"])
+
+        starts = spark.range(low, high + 1, step, max(1, -(-(high + 1 - low) // step)))
+        raw = starts.mapInArrow(load, "row long, name string, tid string, ts double, dur double")
+        out = _typed(raw.withColumn("seq", F.col("row") - F.lit(low)), event_types, self.path)
         self.outputs.append(out)
         return out
 
 
+def _sqlite(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
+
+
 class TraceSink(ABC):
     """Writes traces; a subclass names its format."""
 
