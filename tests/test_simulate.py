@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tracewright.operators import graph, metrics, trace
 from tracewright.operators.graph import PipelineGraph, merge_graphs
-from tracewright.operators.simulate import run_schedule, simulate, simulate_configs, simulate_waves, unreached
+from tracewright.operators.simulate import run_schedule, simulate, simulate_any, simulate_configs, simulate_waves, unreached
 
 COST = {"fwd_time": 5478, "bwd_time": 5806, "wgt_time": 3534}
 
@@ -113,3 +113,12 @@ def test_any_graph(n, stages, seed):
         ends = (stage["ts"] + stage["dur"]).shift()
         later = [i not in heads for i in stage.index]
         assert (stage["ts"][later] >= ends.fillna(0)[later]).all()
+
+
+def test_graphs_too_large_for_a_task_go_by_waves(spark):
+    a = PipelineGraph.build(spark, "a", "gpipe", 2, 3, **COST)
+    b = PipelineGraph.build(spark, "b", "zb", 3, 4, 2, **COST)
+    nodes, edges = a.nodes.unionByName(b.nodes), a.edges.unionByName(b.edges)
+    want = sorted(simulate(nodes, edges).collect())
+    for task_nodes in (0, 20, 10**6):
+        assert sorted(simulate_any(nodes, edges, task_nodes).collect()) == want

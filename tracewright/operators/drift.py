@@ -56,8 +56,6 @@ _NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
 
 #: Likeness of values that a pair needs: with a word in common, with names that look alike, with unlike names.
 LIKE_SHARED, LIKE, VERY_LIKE = 0.25, 0.45, 0.97
-#: Words of names that tell units or roles; they make names alike only as a whole name.
-_WEAK = {"id", "no", "n", "is", "us", "ms", "ns", "num", "count"}
 
 
 class _Field:
@@ -217,7 +215,7 @@ def affinity(a: str, b: str) -> float:
     x = [t.lower() for t in _CAMEL.findall(a)]
     y = [t.lower() for t in _CAMEL.findall(b)]
     common = set(x) & set(y)
-    if common - _WEAK or (common and 1 in (len(x), len(y))):
+    if common:
         return 0.9
     best = 0.0
     for s in [*x, "".join(x)]:
@@ -226,7 +224,7 @@ def affinity(a: str, b: str) -> float:
             same = next((i for i, (p, q) in enumerate(zip(short, long, strict=False)) if p != q), len(short))
             if same >= 4 or same == len(short) >= 3:
                 best = max(best, 0.8)
-            elif len(short) >= 2 and short not in _WEAK and _within(short, long):
+            elif len(short) >= 2 and _within(short, long):
                 best = max(best, 0.6)
     return best
 

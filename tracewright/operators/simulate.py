@@ -9,6 +9,7 @@ starts at the later of its predecessors' ends and the end of what its stage took
 * :func:`simulate_configs` serves sweeps: the order in which the queue yields nodes does not depend on
   durations, so it is found once per shape (schedule, sizes) and applied to all scenarios of that shape
   at once, in numpy, without a shuffle.
+* :func:`simulate_any` sends a graph too large for one task to :func:`simulate_waves`, all others to the kernel.
 * :func:`simulate_waves` states the same as relations (hop depth, rank within a wave,
   longest path) for a single graph too large for one task.
 
@@ -32,7 +33,7 @@ from pyspark.sql.types import StructType
 from tracewright.model import EDGE_COLS, KEY_COLS, NODE_COLS, TRACE_COLS
 from tracewright.operators.graph import clean_edges, clean_nodes, numbered_edges
 from tracewright.operators.schedules import graph_edges, graph_nodes
-from tracewright.plans.durable import cut, cut_counted, discard
+from tracewright.plans.durable import broadcast_if_small, cut, cut_counted, discard
 
 _TRACE = (
     "trace_id string, dev_id int, seq bigint, event_num bigint, event_type string, name string, ts bigint, dur bigint, "
@@ -110,6 +111,21 @@ def simulate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(*NODE_COLS).groupBy("graph_id").cogroup(by_graph.groupBy("of_graph")).applyInPandas(kernel, _TRACE)
 
 
+#: Nodes of one graph that are simulated in one task.
+TASK_NODES = 5_000_000
+
+
+def simulate_any(nodes: DataFrame, edges: DataFrame, task_nodes: int = TASK_NODES) -> DataFrame:
+    """The trace of every graph: in the kernel where it fits a task, by waves over the cluster where it has more nodes."""
+    sizes = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    large, n = cut_counted(sizes.where(F.col("n") > task_nodes).select("graph_id"))
+    if not n:
+        return simulate(nodes, edges)
+    side = broadcast_if_small(large, n)
+    apart = [x.join(side, "graph_id", how) for how in ("left_anti", "left_semi") for x in (nodes, edges)]
+    return simulate(*apart[:2]).unionByName(simulate_waves(*apart[2:]))
+
+
 def unreached(nodes: DataFrame, trace: DataFrame) -> DataFrame:
     """Nodes that the simulation never took (on or behind a cycle)."""
     return clean_nodes(nodes).join(trace.select(F.col("trace_id").alias("graph_id"), "event_num"), ["graph_id", "event_num"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.operators import metrics
 from tracewright.operators.graph import PipelineGraph, merge_graphs
-from tracewright.operators.simulate import simulate
+from tracewright.operators.simulate import simulate, simulate_any
 from tracewright.plans.flow import FlowNode
 from tracewright.sources import svg
 from tracewright.sources.profiler import TraceSource
@@ -32,7 +32,7 @@ class PipelineSimulator(Simulator):
 
     def run(self, graph: PipelineGraph) -> DataFrame:
         self.graph = graph
-        self.trace = simulate(graph.nodes, graph.edges)
+        self.trace = simulate_any(graph.nodes, graph.edges)
         return self.trace
 
     def perf(self) -> dict[str, Any]:
