@@ -34,8 +34,6 @@ from tracewright.plans.durable import broadcast_if_small, cut
 BLOCK = 8192
 #: Open documents a block can leave behind: one per constraint.
 OPEN = 2
-#: Sources that targets may name; the table of targets is held by the driver and broadcast.
-MAX_SOURCES = 100_000
 
 
 def fly(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> np.ndarray:
@@ -101,10 +99,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     """
     name = lambda c: F.lower(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")))
     goals = targets.select(name(F.col("source")).alias("source"), "target_share", "max_repeats")
-    listed = goals.limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    if len({r["source"] for r in listed}) < len(listed):
+    n_goals, n_names = goals.agg(F.count(F.lit(1)), F.countDistinct(F.coalesce(F.concat(F.lit("."), "source"), F.lit("")))).first()
+    if n_names < n_goals:
         raise ValueError("a source is named twice in the targets")
     docs = docs.select("doc_id", name(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     per_source = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.when(F.col("n_tokens") > 0, 1)).alias("usable"))
@@ -122,7 +118,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, seed: int = 1, block: int = BLOC
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("usable") / block)).cast("int")
     units = (
         docs.where(F.col("n_tokens") > 0)
-        .join(broadcast_if_small(plan.select("source", "base", "p", n_blocks.alias("blocks")), len(listed)), "source")
+        .join(broadcast_if_small(plan.select("source", "base", "p", n_blocks.alias("blocks")), n_goals), "source")
         .withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "blocks").cast("int"))
     )
