@@ -39,8 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewright.plans.durable import cut, observed
 
-#: log2 of the cell length; with nanoseconds about 8.6 s.
-CELL_BITS = 33
+#: log2 of the cell length; with nanoseconds about 17 s, more than the longest valid reading takes.
+CELL_BITS = 34
 #: log2 of the cells in a super-cell.
 SUPER_BITS = 12
 
