@@ -3,7 +3,8 @@ import time
 
 import numpy as np
 
-from tracewright.operators.spikes import implausible, judge, merged
+from tracewright.operators.hot_sources import Part, chained
+from tracewright.operators.spikes import implausible, innovations, judge, merged
 
 
 def _lane(n=200, seed=1, level=1000.0, noise=0.08):
@@ -113,8 +114,8 @@ def test_size_of_a_source_changes_nothing(spark):
     rows += [("u", 1, 9000 + i, float(i), float(v), "op") for i, v in enumerate(_lane(50, 2))]
     df = spark.createDataFrame(rows, "trace_id string, tid int, event_id long, ts double, dur double, op string")
     args = {"item": "event_id", "time": "ts", "value": "dur", "kind": "op"}
-    whole, streamed = (sorted(map(tuple, implausible(df, ["trace_id", "tid"], **args, block_rows=b).collect())) for b in (10**6, 1000))
-    assert streamed == whole
+    whole, *in_blocks = (sorted(map(tuple, implausible(df, ["trace_id", "tid"], **args, block_rows=b).collect())) for b in (10**6, 1000, 120))
+    assert in_blocks == [whole, whole]
     assert (4500, "far off") in whole and (2500, "stuck") in whole and (1600, "impossible") in whole and (4105, "stuck") in whole
 
 
@@ -168,6 +169,23 @@ def test_many_runs_and_many_kinds_are_judged_once():
     assert time.process_time() - began < 30
 
 
+def test_runs_are_joined_over_blocks():
+    x = np.concatenate([[5.0, 9.0], np.full(14, 700.0), [20.0, 700.0, 700.0], np.full(6, 31.0)])
+    e = innovations(x)
+    for size in (1, 2, 3, 5, 7, 25):
+        parts, prev = [], np.nan
+        for a in range(0, len(x), size):
+            part = Part(0.1, prev)
+            b = x[a : a + size]
+            part.add(b, ["k"] * len(b), np.arange(a, a + len(b), dtype=float), list(range(a, a + len(b))), np.ones(len(b), bool))
+            parts.append(part.told())
+            prev = b[-1]
+        for level in (0, 1):
+            runs, near = chained(parts, level)
+            assert [(r.start, r.n, r.first[1], r.last[1], dict(r.tally)) for r in runs] == [(2, 14, 2, 15, {("k", 700.0): 14}), (19, 6, 19, 24, {("k", 31.0): 6})]
+            assert near == int((np.abs(e[1:]) < 1e-9).sum()) and all(r.squares == 0 for r in runs)
+
+
 def test_a_level_that_jumps_for_good_is_the_level_after_some_readings():
     d = np.concatenate([_lane(300, 20, level=500.0), _lane(300, 21, level=4000.0)])
     d[[100, 450]] = [9000.0, 90_000.0]

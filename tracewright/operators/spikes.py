@@ -20,9 +20,7 @@ estimates over the whole source; the filter follows the level from there.  Where
 readings scatter (:data:`MOVES_PART`), the noise is that of the steps between readings, the filter starts from the first
 readings, and after a jump for good the first :data:`SHIFT` readings are flagged, then they are the level.
 
-A source with many rows is judged as a whole, like any other, but never held: one pass streams it in order of time for the
-variation of its innovations, a second one keeps its distinct values with their counts, and its still runs; from these come the
-stuck runs and the levels.  A third pass streams each kind of work by itself, with the state of its filter carried along.
+A source with many rows is judged as a whole, like any other, but in blocks of time (``hot_sources.py``).
 
 Defined cases: null readings are no case; NaN, infinite, non-positive values and those above
 ``MAX_VALID_DUR`` are impossible; readings without a time are compared with the levels but are in no run;
@@ -34,8 +32,6 @@ columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,7 +74,7 @@ OWN_NOISE = 8
 MOVES_WIDE, MOVES_PART = 0.2, 0.5
 #: Readings from which a moving level starts, and after which withheld readings that agree are its new place.
 START, SHIFT = 15, 8
-#: Rows of a source from which it is streamed.
+#: Rows of a source from which it is judged in blocks of about so many.
 BLOCK_ROWS = 50_000
 
 
@@ -436,231 +432,6 @@ def judge(dur: np.ndarray, kind: np.ndarray, timed: np.ndarray) -> np.ndarray:
     return why
 
 
-class Run:
-    """A chain of neighbouring readings with hardly an innovation: its ends, its values, and the sum of their squares."""
-
-    __slots__ = ("first", "last", "n", "squares", "start", "tally")
-
-    def __init__(self, start: int, first: tuple) -> None:
-        self.start, self.first, self.last, self.n, self.squares, self.tally = start, first, first, 0, 0.0, Counter()
-
-
-class Still:
-    """The still runs of a streamed source at one bound."""
-
-    def __init__(self, bound: float) -> None:
-        self.bound, self.near, self.at = bound, 0, 0
-        self.runs: list[Run] = []
-        self.open: Run | None = None
-
-    def add(self, e: np.ndarray, pairs: list[tuple], ends: list[tuple]) -> None:
-        with np.errstate(invalid="ignore"):
-            still = np.abs(e) <= self.bound
-        self.near += int(still.sum())
-        squares = np.concatenate([[0.0], np.cumsum(np.where(still, e * e, 0.0))])
-
-        def grow(a: int, b: int) -> None:
-            run = self.open
-            run.n += b - a
-            run.squares += squares[b] - squares[a + (run.n == b - a)]  # the first of a run has no innovation in it
-            run.last = ends[b - 1]
-            run.tally.update(pairs[a:b])
-
-        heads = np.flatnonzero(~still)
-        until = int(heads[0]) if len(heads) else len(e)
-        if until:
-            grow(0, until)
-        if len(heads):
-            self.close()
-            tails = np.append(heads[1:], len(e))
-            wanted = (tails - heads >= MIN_RUN) | (tails == len(e))
-            for a, b in zip(heads[wanted].tolist(), tails[wanted].tolist(), strict=True):
-                self.open = Run(self.at + a, ends[a])
-                grow(a, b)
-                if b < len(e):
-                    self.close()
-        self.at += len(e)
-
-    def close(self) -> None:
-        if self.open is not None and self.open.n >= MIN_RUN:
-            self.runs.append(self.open)
-        self.open = None
-
-
-class Summary:
-    """A source streamed in order of time, untimed readings last: counts of its values and its still runs."""
-
-    def __init__(self, own: float) -> None:
-        self.own = own
-        self.timed: Counter = Counter()  # (kind, value) -> readings
-        self.untimed: Counter = Counter()
-        self.still = [Still(REACH * part * own) for part in VANISH]
-        self.prev = np.nan
-        self.steps: dict[str, Steps] = {}
-
-    def add(self, dur: np.ndarray, kind: list, time: np.ndarray, items: list, timed: np.ndarray) -> None:
-        ok = ~impossible(dur)
-        self.untimed.update((kind[i], float(dur[i])) for i in np.flatnonzero(ok & ~timed))
-        rows = np.flatnonzero(ok & timed)
-        if not len(rows):
-            return
-        x = dur[rows]
-        pairs = [(kind[i], v) for i, v in zip(rows.tolist(), x.tolist(), strict=True)]
-        self.timed.update(pairs)
-        e = innovations(x, self.prev)
-        ends = [(time[i], items[i]) for i in rows.tolist()]
-        for s in self.still:
-            s.add(e, pairs, ends)
-        self.prev = float(x[-1])
-        own_steps: dict[str, list[float]] = {}
-        for i in np.flatnonzero(~quiet(e, self.own)).tolist():
-            own_steps.setdefault(pairs[i][0], []).append(pairs[i][1])
-        for k, v in own_steps.items():
-            self.steps.setdefault(k, Steps()).add(np.log(np.array(v)))
-
-    def judged(self) -> tuple[list[Run], dict, Normal]:
-        """The stuck runs, codes of the kinds, and the normal behaviour of the rest."""
-        tally: Counter = Counter()
-        for (_, v), c in self.timed.items():
-            tally[v] += c
-        values = np.array(sorted(tally), float)
-        counts = np.array([tally[v] for v in values.tolist()], np.int64)
-        use = self.timed + self.untimed
-        stuck_runs: list[Run] = []
-        for part, s in zip(VANISH, self.still, strict=True):
-            s.close()
-            if not s.runs or s.at < 2 * MIN_RUN:
-                continue
-            runs = []
-            for run in s.runs:
-                own: Counter = Counter()
-                for (_, v), c in run.tally.items():
-                    own[v] += c
-                mine = np.array(sorted(own), float)
-                runs.append((run.start, run.n, run.squares, mine, np.array([own[v] for v in mine.tolist()], np.int64)))
-            hits = vanished(Near(values, counts, s.bound), runs, s.at, s.near, part * self.own)
-            places = merged([(r.start, r.n) for r in stuck_runs], [(r.start, r.n) for r, hit in zip(s.runs, hits, strict=True) if hit])
-            by_place = {(r.start, r.n): r for r in (*s.runs, *stuck_runs)}
-            stuck_runs = [by_place[x] for x in places]
-        for run in stuck_runs:
-            use.subtract(run.tally)
-        kinds = sorted({k for k, _ in use if k is not None})
-        codes = {None: -1} | {k: i for i, k in enumerate(kinds)}
-        left_over = [(codes[k], v, c) for (k, v), c in use.items() if c > 0]
-        code, dur, w = (np.array([r[i] for r in left_over], t) for i, t in enumerate((int, float, np.int64)))
-        told = {codes[k]: v for k, v in self.steps.items() if k in codes}
-        return stuck_runs, codes, Normal(dur, code, w, lambda k: told[k].told() if k in told else (0.0, 0.0))
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, tuple, pa.RecordBatch]]:
-    """Stretches of equal keys in sorted batches, with whether the keys are new and the keys."""
-    last = None
-    for batch in batches:
-        rows = list(zip(*[batch[c].to_pylist() for c in keys], strict=True))
-        starts = [i for i, k in enumerate(rows) if i == 0 or k != rows[i - 1]]
-        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
-            yield rows[a] != last, rows[a], batch.slice(a, b - a)
-            last = rows[a]
-
-
-def _inside(runs: list[tuple[tuple, tuple]], time: np.ndarray, items: list) -> np.ndarray:
-    """Readings, in order of time, between the ends of a run."""
-    out = np.zeros(len(time), bool)
-    for (t0, i0), (t1, i1) in runs:
-        a, b = np.searchsorted(time, t0, "left"), np.searchsorted(time, t1, "right")
-        while a < b and time[a] == t0 and items[a] < i0:
-            a += 1
-        while b > a and time[b - 1] == t1 and items[b - 1] > i1:
-            b -= 1
-        out[a:b] = True
-    return out
-
-
-def _streamed(rows: DataFrame, own: list[str], out: T.StructType) -> DataFrame:
-    """The implausible readings of large sources, of which no task holds more than a batch."""
-    first = F.min(F.struct("time", "value", "kind")).alias("r")  # repeated rows once
-    rows = rows.groupBy(*own, "item").agg(first).select(*own, "item", "r.*", F.lit(None).cast("binary").alias("plan"))
-    rows = cut(rows)
-    plan_schema = T.StructType([*[rows.schema[o] for o in own], T.StructField("kind", T.StringType()), T.StructField("plan", T.BinaryType())])
-    plan_arrow, arrow = to_arrow_schema(plan_schema), to_arrow_schema(out)
-    spread_schema = T.StructType([*[rows.schema[o] for o in own], T.StructField("own", T.DoubleType())])
-    spread_arrow = to_arrow_schema(spread_schema)
-    ordered = [F.col("time").asc_nulls_last(), F.col("item")]
-
-    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-        time = np.array(batch["time"].cast(pa.float64()).to_numpy(zero_copy_only=False), float)
-        time[np.isnan(time)] = np.inf
-        return batch["value"].to_numpy(zero_copy_only=False), time, batch["item"].to_pylist(), batch["time"].is_valid().to_numpy(zero_copy_only=False)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sizes, prev = None, None, np.nan
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(own, key, strict=True)) | {"own": own_deviation(sizes)}], schema=spread_arrow)
-
-        for fresh, new, piece in _pieces(batches, own):
-            if fresh:
-                if sizes is not None:
-                    yield done()
-                key, sizes, prev = new, np.zeros(_BINS, np.int64), np.nan
-            dur, _, _, timed = columns(piece)
-            x = dur[timed & ~impossible(dur)]
-            if len(x):
-                sizes += sizes_of(innovations(x, prev))
-                prev = float(x[-1])
-        if sizes is not None:
-            yield done()
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, seen: Summary) -> pa.RecordBatch:
-            runs, codes, normal = seen.judged()
-            ends = [(r.first, r.last) for r in runs]
-            found = [(*key, k, pickle.dumps((code, ends, normal))) for k, code in codes.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, plan_arrow.field(i).type) for i, c in enumerate(zip(*found, strict=True))], schema=plan_arrow)
-
-        key, seen = None, None
-        for fresh, new, piece in _pieces(batches, own):
-            if fresh:
-                if seen is not None:
-                    yield done(key, seen)
-                key, seen = new, Summary(piece["own"][0].as_py())
-            dur, time, items, timed = columns(piece)
-            seen.add(dur, piece["kind"].to_pylist(), time, items, timed)
-        if seen is not None:
-            yield done(key, seen)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, normal, held = [], None, None
-        for fresh, _, piece in _pieces(batches, [*own, "kind"]):
-            if fresh:
-                normal = None
-                if piece["plan"][0].is_valid:
-                    code, ends, normal = pickle.loads(piece["plan"][0].as_py())
-                    held = normal.filter(code)
-                    piece = piece.slice(1)
-            dur, time, items, timed = columns(piece)
-            bad = impossible(dur)
-            n = int(timed.sum())  # untimed readings come last
-            stuck_here = ~bad
-            stuck_here[:n] &= _inside(ends, time[:n], items[:n]) if normal else False
-            stuck_here[n:] = False
-            why = np.where(bad, IMPOSSIBLE, np.where(stuck_here, STUCK, 0))
-            at = np.flatnonzero(why == 0)
-            if held is not None and normal is not None:
-                why[at[held.flags(np.log(dur[at]))]] = FAR_OFF
-            hit = np.flatnonzero(why)
-            yield pa.RecordBatch.from_arrays([piece["item"].take(pa.array(hit)), pa.array([REASONS[w] for w in why[hit].tolist()], pa.string())], schema=arrow)
-
-    bare = rows.select(*own, "item", "time", "value", "kind")
-    spreads = cut(bare.repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(spread, spread_schema))
-    known = bare.join(broadcast_if_small(spreads, spreads.count()), own)
-    plans = known.repartition(*own).sortWithinPartitions(*own, *ordered).mapInArrow(plan, plan_schema)
-    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("item", "time", "value")]
-    both = rows.unionByName(plans.select(*own, *none, "kind", "plan"))
-    keys = [*own, "kind"]
-    return both.repartition(*keys).sortWithinPartitions(*keys, F.col("plan").isNull(), *ordered).mapInArrow(settle, out)
-
-
 def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value: str, kind: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(item, reason): the readings that cannot be right for their source, with ``impossible``, ``stuck`` or ``far off``."""
     own = [f"s{i}" for i in range(len(source))]
@@ -722,8 +493,13 @@ def implausible(df: DataFrame, source: list[str], *, item: str, time: str, value
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    hot = cut(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows)).select(*own)
-    n_hot = hot.count()
+    hot = cut(rows.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block_rows))
+    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    hot = hot.select(*own)
     small = rows.join(broadcast_if_small(hot, n_hot), own, "left_anti") if n_hot else rows
     found = small.repartition(*keys).sortWithinPartitions(*keys, "time", "item").mapInArrow(run, out)
-    return found.unionByName(_streamed(rows.join(broadcast_if_small(hot, n_hot), own, "left_semi"), own, out)) if n_hot else found
+    if not n_hot:
+        return found
+    from tracewright.operators.hot_sources import in_blocks
+
+    return found.unionByName(in_blocks(rows.join(broadcast_if_small(hot, n_hot), own, "left_semi"), own, out, -(-n_rows // block_rows)))
