@@ -25,11 +25,11 @@ an empty input gives empty results; extra columns are ignored unless carried, wh
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from json.encoder import encode_basestring as quoted
 
 import numpy as np
 import pyarrow as pa
@@ -633,21 +633,23 @@ def _leaf(kind: str, value: str, steady: str) -> str:
     if kind == "string" and steady == "boolean" and value in ("true", "false"):
         return value
     if kind == "string" or (steady == "string" and kind != "null"):
-        return json.dumps(value, ensure_ascii=False)
+        return quoted(value)
     return value
 
 
 class _Node:
     """A place in the records of one file, and where it belongs."""
 
-    __slots__ = ("apart", "calm", "home", "kids", "plain", "router", "slot", "steady", "type")
+    __slots__ = ("apart", "calm", "home", "kids", "kind", "plain", "router", "shown", "slot", "steady", "type")
 
     def __init__(self, router: _Router, plain: str, steady: str, name: str) -> None:
         self.router, self.plain, self.steady, self.kids = router, plain, steady, {}
         at = router.table
         self.slot, self.type = at.column.get(steady), at.types.get(steady, "")
         self.home, self.apart = steady == at.path, steady in at.apart
+        self.kind = at.kinds[self.slot] if self.slot is not None else ""
         self.calm = name if "." in name else steady.rpartition(".")[2]
+        self.shown = quoted(self.calm) + ":"
 
     def child(self, name: str) -> _Node:
         found = self.kids.get(name)
@@ -704,12 +706,15 @@ def _rendered(kind: str, event: Event, stream: Iterator[Event], node: _Node) ->
         if out[-1] not in ("{", "["):
             out.append(",")
         if not listed:
-            node = node.child(name)
-            shown = node.calm if node.calm not in names else name
-            while shown in names:
-                shown += "_"
-            names.add(shown)
-            out.append(json.dumps(shown, ensure_ascii=False) + ":")
+            node = node.kids.get(name) or node.child(name)
+            if node.calm not in names:
+                names.add(node.calm)
+                out.append(node.shown)
+            else:
+                while name in names:
+                    name += "_"
+                names.add(name)
+                out.append(quoted(name) + ":")
         if value is None:
             out.append("{" if kind == "object" else "[")
             opened.append((node, kind == "array", set()))
@@ -752,7 +757,7 @@ def _fill(text: str | None, root: _Node, start) -> None:
                 continue
             depth = 1
         else:
-            node = node.child(name)
+            node = node.kids.get(name) or node.child(name)
         if value is None:
             inner = _joined(path, name or "")
             empty = event is not None and event[0] == "end"
@@ -765,18 +770,25 @@ def _fill(text: str | None, root: _Node, start) -> None:
         elif kind == "null" or row is None:
             continue
         else:
-            shown = value if kind != "string" else None
-            cell = _cast(value, table.kinds[node.slot]) if node.slot is not None else None
-            fits = _exact(value, cell)
+            shown = None
+            if kind == "number" and node.kind == "number":
+                cell = float(value)
+                fits = len(value) <= 15 or _exact(value, cell)
+            elif node.slot is not None:
+                cell = _cast(value, node.kind)
+                fits = _exact(value, cell)
+            else:
+                cell, fits = None, False
         if node.slot is not None and row[node.slot] is None:
             row[node.slot] = cell
         else:
             fits = False
         if not fits:
-            shown = json.dumps(value, ensure_ascii=False) if shown is None else shown
+            if shown is None:
+                shown = quoted(value) if kind == "string" else value
             inner = _joined(path, name or "")
             field = inner[0 if owner == "$" else len(owner) + 1 :]
-            more.setdefault(owner, (row, []))[1].append(f"{json.dumps(field, ensure_ascii=False)}:{shown}")
+            more.setdefault(owner, (row, []))[1].append(f"{quoted(field)}:{shown}")
     for row, parts in more.values():
         row[-1] = "{" + ",".join(parts) + "}"
 

@@ -18,8 +18,8 @@ named in ``carry``, where a clashing name gets an underscore.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
+from json.encoder import encode_basestring as quoted
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -234,7 +234,7 @@ def flat(df: DataFrame, text: str, carry: Sequence[str], tables: Sequence[str] |
                         if len(at) >= FLUSH:
                             yield flush()
                     elif trail is not None:
-                        shown = json.dumps(value, ensure_ascii=False) if kind == "string" else value
+                        shown = quoted(value) if kind == "string" else value
                         rows[-1][1].setdefault(shape.field, []).append((trail, shown))
                     else:
                         fields, field = rows[-1][0], shape.field
