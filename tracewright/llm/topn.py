@@ -4,8 +4,8 @@ Exact counts per group are taken first (map-side combined, one small row per
 group).  Groups above ``heavy_rows`` rows are *hot*: their rows are salted
 by score range and by a hash of the tie columns, each (group, range, salt) slice
 keeps its own best N, and only those few rows meet again in the group's
-final sort.  All other groups take one ordinary window.  Both branches end in the
-same total order, so the union is exact.
+final sort.  A cold group is one slice, an ordinary window.  Both go through one pass over the rows and end in the
+same total order, so the result is exact.
 
 Defined cases: a null group key is a group of its own; rows with a null score
 rank last, NaN ranks above all numbers; rows equal in all order columns are repeats of one item and come out
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.plans.durable import broadcast_if_small, cut
+from tracewright.plans.durable import broadcast_if_small, cut, row_bytes
 from tracewright.plans.names import carried
 
 #: A group with more rows than this never meets in one task before it is reduced.
@@ -71,26 +71,23 @@ def top_n_per_group(
     if n_heavy == 0:
         return finish(df)
 
-    def route(x: DataFrame, side: DataFrame, how: str) -> DataFrame:
-        on = reduce(lambda a, b: a & b, [x[k].eqNullSafe(side[k]) for k in keys])
-        return x.join(broadcast_if_small(side, n_heavy), on, how)
-
-    cold = route(df, heavy, "left_anti")
-    hot = route(df, heavy, "left_semi")
     # splitters of the score inside each hot group: mergeable sketch, one row per hot group
+    side = broadcast_if_small(heavy, n_heavy)
+    hot = df.join(side, reduce(lambda a, b: a & b, [df[k].eqNullSafe(heavy[k]) for k in keys]), "left_semi")
     splits = cut(
         hot.groupBy(*keys).agg(
-            F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 1000).alias("__splits")
+            F.percentile_approx(F.col(score).cast("double"), [i / ranges for i in range(1, ranges)], 1000).alias("__splits"), F.lit(True).alias("__hot")
         )
     )
-    renamed = splits.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], "__splits")
-    on = reduce(lambda a, b: a & b, [hot[k].eqNullSafe(renamed[f"__k_{i}"]) for i, k in enumerate(keys)])
+    renamed = splits.select(*[F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)], "__splits", "__hot")
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"__k_{i}"]) for i, k in enumerate(keys)])
     ties = [c for c, _ in order[1:]] or [score]
+    # hot and cold in one pass: a cold group is one slice, its range and salt are null
     sliced = (
-        hot.join(broadcast_if_small(renamed, n_heavy), on, "inner")
-        .withColumn("__range", F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(score))), F.lit(-1)))
-        .withColumn("__salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
-        .drop("__splits", *[f"__k_{i}" for i in range(len(keys))])
+        df.join(broadcast_if_small(renamed, n_heavy, 64 + 8 * ranges + row_bytes(renamed.schema)), on, "left")
+        .withColumn("__range", F.when(F.col("__hot"), F.coalesce(F.size(F.filter("__splits", lambda s: s < F.col(score))), F.lit(-1))))
+        .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*ties), F.lit(salts))))
+        .drop("__splits", "__hot", *[f"__k_{i}" for i in range(len(keys))])
     )
     best = _ranked(sliced, [*keys, *flags], cols, n, place).drop(place, *flags)
-    return finish(cold).unionByName(finish(best))
+    return finish(best)
